@@ -60,41 +60,50 @@ def _one_of(attributes: Sequence[Attribute], value) -> Column:
 
 
 def resolved_cells(props: DataFrame, attributes: Sequence[Attribute]) -> DataFrame:
-    """One row per entity and attribute: ``node_id, prop_name, cell``.
+    """One row per cell: ``node_id, attribute`` (its place among the attributes), ``value, fault, unread``.
 
-    ``cell`` is a struct of the typed values (int_value, float_value, bool_value, text_value), the
-    list of a multi-valued attribute (values), the fault or null, and the latest unreadable text.
+    ``value`` is the text that stands for the typed value, the same for equal values. A
+    multi-valued attribute has one row per distinct value, and one of a null value for the rest.
+    The state of a cell has a fixed number of fields, so cells are combined before the shuffle.
     """
     rows = props.select(F.col("node_id"), F.col("prop_name").alias("__name"), F.trim("prop_text").alias("text"), F.col("loaded_at").cast("timestamp_ntz").alias("loaded_at"), F.col("row_no").cast("bigint").alias("row_no")).where("node_id is not null")
-    rows = rows.withColumn("prop_name", _one_of(attributes, lambda a: a.name)).withColumn("kind", _one_of(attributes, lambda a: a.kind)).withColumn("multi", _one_of(attributes, lambda a: a.is_multi)).where("prop_name is not null").drop("__name")
-    typed = (
-        rows.withColumn("i", F.when((F.col("kind") == "Integer") & F.col("text").rlike(INTEGER), F.expr("try_cast(text as bigint)")))
-        .withColumn("f", F.when((F.col("kind") == "Float") & F.col("text").rlike(FLOAT), F.expr("try_cast(text as double) + 0.0D")))
-        .withColumn("b", F.when((F.col("kind") == "Boolean") & F.lower("text").isin("true", "false"), F.lower("text") == "true"))
-        .withColumn("s", F.when(F.col("kind") == "String", F.col("text")))
+    places = {id(a): i for i, a in enumerate(attributes)}
+    rows = rows.withColumn("attribute", _one_of(attributes, lambda a: places[id(a)]).cast("tinyint" if len(attributes) < 128 else "int")).where("attribute is not null").drop("__name")
+
+    def of_kind(kind: str) -> Column:
+        return F.col("attribute").isin([i for i, a in enumerate(attributes) if a.kind == kind])
+
+    text, multi = F.col("text"), F.col("attribute").isin([i for i, a in enumerate(attributes) if a.is_multi])
+    value = (
+        F.when(of_kind("Integer"), F.when(text.rlike(INTEGER), F.expr("try_cast(text as bigint)").cast("string")))
+        .when(of_kind("Float"), F.when(text.rlike(FLOAT), (F.expr("try_cast(text as double)") + F.lit(0.0)).cast("string")))
+        .when(of_kind("Boolean"), F.when(F.lower(text).isin("true", "false"), F.lower(text)))
+        .otherwise(text)
     )
-    readable = F.col("i").isNotNull() | F.col("f").isNotNull() | F.col("b").isNotNull() | F.col("s").isNotNull()
-    # equal values of a cell under one text are one row from here on
-    typed = typed.groupBy("node_id", "prop_name", "kind", "multi", "text", "i", "f", "b", "s").agg(F.max(F.struct("loaded_at", "row_no")).alias("at"))
-    best = F.max(F.when(readable, F.struct(F.col("at"), F.col("text"), F.col("i"), F.col("f"), F.col("b"), F.col("s"))))
-    differ = F.coalesce(F.min("i") != F.max("i"), F.lit(False)) | F.coalesce(F.min("f") != F.max("f"), F.lit(False)) | F.coalesce(F.min("b") != F.max("b"), F.lit(False)) | F.coalesce(F.min("s") != F.max("s"), F.lit(False))
-    listed = F.array_sort(F.collect_set(F.when(F.col("multi") & readable, F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("f").cast("string"), F.col("b").cast("string")))))
-    cells = typed.groupBy("node_id", "prop_name", "multi").agg(
-        best.alias("best"),
-        F.count("text").alias("n_values"),
-        differ.alias("differ"),
-        listed.alias("values"),
-        F.max(F.when(~readable & F.col("text").isNotNull(), F.struct("at", "text"))).alias("worst"),
+    typed = rows.withColumn("value", value).withColumn("of_many", F.when(multi, F.col("value")))
+    at = [F.col("loaded_at").alias("a"), F.col("row_no").alias("n")]
+    cells = typed.groupBy("node_id", "attribute", "of_many").agg(
+        F.max(F.when(F.col("value").isNotNull(), F.struct(*at, F.col("value").alias("v")))).alias("best"),
+        F.min("value").alias("least"),
+        F.max("value").alias("most"),
+        F.max(F.when(F.col("value").isNull() & text.isNotNull(), F.struct(*at, text.alias("v")))).alias("worst"),
     )
-    fault = F.when(F.col("multi"), F.lit(None)).when((F.col("n_values") > 0) & F.col("best").isNull(), F.lit(UNREADABLE)).when(F.col("differ"), F.lit(CONFLICT))
-    cell = F.struct(F.col("best.i").alias("int_value"), F.col("best.f").alias("float_value"), F.col("best.b").alias("bool_value"), F.col("best.s").alias("text_value"), F.col("values"), fault.alias("fault"), F.col("worst.text").alias("unread_text"))
-    return cells.select("node_id", "prop_name", cell.alias("cell"))
+    fault = F.when(multi, F.lit(None)).when(F.col("best").isNull() & F.col("worst").isNotNull(), F.lit(UNREADABLE)).when(F.col("least") != F.col("most"), F.lit(CONFLICT))
+    return cells.select("node_id", "attribute", F.col("best.v").alias("value"), fault.alias("fault"), F.col("worst.v").alias("unread"))
 
 
 def entity_maps(props: DataFrame, attributes: Sequence[Attribute]) -> DataFrame:
-    """``node_id, cells``: the key-value map of each entity, of no more entries than there are attributes."""
+    """``node_id, cells, many``: per entity the key-value map of its single-valued attributes, and
+    the list of the values of the others."""
     cells = resolved_cells(props, attributes)
-    return cells.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("prop_name", "cell"))).alias("cells"))
+    multi = [i for i, a in enumerate(attributes) if a.is_multi]
+    gathered = cells.groupBy("node_id").agg(F.collect_list(F.struct("attribute", "value", "fault", "unread")).alias("all"))
+    single = F.filter("all", lambda c: ~c["attribute"].isin(multi))
+    return gathered.select(
+        "node_id",
+        F.map_from_entries(F.transform(single, lambda c: F.struct(c["attribute"], F.struct(c["value"], c["fault"], c["unread"])))).alias("cells"),
+        F.filter("all", lambda c: c["attribute"].isin(multi)).alias("many"),
+    )
 
 
 def wide_table(props: DataFrame, attributes: Sequence[Attribute]) -> DataFrame:
@@ -106,17 +115,20 @@ def wide_table(props: DataFrame, attributes: Sequence[Attribute]) -> DataFrame:
     if clash := {a.name for a in attributes} & {"node_id", "faults", "unread"}:
         raise ValueError(f"attributes are called like columns of the wide table: {sorted(clash)}")
 
-    def column(a: Attribute) -> Column:
-        c = F.col("cells")[a.name]
+    def column(i: int, a: Attribute) -> Column:
         if a.is_multi:
-            return F.transform(F.coalesce(c["values"], F.array()), lambda x: x.cast(TYPES[a.kind])).alias(a.name)
-        return c[{"Integer": "int_value", "Float": "float_value", "Boolean": "bool_value", "String": "text_value"}[a.kind]].alias(a.name)
+            values = F.transform(F.filter("many", lambda c: (c["attribute"] == i) & c["value"].isNotNull()), lambda c: c["value"].cast(TYPES[a.kind]))
+            return F.array_sort(values).alias(a.name)
+        return F.col("cells")[F.lit(i)]["value"].cast(TYPES[a.kind]).alias(a.name)
+
+    names = F.create_map(*[F.lit(x) for i, a in enumerate(attributes) for x in (i, a.name)])
 
     def kept(part: str) -> Column:
-        of = F.transform_values(F.col("cells"), lambda _, v: v[part])
-        return F.map_filter(of, lambda _, v: v.isNotNull())
+        held = F.map_filter("cells", lambda _, v: v[part].isNotNull())
+        return F.transform_values(F.transform_keys(held, lambda k, _: names[k.cast("int")]), lambda _, v: v[part])
 
-    return entity_maps(props, attributes).select("node_id", *[column(a) for a in attributes], kept("fault").alias("faults"), kept("unread_text").alias("unread"))
+    columns = [column(i, a) for i, a in enumerate(attributes)]
+    return entity_maps(props, attributes).select("node_id", *columns, kept("fault").alias("faults"), kept("unread").alias("unread"))
 
 
 def unsettled_cells(props: DataFrame, attributes: Sequence[Attribute]) -> DataFrame:
