@@ -5,12 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverlane.llm import encode, mixing
+from quiverlane.llm import encode, labels, mixing, terms
+from quiverlane.operators.nested import latest_rows
 from quiverlane.sources import read_table
 
 MIX_SEED = 20240501
 
 
+#: A label is rare in fewer records than this, and common in more than this part of all records.
+RARE_BELOW, COMMON_ABOVE = 5, 0.4
+
+
+def _labels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The label list of each node, and the nodes' ids."""
+    nodes = latest_rows(read_table(spark, d, "nodes", "id", "labels", "loaded_at"), "id", ["labels"], "loaded_at")
+    return labels.parse_labels(nodes, "id", "labels"), nodes.select("id")
+
+
+def p2_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every label with its occurrences, its nodes and its band."""
+    lists, ids = _labels(spark, d)
+    n = ids.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return terms.banded(terms.count_values(lists, "labels"), n, RARE_BELOW, COMMON_ABOVE).withColumnRenamed("value", "label")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_labels(spark, d).where("band is not null").select("label", "band")
+
+
+def p2_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences of up to three labels."""
+    return terms.count_ngrams(_labels(spark, d)[0], "labels", 3).select(F.array_join("ngram", "\n").alias("ngram"), F.size("ngram").cast("bigint").alias("n"), "n_occurrences", "n_records")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(read_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", encode.vocabulary_path())
 
@@ -39,6 +66,21 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(sizes, _plan(spark, d, sizes), "doc_id", MIX_SEED)
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_shares, p7_mix)}
-
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_labels, p2_ngrams, p6_ids, p7_found, p7_shares, p7_mix)}
+
+_LABELS = """
+WITH n AS (SELECT id, max(labels) AS labels FROM nodes GROUP BY id),
+lists AS (SELECT id, unnest(json_extract(labels, '$[*]')) AS j FROM n WHERE json_valid(labels) AND json_type(labels) = 'ARRAY'),
+pieces AS (SELECT id, unnest(string_split(labels, ':')) AS label FROM n WHERE starts_with(labels, ':')),
+carried AS (
+  SELECT id, json_extract_string(j, '$') AS label FROM lists WHERE json_type(j) = 'VARCHAR'
+  UNION ALL SELECT id, label FROM pieces WHERE label <> ''),
+counted AS (SELECT label, count(*) AS n_occurrences, count(DISTINCT id) AS n_records FROM carried GROUP BY label),
+banded AS (
+  SELECT *, CASE WHEN n_records < 5 THEN 'rare' WHEN n_records > 0.4 * (SELECT count(*) FROM n) THEN 'common' END AS band FROM counted)
+"""
+
+ORACLE = {
+    "p2_found": _LABELS + "SELECT label, band FROM banded WHERE band IS NOT NULL",
+    "p2_labels": _LABELS + "SELECT label, n_occurrences, n_records, band FROM banded",
+}
