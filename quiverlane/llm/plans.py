@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverlane.llm import encode, labels, mixing, terms
+from quiverlane.llm import encode, labels, mixing, residue, terms
 from quiverlane.operators.nested import latest_rows
 from quiverlane.sources import read_table
 
@@ -66,7 +66,22 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(sizes, _plan(spark, d, sizes), "doc_id", MIX_SEED)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_labels, p2_ngrams, p6_ids, p7_found, p7_shares, p7_mix)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(read_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p8_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Which passages are residue of what kind."""
+    return residue.residue_matches(read_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of each source once documents with residue are excluded."""
+    docs = read_table(spark, d, "documents", "doc_id", "source", "text", "n_chars")
+    return residue.without_residue(docs, "doc_id", "text").groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_chars").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_labels, p2_ngrams, p6_ids, p7_found, p7_shares, p7_mix, p8_found, p8_matches, p8_kept)}
 
 _LABELS = """
 WITH n AS (SELECT id, max(labels) AS labels FROM nodes GROUP BY id),
