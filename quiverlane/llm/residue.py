@@ -62,32 +62,44 @@ _HTML = re.compile(r"</?(?:html|head|body|title|h[1-6]|hr|p|div|span|center|nosc
 _WORD = re.compile(r"⟨\w+⟩|[^\W_]+(?:['’][^\W_]+)?")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _FILLER_COMMAND = re.compile(r"\\(?:" + "|".join(exemplars.FILLER_COMMANDS) + r")\*?(?![A-Za-z])(?:\s*\[[^\]]*\])*")
-_OPEN, _DOLLAR, _PERCENT = r"[{\ue001]", r"[$\ue003]", r"[%\ue000]"
-#: A sign in the raw text that a slot, a command that prints filler, or a bracketed passage may be in it.
-_SIGN = re.compile(
-    rf"{_OPEN}{{2}}\s*[A-Za-z_][\w.\-]+|(?:{_DOLLAR}|#){_OPEN}\s*[A-Za-z_]|<%|{_OPEN}{_PERCENT}|@@|{_PERCENT}[A-Z][A-Z_]+{_PERCENT}|__[A-Z]"
-    rf"|(?:[<\[]|less(?:\{{\}})?)\s*(?i:{_LABEL}|object object)\s*(?:[>\]]|\\text)|(?:^|[\n{{])[ \t]*[<\[][^\W\d_]|\\(?:{'|'.join(exemplars.FILLER_COMMANDS)})(?![A-Za-z])"
-)
+#: Signs in an unescaped text that a slot, a command that prints filler, or a bracketed passage may be
+#: in it. Each begins with a literal, which makes the search for it fast.
+_SIGNS = [
+    re.compile(p)
+    for p in (
+        *(rf"{o}{o}\s*[A-Za-z_][\w.\-]+" for o in (r"\{", "\ue001")),
+        *(rf"{d}{o}\s*[A-Za-z_]" for d in (r"\$", "\ue003", "#") for o in (r"\{", "\ue001")),
+        *(rf"{p}[A-Z][A-Z_]+{p}" for p in ("%", "\ue000")),
+        *("<%", r"\{%", "\ue001\ue000", "@@", "__[A-Z]"),
+        *(rf"{b}\s*(?i:{_LABEL}|object object)\s*(?:[>\]]|\\text)" for b in ("<", r"\[", "less", r"less\{\}")),
+        *(rf"{b}[ \t]*[<\[][^\W\d_]" for b in (r"\A", r"\n", r"\{")),
+        *(rf"\\{c}(?![A-Za-z])" for c in exemplars.FILLER_COMMANDS),
+    )
+]
+#: One of these is in every slot.
+_SLOT_SIGN = re.compile(r"\{\{|[$#]\{|<|\[|@@|%|__|\{%")
 
 
 def words(text: str) -> list[str]:
     """The words of a readable text in lower case; those with digits are one, as are runs of X."""
-    out = []
-    for w in _WORD.findall(_SLOT.sub(f" {SLOT} ", text)):
-        if w[0] == "⟨":
-            out.append(w)
-        elif any(c.isdigit() for c in w) or re.fullmatch("X{2,}", w):
-            out.append(NUMBER)
-        else:
-            out.append(w.lower().replace("’", "'"))
-    return out
+    if _SLOT_SIGN.search(text):
+        text = _SLOT.sub(f" {SLOT} ", text)
+    return [w.lower() if w.isalpha() and w[:2] != "XX" else _odd_word(w) for w in _WORD.findall(text)]
+
+
+def _odd_word(w: str) -> str:
+    if w[0] == "⟨":
+        return w
+    if not w.strip("X") or any(map(str.isdigit, w)):
+        return NUMBER
+    return w.lower().replace("’", "'")
 
 
 def sentences(text: str) -> list[list[str]]:
     """The words of each sentence; a text that is bracketed as a whole begins with a mark."""
     text = text.strip()
-    if not _SLOT.fullmatch(text):
-        stripped = _HTML.sub(" ", text)
+    if not (text[:1] in "{$#<[@%_" and _SLOT.fullmatch(text)):
+        stripped = _HTML.sub(" ", text) if "<" in text else text
         if len(text) > 2 and text[0] + text[-1] in ("[]", "<>") and stripped.strip() == text:
             return [[WRAPPED, *words(text)]]
         text = stripped
@@ -194,7 +206,7 @@ class Index:
         """False only for texts without any word, repetition or sign that retrieves an exemplar."""
         said = raw_words(text)
         found = set(said)
-        if not self.anchors.isdisjoint(found) or len(self.stock & found) >= FILLER_WORDS or _SIGN.search(text) is not None:
+        if not self.anchors.isdisjoint(found) or len(self.stock & found) >= FILLER_WORDS or any(sign.search(text) for sign in _SIGNS):
             return True
         # a unit of one or two words three times, or a sentence three times
         if any(a == b == c for a, b, c in zip(said, said[1:], said[2:])):
