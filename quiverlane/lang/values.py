@@ -254,7 +254,9 @@ def is_null(v: Value) -> Column:
     return F.lit(True) if v.type.kind == "null" else v.column.isNull()
 
 
-NO_TRUTH = Value(BOOL, F.lit(None).cast("boolean"))
+def unknown() -> Value:
+    """Neither true nor false."""
+    return Value(BOOL, F.lit(None).cast("boolean"))
 
 
 def _not_nan(v: Value) -> Column:
@@ -271,7 +273,7 @@ def identity(v: Value) -> Column:
 def equal(a: Value, b: Value) -> Value:
     """Null if either is null; false for values of different types and for NaN; numbers compare by value."""
     if a.type.kind == "null" or b.type.kind == "null":
-        return NO_TRUTH
+        return unknown()
     kinds = {a.type.kind, b.type.kind}
     if kinds <= {"int", "float"}:
         same = a.column == b.column
@@ -316,7 +318,7 @@ def _equal_lists(a: Value, b: Value) -> Column:
 
 def negate(v: Value) -> Value:
     if v.type.kind == "null":
-        return NO_TRUTH
+        return unknown()
     if v.type.kind == "any":
         return Value(BOOL, ~v.column["b"])
     if v.type.kind != "bool":
@@ -352,7 +354,7 @@ def less(a: Value, b: Value, op: str) -> Value:
         return Value(BOOL, F.when(~_either_null(a, b), F.when(F.size(a.column) != F.size(b.column), size).otherwise(inside)))
     if len(kinds) == 1 and a.type == b.type and a.type.kind in ("str", "bool", "native"):
         return Value(BOOL, compared(a.column, b.column))
-    return NO_TRUTH
+    return unknown()
 
 
 def contains(x: Value, within: Value) -> Value:
@@ -360,7 +362,7 @@ def contains(x: Value, within: Value) -> Value:
     if within.type.kind == "null":
         if within.constant:
             raise compile_error("InvalidArgumentType", "IN needs a list")
-        return NO_TRUTH
+        return unknown()
     if within.type.kind != "list":
         raise compile_error("InvalidArgumentType", f"IN needs a list, not {within.type}")
     element = within.type.element

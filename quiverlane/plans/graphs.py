@@ -15,6 +15,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _rounded_sql(sql: str, rounded: Sequence[str]) -> str:
+    if not rounded:
+        return sql
+    return f"SELECT * REPLACE ({', '.join(f'round({c}, 2) AS {c}' for c in rounded)}) FROM ({sql})"
+
+
 def query(name: str, text: str, sql: str | None, rounded: Sequence[str] = (), parameters: Mapping[str, Any] | None = None) -> None:
     """Registers a query. Sums of floats are rounded to cents, as their order isn't fixed."""
 
@@ -24,7 +30,7 @@ def query(name: str, text: str, sql: str | None, rounded: Sequence[str] = (), pa
 
     QUERIES[name] = run
     if sql is not None:
-        ORACLE[name] = sql
+        ORACLE[name] = _rounded_sql(sql, rounded)
 
 
 # -- scans and predicates ------------------------------------------------------------------------
@@ -142,7 +148,7 @@ def script(name: str, texts: Sequence[str], sql: str, rounded: Sequence[str] = (
         return df.withColumns({c: F.round(c, 2) for c in rounded}) if rounded else df
 
     QUERIES[name] = run
-    ORACLE[name] = sql
+    ORACLE[name] = _rounded_sql(sql, rounded)
 
 
 script("create_nodes_edges", ["MATCH (n:Nation)-[:IN_REGION]->(r:Region) CREATE (c:City {name: n.n_name + ' City', nation: n.n_nationkey})-[:CAPITAL_OF {since: n.n_nationkey * 10}]->(n)", "MATCH (c:City)-[e:CAPITAL_OF]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN c.name AS city, e.since AS since, r.r_name AS r_name"], "SELECT n_name || ' City' AS city, (n_nationkey * 10)::BIGINT AS since, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
