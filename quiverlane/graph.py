@@ -33,6 +33,10 @@ class Frame:
     df: DataFrame
     labels: tuple[str, ...] | None
     properties: dict[str, Type]
+    #: Changes that reading the frame applies: rows appended, joined or left out.
+    layers: int = 0
+    #: Whether created rows may be appended.
+    open: bool = False
 
     def label_column(self) -> Column:
         return F.col(LABELS) if self.labels is None else F.array(*[F.lit(x) for x in self.labels]).cast("array<string>")
@@ -91,18 +95,19 @@ class PropertyGraph:
         made = df.where(F.col(source[1]).isNotNull() & F.col(target[1]).isNotNull()).select(
             identity.alias(ID), node_id(F.col(source[1]), s).alias(SOURCE), node_id(F.col(target[1]), t).alias(TARGET), *[_property(df, n) for n in properties]
         )
-        frame = EdgeFrame(made, (label,), {n: V.type_of(made.schema[n].dataType) for n in properties}, frozenset([s]), frozenset([t]), complete)
+        frame = EdgeFrame(made, (label,), {n: V.type_of(made.schema[n].dataType) for n in properties}, sources=frozenset([s]), targets=frozenset([t]), complete=complete)
         return replace(self, edges=(*self.edges, frame))
 
     # -- as one table of nodes and one of edges -----------------------------------------------
 
     def flattened(self, spark: SparkSession) -> PropertyGraph:
-        """The same graph in one node frame and one edge frame with label columns, for writing."""
+        """The same graph in one node frame and one edge frame with label columns, as stores keep it."""
         nodes, edges = self.nodes, self.edges
-        if len(nodes) == 1 and nodes[0].labels is None and len(edges) == 1 and edges[0].labels is None:
+        if len(nodes) == len(edges) == 1 and nodes[0].open and edges[0].open and edges[0].sources <= {0} and edges[0].targets <= {0}:
             return self
-        node = NodeFrame(*_united(nodes or (empty_nodes(spark),), [ID]))
-        edge = EdgeFrame(*_united(edges or (empty_edges(spark),), [ID, SOURCE, TARGET]), frozenset([0]), frozenset([0]), all(e.complete for e in edges))
+        one = frozenset([0])
+        node = NodeFrame(*_united(nodes or (empty_nodes(spark),), [ID]), open=True)
+        edge = EdgeFrame(*_united(edges or (empty_edges(spark),), [ID, SOURCE, TARGET]), open=True, sources=one, targets=one, complete=all(e.complete for e in edges))
         return PropertyGraph((node,), (edge,), self.next_id)
 
 
@@ -117,11 +122,22 @@ def _property(df: DataFrame, name: str) -> Column:
 
 
 def empty_nodes(spark: SparkSession) -> NodeFrame:
-    return NodeFrame(spark.createDataFrame([], f"{ID} bigint, {LABELS} array<string>"), None, {})
+    return NodeFrame(spark.createDataFrame([], f"{ID} bigint, {LABELS} array<string>"), None, {}, open=True)
 
 
 def empty_edges(spark: SparkSession) -> EdgeFrame:
-    return EdgeFrame(spark.createDataFrame([], f"{ID} string, {SOURCE} bigint, {TARGET} bigint, {LABELS} array<string>"), None, {}, frozenset([0]), frozenset([0]))
+    return EdgeFrame(spark.createDataFrame([], f"{ID} string, {SOURCE} bigint, {TARGET} bigint, {LABELS} array<string>"), None, {}, open=True)
+
+
+def has_open_frames(g: PropertyGraph) -> bool:
+    return bool(g.nodes) and bool(g.edges) and g.nodes[-1].open and g.edges[-1].open
+
+
+def opened(g: PropertyGraph, spark: SparkSession) -> PropertyGraph:
+    """The graph with frames at the ends of its lists that created rows can be appended to."""
+    if has_open_frames(g):
+        return g
+    return replace(g, nodes=(*g.nodes, empty_nodes(spark)), edges=(*g.edges, empty_edges(spark)))
 
 
 def empty_graph(spark: SparkSession) -> PropertyGraph:

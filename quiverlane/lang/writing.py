@@ -1,7 +1,9 @@
 """Writing clauses: each gives a new graph and leaves the old one as it was.
 
-A graph that is written to is held as one node frame and one edge frame. Created rows are
-materialised in the shared checkpoint folder before they are used, so that their ids don't change.
+What a clause writes is as large as what it changes: created rows, changed rows and deleted ids are
+materialised in the shared checkpoint folder (ids must not change when they are read again), and
+frames become their old rows with these appended, joined or left out when they are read. Tables
+that weren't changed stay scans of their files.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiverlane.graph import FRAMES, ID, LABELS, SOURCE, TARGET, EdgeFrame, Frame, NodeFrame, node_id, typed_property
+from quiverlane.graph import FRAMES, ID, LABELS, SOURCE, TARGET, Frame, node_id, opened, typed_property
 from quiverlane.lang import values as V
 from quiverlane.lang.errors import compile_error, run_error
 from quiverlane.lang.lowering import Reader
@@ -36,16 +38,19 @@ class Writer(Reader):
 
     wrote = False
 
-    def _new_graph(self, nodes: NodeFrame | None = None, edges: EdgeFrame | None = None, next_id: int | None = None) -> None:
+    def _replace(self, kind: str, changed: Mapping[int, Frame], next_id: int | None = None) -> None:
+        """Puts new frames in the places of old ones."""
         g = self.graph
-        self.graph = replace(g, nodes=(nodes or g.nodes[0],), edges=(edges or g.edges[0],), next_id=g.next_id if next_id is None else next_id)
+        frames = tuple(changed.get(i, f) for i, f in enumerate(getattr(g, kind)))
+        self.graph = replace(g, **{kind: frames}, next_id=g.next_id if next_id is None else next_id)
         self.wrote = True
 
     # -- CREATE --
 
     def create(self, clause: Create) -> None:
         b = self.bindings
-        made: list[tuple[str | None, str, tuple[str, ...], dict[str, Value], tuple[Column, Column] | None]] = []
+        self.graph = opened(self.graph, self.spark)
+        made: list[tuple[str | None, str, tuple[str, ...], dict[str, Value], tuple | None]] = []
         ids: dict[int, Column] = {}
         table = b.table()
         row, base = b.fresh(), self.graph.next_id
@@ -72,20 +77,22 @@ class Writer(Reader):
             number = F.col(row) * total + (base + n)
             return new_column(F.concat_ws(":", F.lit("c"), number) if edge else node_id(number, FRAMES - 1))
 
-        def node(p: NodePattern, n: int) -> Column:
+        place = frozenset([len(self.graph.nodes) - 1])
+
+        def node(p: NodePattern, n: int) -> tuple[Column, frozenset[int]]:
             if p.variable and p.variable in scope:
                 v = scope[p.variable]
                 if v.type.kind != "node":
                     raise compile_error("VariableTypeConflict", f"Variable '{p.variable}' is a {v.type}, not a node.")
                 if p.labels or p.properties:
                     raise compile_error("VariableAlreadyBound", f"Variable '{p.variable}' is already bound.")
-                return V.identity(v)
+                return V.identity(v), v.frames if isinstance(v, Entity) and v.frames else frozenset(range(len(self.graph.nodes)))
             held, labels, id = properties(p.properties), _labels(p.labels), identity(n, False)
             made.append((p.variable, "node", labels, held, None))
             ids[len(made) - 1] = id
             if p.variable:
-                scope[p.variable] = self._entity("node", id, labels, held)
-            return id
+                scope[p.variable] = self._entity("node", id, labels, held, place)
+            return id, place
 
         n = 0
         for c in clause.patterns:
@@ -103,30 +110,31 @@ class Writer(Reader):
                 made.append((e.variable, "edge", labels, held, (source, target)))
                 ids[len(made) - 1] = id
                 if e.variable:
-                    scope[e.variable] = replace(self._entity("edge", id, labels, held), source=source, target=target)
+                    scope[e.variable] = replace(self._entity("edge", id, labels, held, frozenset([len(self.graph.edges) - 1])), source=source[0], target=target[0])
         # properties may refer to nodes that the same clause creates, so columns are added one by one
         df = b.df
         for c in columns:
             df = df.select("*", c)
         b.df = cut(df)
         most = b.df.agg(F.max(row)).head()[0]
-        nodes, edges = self.graph.nodes[0], self.graph.edges[0]
+        nodes, edges = self.graph.nodes[-1], self.graph.edges[-1]
         for i, (_, kind, labels, held, ends) in enumerate(made):
             labelled = F.array(*[F.lit(x) for x in labels]).cast("array<string>").alias(LABELS)
             own = [v.column.alias(k) for k, v in held.items()]
             types = {k: v.type for k, v in held.items()}
             if kind == "node":
-                rows = b.df.select(ids[i].alias(ID), labelled, *own)
-                nodes = NodeFrame(*_appended(nodes, rows, types, [ID]))
+                nodes = _appended(nodes, b.df.select(ids[i].alias(ID), labelled, *own), types, [ID])
             else:
-                rows = b.df.where(ends[0].isNotNull() & ends[1].isNotNull()).select(ids[i].alias(ID), ends[0].alias(SOURCE), ends[1].alias(TARGET), labelled, *own)
-                edges = EdgeFrame(*_appended(edges, rows, types, [ID, SOURCE, TARGET]), frozenset([0]), frozenset([0]), edges.complete)
+                (source, left), (target, right) = ends
+                rows = b.df.where(source.isNotNull() & target.isNotNull()).select(ids[i].alias(ID), source.alias(SOURCE), target.alias(TARGET), labelled, *own)
+                edges = replace(_appended(edges, rows, types, [ID, SOURCE, TARGET]), sources=edges.sources | left, targets=edges.targets | right)
         b.scope = scope
-        self._new_graph(nodes, edges, base + ((most if most is not None else -1) + 1) * total)
+        self._replace("nodes", {len(self.graph.nodes) - 1: nodes})
+        self._replace("edges", {len(self.graph.edges) - 1: edges}, base + ((most if most is not None else -1) + 1) * total)
 
-    def _entity(self, kind: str, id: Column, labels: Sequence[str], held: Mapping[str, Value]) -> Entity:
+    def _entity(self, kind: str, id: Column, labels: Sequence[str], held: Mapping[str, Value], frames: frozenset[int]) -> Entity:
         labelled = F.array(*[F.lit(x) for x in labels]).cast("array<string>")
-        return Entity(Type(kind, fields=tuple(sorted((k, v.type) for k, v in held.items()))), id=id, labels=labelled, properties=held, frames=frozenset([0]))
+        return Entity(Type(kind, fields=tuple(sorted((k, v.type) for k, v in held.items()))), id=id, labels=labelled, properties=held, frames=frames)
 
     def _check_edge(self, e: EdgePattern, scope: Mapping[str, Value]) -> None:
         if e.direction == "--":
@@ -148,10 +156,13 @@ class Writer(Reader):
                 continue
             if not isinstance(v, Entity):
                 raise run_error("InvalidArgumentType", f"{v.type} can't be changed")
-            changed = self._changed(v, action)
-            changed = self._bound_again(changed)
+            changed = self._bound_again(self._changed(v, action))
             self.bindings.scope = {**self.bindings.scope, name: changed}
-            self._store(changed)
+            if isinstance(action, (SetLabels, RemoveLabels)):
+                touched: set[str] = set()
+            else:
+                touched = {action.path[0]} if action.path else {*v.properties, *changed.properties}
+            self._store(changed, touched, isinstance(action, (SetLabels, RemoveLabels)))
 
     def _changed(self, v: Entity, action: Node) -> Entity:
         if isinstance(action, SetLabels):
@@ -175,73 +186,82 @@ class Writer(Reader):
         held = {k: replace(v.properties[k], column=c, constant=False) for k, c in zip(names, columns[1:])}
         return replace(v, labels=columns[0], properties=held, type=Type(v.type.kind, fields=tuple((k, held[k].type) for k in names)))
 
-    def _store(self, v: Entity) -> None:
-        """Writes an entity's new state. Of several rows with one entity, the last one counts."""
-        node = v.type.kind == "node"
-        frame: Frame = self.graph.nodes[0] if node else self.graph.edges[0]
-        keys = [ID] if node else [ID, SOURCE, TARGET]
-        state = F.struct(v.labels.alias(LABELS), *[p.column.alias(k) for k, p in v.properties.items()])
+    def _store(self, v: Entity, touched: set[str], labels: bool) -> None:
+        """Writes the touched properties, or the labels, of entities. Of several rows with one
+        entity, the last one counts."""
+        kind = "nodes" if v.type.kind == "node" else "edges"
+        keys = [ID] if kind == "nodes" else [ID, SOURCE, TARGET]
+        new = {k: v.properties[k] for k in touched if k in v.properties}
+        state = F.struct(*([v.labels.alias(LABELS)] if labels else []), *[p.column.alias(k) for k, p in new.items()], F.lit(True).alias("__set"))
         rows = self.bindings.table().where(v.id.isNotNull()).select(v.id.alias("__of"), state.alias("__new"), F.monotonically_increasing_id().alias("__row"))
-        rows = rows.groupBy("__of").agg(F.max_by("__new", "__row").alias("__new"))
-        joined = frame.df.join(rows, F.col(ID) == F.col("__of"), "left")
-        changed = F.col("__of").isNotNull()
-        types = dict(frame.properties)
-        for k, p in v.properties.items():
-            types[k] = V.unify(types.get(k, V.NULL), p.type)
-
-        def column(k: str, t: Type) -> Column:
-            old = typed_property(frame.properties, k, t)
-            new = V.cast(F.col("__new")[k], v.properties[k].type, t) if k in v.properties else F.lit(None).cast(V.spark_type(t))
-            return F.when(changed, new).otherwise(old).alias(k)
-
-        labels = F.when(changed, F.col("__new")[LABELS]).otherwise(F.col(LABELS)).alias(LABELS)
-        df = cut(joined.select(*keys, labels, *[column(k, t) for k, t in types.items() if t.kind != "null"]))
-        types = {k: t for k, t in types.items() if t.kind != "null"}
-        if node:
-            self._new_graph(nodes=NodeFrame(df, None, types))
-        else:
-            self._new_graph(edges=replace(self.graph.edges[0], df=df, properties=types))
+        rows = cut(rows.groupBy("__of").agg(F.max_by("__new", "__row").alias("__new")))
+        changed: dict[int, Frame] = {}
+        for i in v.frames or range(len(getattr(self.graph, kind))):
+            frame: Frame = getattr(self.graph, kind)[i]
+            types = {k: V.unify(frame.properties.get(k, V.NULL), new[k].type if k in new else V.NULL) for k in {**frame.properties, **new}}
+            types = {k: t for k, t in types.items() if t.kind != "null"}
+            hit = F.col("__of").isNotNull()
+
+            def column(k: str, t: Type, frame: Frame = frame, hit: Column = hit) -> Column:
+                old = typed_property(frame.properties, k, t)
+                if k not in touched:
+                    return old.alias(k)
+                now = V.cast(F.col("__new")[k], new[k].type, t) if k in new else F.lit(None).cast(V.spark_type(t))
+                return F.when(hit, now).otherwise(old).alias(k)
+
+            held = [F.when(hit, F.col("__new")[LABELS]).otherwise(frame.label_column()).alias(LABELS)] if labels else [F.col(LABELS)] if frame.labels is None else []
+            df = frame.df.join(rows, F.col(ID) == F.col("__of"), "left").select(*keys, *held, *[column(k, t) for k, t in types.items()])
+            changed[i] = replace(frame, df=df, labels=None if labels else frame.labels, properties=types, layers=frame.layers + 1)
+        self._replace(kind, changed)
 
     # -- DELETE --
 
     def delete(self, clause: Delete) -> None:
-        nodes: DataFrame | None = None
-        edges: DataFrame | None = None
+        gone: dict[str, list[tuple[DataFrame, frozenset[int]]]] = {"nodes": [], "edges": []}
         for x in clause.expressions:
             v = self.expressions().value(x)
             if v.type.kind == "null":
                 continue
             if v.type.kind not in ("node", "edge"):
                 raise compile_error("InvalidDelete", "invalid delete argument, expected node or edge.")
+            kind = v.type.kind + "s"
+            frames = v.frames if isinstance(v, Entity) and v.frames else frozenset(range(len(getattr(self.graph, kind))))
             ids = self.bindings.table().select(V.identity(v).alias("__of")).where("__of is not null").distinct()
-            if v.type.kind == "node":
-                nodes = ids if nodes is None else nodes.unionByName(ids)
-            else:
-                edges = ids if edges is None else edges.unionByName(ids)
-        held = self.graph.edges[0].df
-        if edges is not None:
-            held = held.join(edges, F.col(ID) == F.col("__of"), "left_anti")
-        if nodes is not None:
-            nodes = cut(nodes)
-            for side in (SOURCE, TARGET):
-                if clause.detach:
-                    held = held.join(nodes, F.col(side) == F.col("__of"), "left_anti")
-                elif not held.join(nodes, F.col(side) == F.col("__of"), "left_semi").isEmpty():
-                    raise run_error("DeleteConnectedNode", "node is still connected and cannot be deleted.")
-        left = self.graph.nodes[0]
-        if nodes is not None:
-            left = replace(left, df=left.df.join(nodes, F.col(ID) == F.col("__of"), "left_anti"))
-        self._new_graph(left, replace(self.graph.edges[0], df=held))
-
-
-def _appended(frame: Frame, rows: DataFrame, types: Mapping[str, Type], keys: Sequence[str]) -> tuple[DataFrame, None, dict[str, Type]]:
+            gone[kind].append((cut(ids), frames))
+        for ids, frames in gone["edges"]:
+            self._without("edges", frames, ids, [ID])
+        for ids, frames in gone["nodes"]:
+            for i, f in enumerate(self.graph.edges):
+                for side, reach in ((SOURCE, f.sources), (TARGET, f.targets)):
+                    if not reach & frames:
+                        continue
+                    if clause.detach:
+                        self._without("edges", frozenset([i]), ids, [side])
+                    elif not self.graph.edges[i].df.join(ids, F.col(side) == F.col("__of"), "left_semi").isEmpty():
+                        raise run_error("DeleteConnectedNode", "node is still connected and cannot be deleted.")
+        for ids, frames in gone["nodes"]:
+            self._without("nodes", frames, ids, [ID])
+
+    def _without(self, kind: str, frames: frozenset[int], ids: DataFrame, keys: Sequence[str]) -> None:
+        changed = {}
+        for i in frames:
+            frame: Frame = getattr(self.graph, kind)[i]
+            df = frame.df
+            for k in keys:
+                df = df.join(ids, F.col(k) == F.col("__of"), "left_anti")
+            changed[i] = replace(frame, df=df, layers=frame.layers + 1)
+        self._replace(kind, changed)
+
+
+def _appended(frame: Frame, rows: DataFrame, types: Mapping[str, Type], keys: Sequence[str]) -> Frame:
     """A frame with more rows; a property that they disagree on becomes a tagged struct."""
     united = {k: V.unify(frame.properties.get(k, V.NULL), types.get(k, V.NULL)) for k in {**frame.properties, **types}}
 
     def part(df: DataFrame, held: Mapping[str, Type]) -> DataFrame:
         return df.select(*keys, LABELS, *[typed_property(held, k, t).alias(k) for k, t in united.items()])
 
-    return part(frame.df, frame.properties).unionByName(part(rows, types)), None, united
+    df = part(frame.df, frame.properties).unionByName(part(rows, types))
+    return replace(frame, df=df, properties=united, layers=frame.layers + 1)
 
 
 def _with(v: Entity, properties: Value) -> Entity:

@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverlane.graph import ID, LABELS, SOURCE, TARGET, EdgeFrame, NodeFrame, PropertyGraph, empty_graph
+from quiverlane.graph import ID, LABELS, SOURCE, TARGET, EdgeFrame, Frame, NodeFrame, PropertyGraph, empty_graph
 from quiverlane.lang import values as V
 from quiverlane.lang.errors import Internal, Store, run_error
 from quiverlane.lang.parser import parse
@@ -26,6 +27,8 @@ from quiverlane.lang.writing import Writer
 from quiverlane.runtime import cut
 
 DEFAULT = "default"
+#: Changes to a frame that are applied when it is read; beyond, its rows are written down.
+MOST_LAYERS = 8
 
 
 class Result:
@@ -91,8 +94,7 @@ class Connection:
     def _run(self, statements: Sequence[Node], parameters: Mapping[str, Any]) -> Result | None:
         name = DEFAULT
         graphs = dict(self.graphs)
-        writes = any(isinstance(s, (Create, Update, Delete)) for s in statements)
-        query = self._query(graphs[name], parameters, statements, writes)
+        query = Writer(self.spark, graphs[name], parameters, uses(statements))
         touched: set[str] = set()
         result: Result | None = None
         for s in statements:
@@ -107,7 +109,7 @@ class Connection:
                 elif s.name not in graphs:
                     raise run_error("UnknownGraph", f"{s.name} does not exists.")
                 name = s.name
-                query.graph = graphs[name].flattened(self.spark) if writes else graphs[name]
+                query.graph = graphs[name]
                 query.wrote = False
             elif isinstance(s, Match):
                 query.match(s)
@@ -140,16 +142,15 @@ class Connection:
                 self.store.commit(self.spark, {t: graphs[t] for t in touched}, list(graphs))
         return result
 
-    def _query(self, graph: PropertyGraph, parameters: Mapping[str, Any], statements: Sequence[Node], writes: bool) -> Writer:
-        return Writer(self.spark, graph.flattened(self.spark) if writes else graph, parameters, uses(statements))
-
     def _committed(self, name: str, graph: PropertyGraph) -> PropertyGraph:
-        """The graph with its rows written down, so that its plan doesn't grow from query to query."""
-        graph = graph.flattened(self.spark)
+        """The graph as later queries read it; frames that many changes are piled on are written down."""
         if self.store:
-            return self.store.written(self.spark, name, graph)
-        nodes, edges = graph.nodes[0], graph.edges[0]
-        return PropertyGraph((NodeFrame(cut(nodes.df), None, nodes.properties),), (EdgeFrame(cut(edges.df), None, edges.properties, edges.sources, edges.targets, edges.complete),), graph.next_id)
+            return self.store.written(self.spark, name, graph.flattened(self.spark))
+
+        def settled(frame: Frame) -> Frame:
+            return replace(frame, df=cut(frame.df), layers=0) if frame.layers > MOST_LAYERS else frame
+
+        return replace(graph, nodes=tuple(map(settled, graph.nodes)), edges=tuple(map(settled, graph.edges)))
 
     # -- graphs --
 
@@ -229,7 +230,7 @@ class ParquetStore:
             return {f.name: V.type_of(f.dataType) for f in df.schema.fields if f.name not in (ID, LABELS, SOURCE, TARGET)}
 
         one = frozenset([0])
-        return PropertyGraph((NodeFrame(nodes, None, types(nodes)),), (EdgeFrame(edges, None, types(edges), one, one),), m["next_id"])
+        return PropertyGraph((NodeFrame(nodes, None, types(nodes), open=True),), (EdgeFrame(edges, None, types(edges), open=True, sources=one, targets=one),), m["next_id"])
 
     def written(self, spark: SparkSession, name: str, graph: PropertyGraph) -> PropertyGraph:
         entry: dict[str, Any] = {"next_id": graph.next_id}
