@@ -61,12 +61,13 @@ def _head(args: Sequence[Value]) -> Value:
 
 @register("keys", 1)
 def _keys(args: Sequence[Value]) -> Value:
-    """The names of members that aren't null, in alphabetical order."""
+    """The names of members in alphabetical order."""
     (v,) = args
     if v.type.kind not in ("map", "node", "edge"):
         _refuse("keys", v)
     members = v.properties if isinstance(v, Entity) else v.type.members
-    names = [F.when(~V.is_null(V.member(v, k)), F.lit(k)) for k in sorted(members)]
+    dense = v.type.kind == "map" and not v.type.sparse
+    names = [F.lit(k) if dense else F.when(~V.is_null(V.member(v, k)), F.lit(k)) for k in sorted(members)]
     listed = F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")
     return Value(V.list_of(STR), F.when(~V.is_null(v), listed))
 
@@ -87,7 +88,8 @@ def _count(v: Value, name: str) -> Value:
     if v.type.kind == "list":
         return Value(INT, F.when(v.column.isNotNull(), F.size(v.column)).cast("bigint"))
     if v.type.kind == "map":
-        return Value(INT, F.when(v.column.isNotNull(), F.lit(len(v.type.fields))).cast("bigint"))
+        n = F.size(_keys([v]).column) if v.type.sparse else F.lit(len(v.type.fields))
+        return Value(INT, F.when(v.column.isNotNull(), n).cast("bigint"))
     return _refuse(name, v)
 
 
@@ -159,8 +161,8 @@ def _properties(args: Sequence[Value]) -> Value:
     if v.type.kind not in ("node", "edge"):
         _refuse("properties", v)
     if not isinstance(v, Entity):
-        return Value(V.map_of(v.type.members), v.column["properties"])
-    made = V.map_value(v.properties)
+        return Value(V.map_of(v.type.members, sparse=True), v.column["properties"])
+    made = V.map_value(v.properties, sparse=True)
     return Value(made.type, F.when(v.id.isNotNull(), made.column))
 
 

@@ -26,6 +26,8 @@ class Type:
     element: Type | None = None
     fields: tuple[tuple[str, Type], ...] = ()
     native: str = ""
+    #: Of a map: a null member is one that isn't there, as in what is stored.
+    sparse: bool = field(default=False, compare=False)
 
     def __str__(self) -> str:
         return f"list of {self.element}" if self.kind == "list" else self.native or self.kind
@@ -43,8 +45,8 @@ def list_of(element: Type) -> Type:
     return Type("list", element)
 
 
-def map_of(fields: Mapping[str, Type]) -> Type:
-    return Type("map", fields=tuple(sorted(fields.items())))
+def map_of(fields: Mapping[str, Type], sparse: bool = False) -> Type:
+    return Type("map", fields=tuple(sorted(fields.items())), sparse=sparse)
 
 
 #: The order of kinds.
@@ -88,7 +90,7 @@ def type_of(data_type: S.DataType) -> Type:
     if isinstance(data_type, S.StructType):
         if data_type.simpleString() == TAGGED:
             return ANY
-        return map_of({f.name: type_of(f.dataType) for f in data_type.fields})
+        return map_of({f.name: type_of(f.dataType) for f in data_type.fields}, sparse=True)
     return Type("native", native=data_type.simpleString())
 
 
@@ -156,7 +158,7 @@ def literal(value: Any) -> Value:
 
 def unify(a: Type, b: Type) -> Type:
     """The type that columns of both types can have; integers and floats stay apart in ANY."""
-    if a == b or b.kind == "null":
+    if a == b and not b.sparse or b.kind == "null":
         return a
     if a.kind == "null":
         return b
@@ -164,7 +166,8 @@ def unify(a: Type, b: Type) -> Type:
         return list_of(unify(a.element, b.element))
     if a.kind == b.kind and a.kind in ("map", "node", "edge"):
         x, y = a.members, b.members
-        return Type(a.kind, fields=tuple(sorted((k, unify(x.get(k, NULL), y.get(k, NULL))) for k in {*x, *y})))
+        fields = tuple(sorted((k, unify(x.get(k, NULL), y.get(k, NULL))) for k in {*x, *y}))
+        return Type(a.kind, fields=fields, sparse=a.sparse or b.sparse or set(x) != set(y))
     return ANY
 
 
@@ -233,9 +236,9 @@ def list_value(items: Sequence[Value]) -> Value:
     return Value(list_of(element), F.array(*columns) if columns else F.array().cast("array<void>"), all(v.constant for v in items), [v.literal for v in items])
 
 
-def map_value(entries: Mapping[str, Value]) -> Value:
+def map_value(entries: Mapping[str, Value], sparse: bool = False) -> Value:
     items = sorted(entries.items())
-    t = map_of({k: v.type for k, v in items})
+    t = map_of({k: v.type for k, v in items}, sparse)
     return Value(t, F.struct(*[as_column(v).alias(k) for k, v in items]), all(v.constant for v in entries.values()), {k: v.literal for k, v in items})
 
 
@@ -408,11 +411,14 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
         return Value(INT, {"+": a.column + b.column, "-": a.column - b.column, "*": a.column * b.column, "%": a.column % b.column}[op])
     if kinds <= {"int", "float"}:
         return Value(FLOAT, _floats(op, a.column.cast("double"), b.column.cast("double")))
-    if kinds <= set(NUMBERS):
+    if kinds <= set(NUMBERS) or op == "+" and kinds == {"any", "str"}:
         x, y = tagged(a.column, a.type), tagged(b.column, b.type)
         whole = arithmetic(op, Value(INT, x["i"]), Value(INT, y["i"])) if op in "+-*" else Value(INT, F.call_function("try_mod" if op == "%" else "div", x["i"], F.when(y["i"] != 0, y["i"])))
         made = F.when(x["i"].isNotNull() & y["i"].isNotNull(), tagged(whole.column, INT)).otherwise(tagged(_floats(op, x["d"], y["d"]), FLOAT))
-        return Value(ANY, F.when((x["k"] == 8) & (y["k"] == 8), made))
+        made = F.when((x["k"] == 8) & (y["k"] == 8), made)
+        if op == "+":
+            made = made.when((x["k"] == 6) & (y["k"] == 6), tagged(F.concat(x["s"], y["s"]), STR))
+        return Value(ANY, made)
     raise run_error("InvalidBinaryOperands", f"{a.type} {op} {b.type}")
 
 

@@ -175,7 +175,7 @@ class Writer(Reader):
         assert isinstance(action, SetValue)
         value = V.plain(self.expressions().value(action.value))
         if not action.path and value.type.kind in ("node", "edge"):
-            value = Value(V.map_of(value.type.members), value.column["properties"])
+            value = Value(V.map_of(value.type.members, sparse=True), value.column["properties"])
         if (not action.path or action.merge) and value.type.kind not in ("map", "null"):
             raise run_error("InvalidArgumentType", f"a map is needed, not {value.type}")
         return _with(v, _assigned(V.map_value(v.properties), action.path, value, action.merge))
@@ -288,4 +288,4 @@ def _assigned(held: Value, path: Sequence[str], value: Value | None, merge: bool
         members = {**members, **new} if merge else new
     elif not merge:
         members = {}
-    return V.map_value(members)
+    return V.map_value(members, sparse=True)

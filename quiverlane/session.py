@@ -55,7 +55,7 @@ def to_python(x: Any, t: Type) -> Any:
     if t.kind == "list":
         return [to_python(e, t.element) for e in x]
     if t.kind == "map":
-        return {k: to_python(x[k], m) for k, m in t.fields}
+        return {k: to_python(x[k], m) for k, m in t.fields if x[k] is not None or not t.sparse}
     if t.kind in ("node", "edge"):
         held = {k: to_python(x["properties"][k], m) for k, m in t.fields}
         return {"type": t.kind, "key": x["id"], "labels": list(x["labels"] or ()), "properties": {k: v for k, v in held.items() if v is not None}}
