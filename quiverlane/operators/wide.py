@@ -128,7 +128,10 @@ def wide_table(props: DataFrame, attributes: Sequence[Attribute]) -> DataFrame:
         return F.transform_values(F.transform_keys(held, lambda k, _: names[k.cast("int")]), lambda _, v: v[part])
 
     columns = [column(i, a) for i, a in enumerate(attributes)]
-    return entity_maps(props, attributes).select("node_id", *columns, kept("fault").alias("faults"), kept("unread").alias("unread"))
+    # all that couldn't be read of a multi-valued attribute is in its one entry without a value
+    of_many = F.map_from_entries(F.transform(F.filter("many", lambda c: c["unread"].isNotNull()), lambda c: F.struct(names[c["attribute"].cast("int")], c["unread"])))
+    unread = F.map_concat(kept("unread"), of_many)
+    return entity_maps(props, attributes).select("node_id", *columns, kept("fault").alias("faults"), unread.alias("unread"))
 
 
 def unsettled_cells(props: DataFrame, attributes: Sequence[Attribute]) -> DataFrame:
