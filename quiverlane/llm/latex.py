@@ -9,6 +9,7 @@ A passage is a paragraph, a heading, a list item, a caption, a footnote or one o
 from __future__ import annotations
 
 import re
+import unicodedata
 
 #: Stand-ins for escaped characters, so that what is left of their kind is syntax.
 _ESCAPED = [("\\\\", "\ue004"), ("\\%", "\ue000"), ("\\{", "\ue001"), ("\\}", "\ue002"), ("\\$", "\ue003"), ("\\_", "_"), ("\\&", "&"), ("\\#", "#"), ("\\-", ""), ("~", " ")]
@@ -37,19 +38,28 @@ _PARAGRAPH = re.compile(r"\n[ \t]*\n\s*")
 _STYLED = re.compile(rf"\\(?:texttt|textit|textsl|emph|enquote|url|textquote|textsf)\s*{_ARG}")
 _MARKED = re.compile(r"``(?:(?!''|``).)*''|“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|‘‘(?:(?!’’).)*’’", re.S)
 _STRAIGHT = re.compile(r'(?<![\w="])"[^"\n]{2,80}"(?![\w"])')
+_JSON = re.compile(r'[\s{\[\ue001]*"[\w ]+"\s*:')
 _LESS = re.compile(r"\\text(less|greater)(?:\{\}|\s)?")
 _COMMAND = re.compile(r"\\(?:[A-Za-z@]+\*?|.)")
-_ACCENT = re.compile(r"\\[\"'`^~=.](?:\{(\w)\}|(\w))")
+_ACCENT = re.compile(r"\\([\"'`^~])\s*(?:\{\\?([A-Za-z])\}|\\?([A-Za-z])(?![A-Za-z]{2})|([A-Za-z]))")
+#: The combining marks that accent commands stand for.
+_MARKS = {'"': "\u0308", "'": "\u0301", "`": "\u0300", "^": "\u0302", "~": "\u0303"}
 
 
 def unescaped(text: str) -> str:
     """The text with stand-ins for escaped characters: the form that the other functions read."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    for escape, plain in _ESCAPED:
+    for i, (escape, plain) in enumerate(_ESCAPED):
         text = text.replace(escape, plain)
+        if i == 0:  # line breaks are out of the way, and tildes are still there
+            text = _ACCENT.sub(_accented, text)
     return text
 
 
+def _accented(m: re.Match) -> str:
+    return unicodedata.normalize("NFC", (m[2] or m[3] or m[4]) + _MARKS[m[1]])
+
+
 def passages(text: str, filler: re.Pattern) -> list[str]:
     """The passages of an unescaped text; ``filler`` matches the commands that print filler."""
     text = _VERB.sub(QUOTED, text)
@@ -80,10 +90,9 @@ def readable(passage: str) -> str:
         body = inner
     body = _STYLED.sub(QUOTED, body)
     body = _MARKED.sub(QUOTED, body)
-    if passage.lstrip()[:1] not in "{<[\ue001":
+    if not _JSON.match(body):
         body = _STRAIGHT.sub(QUOTED, body)
     body = _LESS.sub(lambda m: "<" if m[1] == "less" else ">", body)
-    body = _ACCENT.sub(lambda m: m[1] or m[2], body)
     body = _COMMAND.sub(" ", body)
     body = _outer_braces(body)
     return body.translate(_PLAIN)
