@@ -52,10 +52,10 @@ REPEAT_UNIT, REPEAT_TIMES, REPEAT_WORDS, REPEAT_SHARE = 12, 3, 5, 0.8
 
 _NAMES = "|".join(sorted(exemplars.SLOT_NAMES, key=len, reverse=True))
 _IDENT = rf"[A-Za-z_][\w.\-]*(?:\[\w*\][\w.]*)*"
-_LABEL = rf"(?:[a-z]+[_\s.])?(?:{_NAMES})(?:[_\s.][a-z0-9]+)?"
+_LABEL = rf"(?:[a-z0-9]+[_\s.]){{0,2}}(?:{_NAMES})(?:[_\s.][a-z0-9]+){{0,2}}"
 #: What a template engine, a mail merge or a script leaves where a value should stand.
 _SLOT = re.compile(
-    rf"\{{\{{+\s*{_IDENT}(?:\s*\|[^{{}}\n]*)?\s*\}}\}}+|\$\{{\s*{_IDENT}\s*\}}|#\{{\s*{_IDENT}\s*\}}|<%=?\s*{_IDENT}\s*%>|\{{%\s*{_IDENT}[^{{}}%\n]*%\}}|@@\s*{_IDENT}\s*@@|%%?[A-Z][A-Z_]+%%?|__[A-Z][A-Z_]*__"
+    rf"\{{\{{+\s*{_IDENT}(?:\s*\|[^{{}}\n]*)?\s*\}}\}}+|\$\{{\s*{_IDENT}\s*\}}|#\{{\s*{_IDENT}\s*\}}|<%=?\s*{_IDENT}\s*%>|\{{%\s*{_IDENT}[^{{}}%\n]*%\}}|@@\s*{_IDENT}\s*@@|%%?[A-Z][A-Z_0-9]+%%?|__[A-Z][A-Z_0-9]*__|\[\[\s*[A-Z][A-Z_0-9]+\s*\]\]"
     rf"|(?i:<<?\s*{_LABEL}\s*>>?|\[\[?\s*{_LABEL}\s*\]?\]|\[object\s+object\])"
 )
 _HTML = re.compile(r"</?(?:html|head|body|title|h[1-6]|hr|p|div|span|center|noscript|br|b|i|a)\b[^<>]*>", re.I)
@@ -69,8 +69,8 @@ _SIGNS = [
     for p in (
         *(rf"{o}{o}\s*[A-Za-z_][\w.\-]+" for o in (r"\{", "\ue001")),
         *(rf"{d}{o}\s*[A-Za-z_]" for d in (r"\$", "\ue003", "#") for o in (r"\{", "\ue001")),
-        *(rf"{p}[A-Z][A-Z_]+{p}" for p in ("%", "\ue000")),
-        *("<%", r"\{%", "\ue001\ue000", "@@", "__[A-Z]"),
+        *(rf"{p}[A-Z][A-Z_0-9]+{p}" for p in ("%", "\ue000")),
+        *(r"\[\[\s*[A-Z][A-Z_0-9]+\s*\]\]", "<%", r"\{%", "\ue001\ue000", "@@", "__[A-Z]"),
         *(rf"{b}\s*(?i:{_LABEL}|object\s+object)\s*(?:[>\]]|\\text)" for b in ("<", r"\[", "less", r"less\{\}")),
         *(rf"{b}[ \t]*[<\[][^\W\d_]" for b in (r"\A", r"\n", r"\{")),
         *(rf"\\{c}(?![A-Za-z])" for c in exemplars.FILLER_COMMANDS),
