@@ -46,9 +46,9 @@ LEAST, MOST, OTHER = 0.3, 6.0, 4.0
 LONGEST = 6
 
 SLOT, NUMBER, WRAPPED, REPEATED = "⟨slot⟩", "#", "⟨wrapped⟩", "⟨repeated⟩"
-#: A passage that says a unit of up to REPEAT_UNIT words over and over, at least REPEAT_TIMES times and
-#: REPEAT_WORDS words, in REPEAT_SHARE of its words, is filler whatever the words.
-REPEAT_UNIT, REPEAT_TIMES, REPEAT_WORDS, REPEAT_SHARE = 12, 3, 5, 0.8
+#: A passage that says nothing but one or two words over and over, or one sentence, is filler
+#: whatever the words: at least so many times, and so many words.
+REPEAT_TIMES, REPEAT_WORDS = 3, 5
 
 _NAMES = "|".join(sorted(exemplars.SLOT_NAMES, key=len, reverse=True))
 _IDENT = rf"[A-Za-z_][\w.\-]*(?:\[\w*\][\w.]*)*"
@@ -105,14 +105,16 @@ def sentences(text: str) -> list[list[str]]:
         text = stripped
     parts = [w for s in _SENTENCE.split(text) if (w := words(s))]
     # rows of a table repeat themselves by their nature
-    return [[REPEATED]] if "&" not in text and _repeats([w for p in parts for w in p]) else parts
+    return [[REPEATED]] if "&" not in text and _repeats(parts) else parts
 
 
-def _repeats(said: list[str]) -> bool:
-    n = len(said)
-    if n < REPEAT_WORDS or sum(map(str.isalpha, said)) < REPEAT_SHARE * n:
+def _repeats(parts: list[list[str]]) -> bool:
+    said = [w for p in parts for w in p]
+    if len(said) < REPEAT_WORDS or not any(map(str.isalpha, said[:2])):
         return False
-    return any(sum(map(str.__eq__, said, said[unit:])) >= REPEAT_SHARE * (n - unit) for unit in range(1, min(REPEAT_UNIT, n // REPEAT_TIMES) + 1))
+    if len(parts) >= REPEAT_TIMES and all(p == parts[0] for p in parts[1:]):
+        return True
+    return any(len(said) >= REPEAT_TIMES * unit and said[unit:] == said[:-unit] for unit in (1, 2))
 
 
 @dataclass(frozen=True)
@@ -213,7 +215,7 @@ class Index:
             return True
         if any(a == c == e and b == d == f for a, b, c, d, e, f in zip(said, said[1:], said[2:], said[3:], said[4:], said[5:])):
             return True
-        stops = [s.strip() for s in re.split("[.!?]", text)]
+        stops = [s.strip() for s in re.split("[.!?…]", " ".join(text.split()))]
         return any(a == b == c != "" for a, b, c in zip(stops, stops[1:], stops[2:]))
 
 
