@@ -72,7 +72,9 @@ class Connection:
 
     def __init__(self, spark: SparkSession, graphs: Mapping[str, PropertyGraph] | None = None, store: ParquetStore | None = None) -> None:
         self.spark, self.store = spark, store
-        self.graphs: dict[str, PropertyGraph] = {DEFAULT: empty_graph(spark), **(store.load(spark) if store else {}), **(graphs or {})}
+        self.graphs: dict[str, PropertyGraph] = {**(store.load(spark) if store else {}), **(graphs or {})}
+        if DEFAULT not in self.graphs:
+            self.graphs[DEFAULT] = empty_graph(spark)
 
     # -- queries --
 

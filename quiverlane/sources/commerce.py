@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import SparkSession
 
 from quiverlane.graph import PropertyGraph
@@ -11,10 +13,12 @@ from quiverlane.sources.tables import read_table
 LINE = "l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
 
 
+@lru_cache(maxsize=4)
 def commerce_graph(spark: SparkSession, directory: str) -> PropertyGraph:
     """Regions, nations, customers, suppliers, parts, orders, users and events.
 
-    Each table is one node frame; foreign keys and order lines are the edges. Nothing is read yet.
+    Each table is one node frame; foreign keys and order lines are the edges. Only the schemas are
+    read. As with any open database, a session keeps the graph of a directory that it opened.
     """
     t = {n: read_table(spark, directory, n) for n in "region nation customer supplier part orders lineitem events".split()}
     g = PropertyGraph()
