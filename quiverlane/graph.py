@@ -5,8 +5,10 @@ labels and typed property columns, so a pattern's labels choose tables, and filt
 pruning reach their scans. A frame of nodes or edges that queries created has a column of labels;
 properties of mixed types are tagged structs there.
 
-Node ids are 64-bit: a table's integer key and the number of the frame, so joins compare longs. Edge
-ids are texts and only computed where a query tells edges apart.
+A node is known by its table's integer key and the place of the table, so joins are on the tables'
+own columns as long as a pattern's ends have one table each. Edge ids are texts and only computed
+where a query tells edges apart. An edge that is a foreign key in a table of nodes carries that
+table's columns, so following it doesn't join the table with itself.
 """
 
 from __future__ import annotations
@@ -20,10 +22,9 @@ from pyspark.sql import functions as F
 from quiverlane.lang import values as V
 from quiverlane.lang.values import Type
 
-#: Frames that a graph may have; node ids are key * FRAMES + frame.
-FRAMES = 64
-
 ID, LABELS, SOURCE, TARGET = "__id", "__labels", "__source", "__target"
+#: Prefix of the columns of the node that an edge's row belongs to.
+OWN = "__own_"
 
 
 @dataclass(frozen=True)
@@ -44,16 +45,28 @@ class Frame:
 
 @dataclass(frozen=True)
 class NodeFrame(Frame):
-    pass
+    """``place``: that of the frame, if its ids are the keys of a table (``table``, ``key``)."""
+
+    place: int | None = None
+    table: DataFrame | None = None
+    key: str = ""
 
 
 @dataclass(frozen=True)
 class EdgeFrame(Frame):
-    """``sources``, ``targets``: the node frames that its ends are in. ``complete``: all ends exist."""
+    """``sources``, ``targets``: the node frames that its ends are in. ``complete``: all ends exist.
+
+    ``source_place``, ``target_place``: the frame whose keys the ends are, or None for ids.
+    ``owner``: SOURCE or TARGET, if a row is also the row of that node; its properties are then in
+    the columns that begin with OWN.
+    """
 
     sources: frozenset[int] = frozenset()
     targets: frozenset[int] = frozenset()
     complete: bool = True
+    source_place: int | None = None
+    target_place: int | None = None
+    owner: str | None = None
 
 
 @dataclass(frozen=True)
@@ -72,10 +85,10 @@ class PropertyGraph:
         labels = (label,) if isinstance(label, str) else tuple(label)
         names = list(df.columns if properties is None else properties)
         place = len(self.nodes)
-        if place >= FRAMES - 1:
-            raise ValueError(f"a graph has at most {FRAMES - 1} tables of nodes")
-        made = df.select(node_id(F.col(key), place).alias(ID), *[_property(df, n) for n in names])
-        frame = NodeFrame(made, labels, {n: V.type_of(made.schema[n].dataType) for n in names})
+        if place >= V.FRAMES - 1:
+            raise ValueError(f"a graph has at most {V.FRAMES - 1} tables of nodes")
+        made = df.select(F.col(key).cast("bigint").alias(ID), *[_property(df, n) for n in names])
+        frame = NodeFrame(made, labels, {n: V.type_of(made.schema[n].dataType) for n in names}, place=place, table=df, key=key)
         return replace(self, nodes=(*self.nodes, frame), _places=self._places | {labels[0]: place})
 
     def with_edges(self, label: str, df: DataFrame, source: tuple[str, str], target: tuple[str, str], key: str | None = None, properties: Sequence[str] = (), complete: bool = True) -> PropertyGraph:
@@ -87,15 +100,19 @@ class PropertyGraph:
         """
         s, t = self._places[source[0]], self._places[target[0]]
         place = len(self.edges)
+        # a table of nodes whose own key is one end: each of its rows is also that node
+        owners = [(end, self.nodes[i]) for end, i, column in ((SOURCE, s, source[1]), (TARGET, t, target[1])) if self.nodes[i].table is df and self.nodes[i].key == column]
+        owner, node = owners[0] if owners else (None, None)
+        own = [_property(df, n).alias(OWN + n) for n in node.properties] if node else []
         if key is None:
             df = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
             identity = F.concat_ws(":", F.lit(place), F.col("__file"), F.col("__row"))
         else:
             identity = F.concat_ws(":", F.lit(place), F.col(key))
         made = df.where(F.col(source[1]).isNotNull() & F.col(target[1]).isNotNull()).select(
-            identity.alias(ID), node_id(F.col(source[1]), s).alias(SOURCE), node_id(F.col(target[1]), t).alias(TARGET), *[_property(df, n) for n in properties]
+            identity.alias(ID), F.col(source[1]).cast("bigint").alias(SOURCE), F.col(target[1]).cast("bigint").alias(TARGET), *[_property(df, n) for n in properties], *own
         )
-        frame = EdgeFrame(made, (label,), {n: V.type_of(made.schema[n].dataType) for n in properties}, sources=frozenset([s]), targets=frozenset([t]), complete=complete)
+        frame = EdgeFrame(made, (label,), {n: V.type_of(made.schema[n].dataType) for n in properties}, sources=frozenset([s]), targets=frozenset([t]), complete=complete, source_place=s, target_place=t, owner=owner)
         return replace(self, edges=(*self.edges, frame))
 
     # -- as one table of nodes and one of edges -----------------------------------------------
@@ -111,10 +128,6 @@ class PropertyGraph:
         return PropertyGraph((node,), (edge,), self.next_id)
 
 
-def node_id(key: Column, place: int) -> Column:
-    return key.cast("bigint") * FRAMES + place
-
-
 def _property(df: DataFrame, name: str) -> Column:
     kind = V.type_of(df.schema[name].dataType).kind
     c = F.col(f"`{name}`")
@@ -149,13 +162,19 @@ def _united(frames: Sequence[Frame], keys: Sequence[str]) -> tuple[DataFrame, No
     for f in frames:
         for n, t in f.properties.items():
             types[n] = V.unify(types.get(n, V.NULL), t)
-    parts = [f.df.select(*keys, f.label_column().alias(LABELS), *[typed_property(f.properties, n, t).alias(n) for n, t in types.items()]) for f in frames]
+    parts = [f.df.select(*[key_column(f, k).alias(k) for k in keys], f.label_column().alias(LABELS), *[typed_property(f.properties, n, t).alias(n) for n, t in types.items()]) for f in frames]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out, None, types
 
 
+def key_column(f: Frame, key: str) -> Column:
+    """A key column of a frame as ids."""
+    places = {ID: f.place} if isinstance(f, NodeFrame) else {SOURCE: f.source_place, TARGET: f.target_place}
+    return V.coded(F.col(key), places.get(key))
+
+
 def typed_property(held: Mapping[str, Type], name: str, to: Type) -> Column:
     """A property column as a type that its own was unified into; null if the frame hasn't it."""
     if name in held:

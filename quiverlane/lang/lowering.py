@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quiverlane.functions import scalar
 from quiverlane.functions.aggregates import AGGREGATES, aggregate
-from quiverlane.graph import ID, LABELS, SOURCE, TARGET, Frame, PropertyGraph, typed_property
+from quiverlane.graph import ID, LABELS, OWN, SOURCE, TARGET, EdgeFrame, Frame, PropertyGraph, key_column, typed_property
 from quiverlane.lang import values as V
 from quiverlane.lang.errors import Internal, compile_error, run_error
 from quiverlane.lang.syntax import (
@@ -270,8 +270,9 @@ class Matcher:
             return
         outer = self.scope.get(name)
         if self.optional and name not in self.local and isinstance(outer, Entity):
-            self.on.append(outer.id == entity.id)
-            self.local[name] = replace(outer, id=entity.id)
+            edge = outer.type.kind == "edge"
+            self.on.append(outer.id == entity.id if edge else V.same_node(outer.id, outer.place, entity.id, entity.place))
+            self.local[name] = replace(outer, id=entity.id, place=entity.place)
         else:
             self.local[name] = entity
 
@@ -306,28 +307,35 @@ class Matcher:
 
     # -- scans --
 
-    def scan(self, frames: Sequence[Frame], keys: Sequence[str], labels: Node | None) -> tuple[DataFrame | None, dict[str, Column], Column, dict[str, Value]]:
-        """The rows of frames under fresh names: table, key columns, labels, properties."""
+    def scan(self, frames: Sequence[Frame], keys: Mapping[str, bool], labels: Node | None) -> tuple[DataFrame, dict[str, Column], Column, dict[str, Value]]:
+        """The rows of frames under fresh names: table, key columns, labels, properties.
+
+        ``keys``: which columns, and whether as ids; else they are the keys of the one table.
+        """
         types: dict[str, Type] = {}
         for f in frames:
             for n, t in f.properties.items():
                 types[n] = V.unify(types.get(n, V.NULL), t)
         b = self.bindings
         names = {k: b.fresh() for k in (*keys, LABELS)} | {"." + n: b.fresh() for n in types}
+        own = [c for c in frames[0].df.columns if c.startswith(OWN)] if len(frames) == 1 else []
+        names |= {c: b.fresh() for c in own}
         out = None
         for f in frames:
             df = f.df
             if f.labels is None and labels is not None:
                 df = df.where(label_filter(labels, F.col(LABELS)))
-            part = df.select(*[F.col(k).alias(names[k]) for k in keys], f.label_column().alias(names[LABELS]), *[typed_property(f.properties, n, t).alias(names["." + n]) for n, t in types.items()])
+            ids = [(key_column(f, k) if as_id else F.col(k)).alias(names[k]) for k, as_id in keys.items()]
+            part = df.select(*ids, f.label_column().alias(names[LABELS]), *[typed_property(f.properties, n, t).alias(names["." + n]) for n, t in types.items()], *[F.col(f"`{c}`").alias(names[c]) for c in own])
             out = part if out is None else out.unionByName(part)
         fixed = frames[0].label_column() if len(frames) == 1 and frames[0].labels is not None else F.col(names[LABELS])
-        return out, {k: F.col(names[k]) for k in keys}, fixed, {n: Value(t, F.col(names["." + n])) for n, t in types.items()}
+        return out, {k: F.col(names[k]) for k in (*keys, *own)}, fixed, {n: Value(t, F.col(names["." + n])) for n, t in types.items()}
 
     def scan_node(self, e: _End) -> tuple[DataFrame, Entity]:
         frames = [self.graph.nodes[i] for i in sorted(e.frames)]
-        df, keys, labels, properties = self.scan(frames, [ID], e.pattern.labels) if frames else self.nothing([ID])
-        entity = Entity(Type("node", fields=tuple(sorted((n, v.type) for n, v in properties.items()))), id=keys[ID], labels=labels, properties=properties, frames=e.frames)
+        place = frames[0].place if len(frames) == 1 else None
+        df, keys, labels, properties = self.scan(frames, {ID: place is None}, e.pattern.labels) if frames else self.nothing([ID])
+        entity = Entity(Type("node", fields=tuple(sorted((n, v.type) for n, v in properties.items()))), id=keys[ID], labels=labels, properties=properties, frames=e.frames, place=place)
         df = self.with_properties(df, entity, e.pattern.properties)
         return df, entity
 
@@ -376,50 +384,57 @@ class Matcher:
 
     def step(self, edge: EdgePattern, ends: list[_End], i: int) -> None:
         left, right = ends[i], ends[i + 1]
-        entity = self.bound(edge.variable, "edge")
-        if entity is None:
-            df, entity, complete, reach = self.scan_edge(edge, left, right)
-            on = [side == e.entity.id for side, e in ((entity.source, left), (entity.target, right)) if self.entity_of(e) is not None]
-            loop = left.pattern.variable is not None and left.pattern.variable == right.pattern.variable
-            if loop:
-                df = df.where(entity.source == entity.target)
+        bound = self.bound(edge.variable, "edge")
+        owned: dict[str, Entity] = {}
+        if bound is None:
+            df, entity, complete, reach, owned = self.scan_edge(edge, left, right)
+            on = [V.same_node(side, place, e.entity.id, e.entity.place) for side, place, e in ((entity.source, entity.source_place, left), (entity.target, entity.target_place, right)) if self.entity_of(e) is not None]
+            if left.pattern.variable is not None and left.pattern.variable == right.pattern.variable:
+                df = df.where(V.same_node(entity.source, entity.source_place, entity.target, entity.target_place))
+            for side, e in ((SOURCE, left), (TARGET, right)):
+                if self.entity_of(e) is None and side in owned:
+                    df = self.with_properties(df, owned[side], e.pattern.properties)
             self.join(df, on)
         else:
             complete, reach = True, (left.frames, right.frames)
-            ways = F.array(F.struct(entity.source.alias("l"), entity.target.alias("r")), *([F.struct(entity.target.alias("l"), entity.source.alias("r"))] if edge.direction == "--" else []))
-            if edge.direction == "<-":
-                ways = F.array(F.struct(entity.target.alias("l"), entity.source.alias("r")))
+            s, t = V.coded(bound.source, bound.source_place), V.coded(bound.target, bound.target_place)
+            ways = {"->": [(s, t)], "<-": [(t, s)], "--": [(s, t), (t, s)]}[edge.direction]
             name = self.bindings.fresh()
-            self.df = self.df.select("*", F.explode(F.array_distinct(ways)).alias(name))
-            entity = replace(entity, source=F.col(name)["l"], target=F.col(name)["r"])
+            pairs = F.array(*[F.struct(a.alias("l"), b.alias("r")) for a, b in ways])
+            self.df = self.df.select("*", F.explode(F.array_distinct(pairs)).alias(name))
+            entity = replace(bound, source=F.col(name)["l"], target=F.col(name)["r"], source_place=None, target_place=None)
             for side, e in ((entity.source, left), (entity.target, right)):
                 if self.entity_of(e) is not None:
-                    self.keep(side == e.entity.id)
+                    self.keep(V.same_node(side, None, e.entity.id, e.entity.place))
         for other in self.edges:
             if other.frames & entity.frames or not other.frames:
                 self.keep(other.id != entity.id)
         self.edges.append(entity)
-        if self.bound(edge.variable, "edge") is None:
+        if bound is None:
             self.set(edge.variable, entity)
-        for side, e, reached in ((entity.source, left, reach[0]), (entity.target, right, reach[1])):
+        sides = ((SOURCE, entity.source, entity.source_place, left, reach[0]), (TARGET, entity.target, entity.target_place, right, reach[1]))
+        for end, side, place, e, reached in sides:
             if self.entity_of(e) is not None:
                 continue
             e.frames = e.frames & reached
-            if self.needs_scan(e, complete):
-                df, e.entity = self.scan_node(e)
-                self.join(df, [e.entity.id == side])
-            else:
+            if not self.needs_scan(e, complete):
                 only = [self.graph.nodes[f] for f in e.frames]
                 labels = only[0].label_column() if len(only) == 1 and only[0].labels is not None else F.lit(None).cast("array<string>")
-                e.entity = Entity(Type("node"), id=side, labels=labels, frames=e.frames)
+                e.entity = Entity(Type("node"), id=side, labels=labels, frames=e.frames, place=place)
+            elif end in owned:
+                e.entity = owned[end]
+            else:
+                df, e.entity = self.scan_node(e)
+                self.join(df, [V.same_node(e.entity.id, e.entity.place, side, place)])
             self.set(e.pattern.variable, e.entity)
             if e.pattern.variable in self.local:
                 e.entity = self.local[e.pattern.variable]
 
-    def scan_edge(self, p: EdgePattern, left: _End, right: _End) -> tuple[DataFrame, Entity, bool, tuple[frozenset[int], frozenset[int]]]:
+    def scan_edge(self, p: EdgePattern, left: _End, right: _End) -> tuple[DataFrame, Entity, bool, tuple[frozenset[int], frozenset[int]], dict[str, Entity]]:
         """Edges with their ends as the pattern reads them: source is its left, target its right.
 
-        Also whether all ends exist, and the node frames that the left and right ends can be in.
+        Also whether all ends exist, the node frames that the left and right ends can be in, and the
+        node that each row is the row of, by its end.
         """
         forth, back = [], []
         for i, f in enumerate(self.graph.edges):
@@ -432,21 +447,33 @@ class Matcher:
         used = sorted({*forth, *back})
         if not used:
             df, keys, labels, properties = self.nothing([ID, SOURCE, TARGET])
-            return df, Entity(Type("edge"), id=keys[ID], labels=labels, source=keys[SOURCE], target=keys[TARGET]), True, (left.frames, right.frames)
-        frames: list[Frame] = []
-        for i in forth:
-            frames.append(self.graph.edges[i])
+            return df, Entity(Type("edge"), id=keys[ID], labels=labels, source=keys[SOURCE], target=keys[TARGET]), True, (left.frames, right.frames), {}
+        frames: list[EdgeFrame] = [self.graph.edges[i] for i in forth]
         for i in back:
             f = self.graph.edges[i]
             # a self-loop is found once, in the forward direction
-            df = f.df.where(F.col(SOURCE) != F.col(TARGET)) if i in forth else f.df
-            frames.append(replace(f, df=df.select(*[F.col(c).alias({SOURCE: TARGET, TARGET: SOURCE}.get(c, c)) for c in df.columns])))
-        df, keys, labels, properties = self.scan(frames, [ID, SOURCE, TARGET], p.labels)
-        entity = Entity(Type("edge", fields=tuple(sorted((n, v.type) for n, v in properties.items()))), id=keys[ID], labels=labels, properties=properties, frames=frozenset(used), source=keys[SOURCE], target=keys[TARGET])
+            loops = V.same_node(F.col(SOURCE), f.source_place, F.col(TARGET), f.target_place)
+            df = f.df.where(~loops) if i in forth and f.sources & f.targets else f.df
+            turned = {SOURCE: TARGET, TARGET: SOURCE}
+            df = df.select(*[F.col(f"`{c}`").alias(turned.get(c, c)) for c in df.columns])
+            frames.append(replace(f, df=df, source_place=f.target_place, target_place=f.source_place, owner=turned.get(f.owner)))
+        places = [{f.source_place for f in frames}, {f.target_place for f in frames}]
+        s, t = (min(x) if len(x) == 1 and None not in x else None for x in places)
+        df, keys, labels, properties = self.scan(frames, {ID: False, SOURCE: s is None, TARGET: t is None}, p.labels)
+        entity = Entity(
+            Type("edge", fields=tuple(sorted((n, v.type) for n, v in properties.items()))), id=keys[ID], labels=labels, properties=properties, frames=frozenset(used), source=keys[SOURCE], target=keys[TARGET], source_place=s, target_place=t
+        )
         edges = self.graph.edges
         lefts = frozenset().union(*[edges[i].sources for i in forth], *[edges[i].targets for i in back])
         rights = frozenset().union(*[edges[i].targets for i in forth], *[edges[i].sources for i in back])
-        return self.with_properties(df, entity, p.properties), entity, all(edges[i].complete for i in used), (lefts, rights)
+        owned: dict[str, Entity] = {}
+        if len(frames) == 1 and frames[0].owner is not None:
+            end = frames[0].owner
+            place = s if end == SOURCE else t
+            node = self.graph.nodes[place]
+            held = {n: Value(x, keys[OWN + n]) for n, x in node.properties.items()}
+            owned[end] = Entity(Type("node", fields=tuple(sorted(node.properties.items()))), id=keys[end], labels=node.label_column(), properties=held, frames=frozenset([place]), place=place)
+        return self.with_properties(df, entity, p.properties), entity, all(edges[i].complete for i in used), (lefts, rights), owned
 
 
 class Reader:

@@ -49,6 +49,9 @@ def map_of(fields: Mapping[str, Type], sparse: bool = False) -> Type:
     return Type("map", fields=tuple(sorted(fields.items())), sparse=sparse)
 
 
+#: Tables of nodes that a graph may have. A node's id is its key * FRAMES + the place of its table.
+FRAMES = 64
+
 #: The order of kinds.
 RANKS = {"map": 1, "node": 2, "edge": 3, "list": 4, "path": 5, "str": 6, "bool": 7, "int": 8, "float": 8, "native": 9}
 TAGGED = "struct<k:int,s:string,b:boolean,d:double,i:bigint>"
@@ -109,7 +112,9 @@ class Value:
 class Entity(Value):
     """A node or an edge that is bound by a pattern: its parts are columns of the binding table.
 
-    ``frames``: the places in the graph's lists of frames that it can come from.
+    ``frames``: the places in the graph's lists of frames that it can come from. ``place``: where all
+    rows come from one table of nodes, its place; ``id`` is then that table's own key, so that joins
+    and filters are on the table's column. The same goes for the ends of an edge.
     """
 
     id: Column | None = None
@@ -118,11 +123,28 @@ class Entity(Value):
     frames: frozenset[int] = frozenset()
     source: Column | None = None
     target: Column | None = None
+    place: int | None = None
+    source_place: int | None = None
+    target_place: int | None = None
 
     def whole(self) -> Column:
         """The entity as one struct, null if it is missing."""
         inner = F.struct(*[v.column.alias(k) for k, v in sorted(self.properties.items())])
-        return F.when(self.id.isNotNull(), F.struct(self.id.alias("id"), self.labels.alias("labels"), inner.alias("properties")))
+        return F.when(self.id.isNotNull(), F.struct(coded(self.id, self.place).alias("id"), self.labels.alias("labels"), inner.alias("properties")))
+
+
+def coded(key: Column, place: int | None) -> Column:
+    """The id of a node from its key in the table at a place; None: the key is an id already."""
+    return key if place is None else key * FRAMES + place
+
+
+def same_node(a: Column, a_place: int | None, b: Column, b_place: int | None) -> Column:
+    """Whether two keys mean the same node."""
+    if a_place == b_place:
+        return a == b
+    if a_place is not None and b_place is not None:
+        return F.lit(False)
+    return coded(a, a_place) == coded(b, b_place)
 
 
 @dataclass(frozen=True)
@@ -270,7 +292,7 @@ def identity(v: Value) -> Column:
     """What tells entities apart."""
     if isinstance(v, Path):
         return v.edge.id
-    return v.id if isinstance(v, Entity) else v.column["id"]
+    return coded(v.id, v.place) if isinstance(v, Entity) else v.column["id"]
 
 
 def equal(a: Value, b: Value) -> Value:
@@ -292,6 +314,9 @@ def equal(a: Value, b: Value) -> Value:
     if len(kinds) > 1:
         return Value(BOOL, F.when(~_either_null(a, b), F.lit(False)))
     kind = a.type.kind
+    if kind == "node" and isinstance(a, Entity) and isinstance(b, Entity):
+        same = same_node(a.id, a.place, b.id, b.place)
+        return Value(BOOL, same if a.place == b.place else F.when(~_either_null(a, b), same))
     if kind in ("node", "edge", "path"):
         return Value(BOOL, identity(a) == identity(b))
     if kind == "list":

@@ -14,7 +14,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiverlane.graph import FRAMES, ID, LABELS, SOURCE, TARGET, Frame, node_id, opened, typed_property
+from quiverlane.graph import ID, LABELS, OWN, SOURCE, TARGET, Frame, key_column, opened, typed_property
 from quiverlane.lang import values as V
 from quiverlane.lang.errors import compile_error, run_error
 from quiverlane.lang.lowering import Reader
@@ -42,8 +42,13 @@ class Writer(Reader):
         """Puts new frames in the places of old ones."""
         g = self.graph
         frames = tuple(changed.get(i, f) for i, f in enumerate(getattr(g, kind)))
-        self.graph = replace(g, **{kind: frames}, next_id=g.next_id if next_id is None else next_id)
-        self.wrote = True
+        g = replace(g, **{kind: frames}, next_id=g.next_id if next_id is None else next_id)
+        if kind == "nodes":
+            # edges that carried a node's columns must not show the old ones
+            places = set(changed)
+            edges = tuple(replace(e, owner=None, df=e.df.drop(*[c for c in e.df.columns if c.startswith(OWN)])) if e.owner and (e.source_place if e.owner == SOURCE else e.target_place) in places else e for e in g.edges)
+            g = replace(g, edges=edges)
+        self.graph, self.wrote = g, True
 
     # -- CREATE --
 
@@ -75,7 +80,7 @@ class Writer(Reader):
 
         def identity(n: int, edge: bool) -> Column:
             number = F.col(row) * total + (base + n)
-            return new_column(F.concat_ws(":", F.lit("c"), number) if edge else node_id(number, FRAMES - 1))
+            return new_column(F.concat_ws(":", F.lit("c"), number) if edge else V.coded(number, V.FRAMES - 1))
 
         place = frozenset([len(self.graph.nodes) - 1])
 
@@ -193,7 +198,7 @@ class Writer(Reader):
         keys = [ID] if kind == "nodes" else [ID, SOURCE, TARGET]
         new = {k: v.properties[k] for k in touched if k in v.properties}
         state = F.struct(*([v.labels.alias(LABELS)] if labels else []), *[p.column.alias(k) for k, p in new.items()], F.lit(True).alias("__set"))
-        rows = self.bindings.table().where(v.id.isNotNull()).select(v.id.alias("__of"), state.alias("__new"), F.monotonically_increasing_id().alias("__row"))
+        rows = self.bindings.table().where(v.id.isNotNull()).select(V.identity(v).alias("__of"), state.alias("__new"), F.monotonically_increasing_id().alias("__row"))
         rows = cut(rows.groupBy("__of").agg(F.max_by("__new", "__row").alias("__new")))
         changed: dict[int, Frame] = {}
         for i in v.frames or range(len(getattr(self.graph, kind))):
@@ -210,7 +215,8 @@ class Writer(Reader):
                 return F.when(hit, now).otherwise(old).alias(k)
 
             held = [F.when(hit, F.col("__new")[LABELS]).otherwise(frame.label_column()).alias(LABELS)] if labels else [F.col(LABELS)] if frame.labels is None else []
-            df = frame.df.join(rows, F.col(ID) == F.col("__of"), "left").select(*keys, *held, *[column(k, t) for k, t in types.items()])
+            own = [F.col(f"`{c}`") for c in frame.df.columns if c.startswith(OWN)]
+            df = frame.df.join(rows, key_column(frame, ID) == F.col("__of"), "left").select(*keys, *held, *[column(k, t) for k, t in types.items()], *own)
             changed[i] = replace(frame, df=df, labels=None if labels else frame.labels, properties=types, layers=frame.layers + 1)
         self._replace(kind, changed)
 
@@ -237,7 +243,7 @@ class Writer(Reader):
                         continue
                     if clause.detach:
                         self._without("edges", frozenset([i]), ids, [side])
-                    elif not self.graph.edges[i].df.join(ids, F.col(side) == F.col("__of"), "left_semi").isEmpty():
+                    elif not self.graph.edges[i].df.join(ids, key_column(self.graph.edges[i], side) == F.col("__of"), "left_semi").isEmpty():
                         raise run_error("DeleteConnectedNode", "node is still connected and cannot be deleted.")
         for ids, frames in gone["nodes"]:
             self._without("nodes", frames, ids, [ID])
@@ -248,7 +254,7 @@ class Writer(Reader):
             frame: Frame = getattr(self.graph, kind)[i]
             df = frame.df
             for k in keys:
-                df = df.join(ids, F.col(k) == F.col("__of"), "left_anti")
+                df = df.join(ids, key_column(frame, k) == F.col("__of"), "left_anti")
             changed[i] = replace(frame, df=df, layers=frame.layers + 1)
         self._replace(kind, changed)
 
