@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quiverlane.graph import ID, LABELS, OWN, SOURCE, TARGET, Frame, key_column, opened, typed_property
 from quiverlane.lang import values as V
-from quiverlane.lang.errors import compile_error, run_error
+from quiverlane.lang.errors import Internal, compile_error, run_error
 from quiverlane.lang.lowering import Reader
 from quiverlane.lang.syntax import Create, Delete, EdgePattern, Label, LabelAnd, MapLiteral, Node, NodePattern, RemoveLabels, RemoveValue, SetLabels, SetValue, Update
 from quiverlane.lang.values import Entity, Type, Value
@@ -204,7 +204,7 @@ class Writer(Reader):
         for i in v.frames or range(len(getattr(self.graph, kind))):
             frame: Frame = getattr(self.graph, kind)[i]
             types = {k: V.unify(frame.properties.get(k, V.NULL), new[k].type if k in new else V.NULL) for k in {**frame.properties, **new}}
-            types = {k: t for k, t in types.items() if t.kind != "null"}
+            types = _distinct_names({k: t for k, t in types.items() if t.kind != "null"})
             hit = F.col("__of").isNotNull()
 
             def column(k: str, t: Type, frame: Frame = frame, hit: Column = hit) -> Column:
@@ -261,7 +261,7 @@ class Writer(Reader):
 
 def _appended(frame: Frame, rows: DataFrame, types: Mapping[str, Type], keys: Sequence[str]) -> Frame:
     """A frame with more rows; a property that they disagree on becomes a tagged struct."""
-    united = {k: V.unify(frame.properties.get(k, V.NULL), types.get(k, V.NULL)) for k in {**frame.properties, **types}}
+    united = _distinct_names({k: V.unify(frame.properties.get(k, V.NULL), types.get(k, V.NULL)) for k in {**frame.properties, **types}})
 
     def part(df: DataFrame, held: Mapping[str, Type]) -> DataFrame:
         return df.select(*keys, LABELS, *[typed_property(held, k, t).alias(k) for k, t in united.items()])
@@ -270,6 +270,13 @@ def _appended(frame: Frame, rows: DataFrame, types: Mapping[str, Type], keys: Se
     return replace(frame, df=df, properties=united, layers=frame.layers + 1)
 
 
+def _distinct_names(types: Mapping[str, Type]) -> Mapping[str, Type]:
+    """Columns are found without regard to case, so names must not differ in case only."""
+    if len({k.lower() for k in types}) < len(types):
+        raise Internal["Unimplemented"](f"properties that differ in letter case only: {', '.join(sorted(types))}")
+    return types
+
+
 def _with(v: Entity, properties: Value) -> Entity:
     return replace(v, properties={k: Value(t, properties.column[k]) for k, t in properties.type.fields if t.kind != "null"})
 

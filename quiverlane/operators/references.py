@@ -11,9 +11,10 @@ Three steps, none of which gathers the rows of one key in one place:
    over its periods, and adaptive execution splits what is still skewed, since the join is inner
    and its output partitioning isn't used again.
 
-Defined results: a null key is no reference. A reference without a time can only be ``missing``.
-Parents or deletions without a key or a time are ignored. Repeated rows change nothing. Empty
-tables are allowed on each side.
+Defined results: a null key is no reference, and a row without a record id can't be reported. A
+reference without a time can only be ``missing``. Parents or deletions without a key or a time are
+ignored. Repeated rows change nothing. Empty tables are allowed on each side. Only the named
+columns are read, so others may be called anything.
 """
 
 from __future__ import annotations
@@ -36,11 +37,10 @@ def period_of(at: Column) -> Column:
 def earliest_references(table: DataFrame, name: str, record: str, fields: Sequence[str], at: str) -> DataFrame:
     """One row per non-null foreign key of each record: ``ref_table, ref_id, ref_field, node_id, ref_time, period``.
 
-    Records are told apart by ``record``; copies of a record that agree on the keys are reduced to
-    the earliest ``at``. Records without an id are kept apart from each other by their keys alone.
+    Records are told apart by ``record`` and reduced to their earliest ``at``. Their copies have the
+    same keys; should they not, the smallest counts.
     """
-    keys = table.select(F.col(record).alias("ref_id"), *[F.col(f).cast("bigint").alias(f"__{f}") for f in fields], F.col(at).alias("ref_time"))
-    # the keys of a record are the same in all copies, so min() takes the value that all share
+    keys = table.where(F.col(record).isNotNull()).select(F.col(record).alias("ref_id"), *[F.col(f).cast("bigint").alias(f"__{f}") for f in fields], F.col(at).alias("ref_time"))
     earliest = keys.groupBy("ref_id").agg(F.min("ref_time").alias("ref_time"), *[F.min(f"__{f}").alias(f"__{f}") for f in fields])
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("ref_field"), F.col(f"__{f}").alias("node_id")) for f in fields]))
     return (

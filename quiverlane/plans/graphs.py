@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quiverlane.session import connect
 from quiverlane.sources.commerce import commerce_graph
+from quiverlane.sources.store import store_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -170,3 +171,38 @@ query(
     "((SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + 2 * (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM events))::BIGINT AS edges_count, "
     "8::BIGINT AS labels_nodes_count, (" + " + ".join(f"(SELECT {' + '.join(f'count({c})' for c in cs)} FROM {t})" for t, cs in _COUNTED.items()) + " + (SELECT count(DISTINCT user_id) FROM events) + 2 * (SELECT " + " + ".join(f"count({c})" for c in _LINE) + " FROM lineitem))::BIGINT AS properties_count",
 )
+
+# -- over the tables of a graph store ------------------------------------------------------------------
+
+_STORE = """
+WITH raw AS (SELECT id, labels, properties FROM nodes UNION ALL SELECT id, labels, properties FROM shared_nodes),
+once AS (SELECT id AS nid, max(labels) AS labels, max(properties) AS p FROM raw GROUP BY id),
+n AS (
+  SELECT nid, CASE WHEN starts_with(labels, ':') THEN list_filter(string_split(labels, ':'), lambda x: x <> '')
+                   WHEN json_valid(labels) AND json_type(labels) = 'ARRAY' THEN list_transform(list_filter(json_extract(labels, '$[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: json_extract_string(x, '$')) ELSE [] END AS labels,
+         CASE WHEN json_valid(p) AND json_type(p) = 'OBJECT' THEN p END AS p
+  FROM once),
+v AS (SELECT nid, labels, TRY_CAST(json_extract_string(p, '$.id') AS BIGINT) AS id, TRY_CAST(json_extract_string(p, '$.age') AS BIGINT) AS age, json_extract_string(p, '$.name') AS name FROM n),
+e AS (SELECT id AS eid, max(left_id) AS l, max(right_id) AS r FROM edges GROUP BY id)
+"""
+
+
+def stored(name: str, text: str, sql: str, parameters: Mapping[str, Any] | None = None, rounded: Sequence[str] = ()) -> None:
+    def run(spark: SparkSession, directory: str) -> DataFrame:
+        df = connect(spark, graphs={"default": store_graph(spark, directory)}).execute(text, parameters)
+        return df.withColumns({c: F.round(c, 2) for c in rounded}) if rounded else df
+
+    QUERIES[name] = run
+    ORACLE[name] = _STORE + _rounded_sql(sql, rounded)
+
+
+stored("store_single_vertex", "MATCH (n:User {id: $id}) RETURN n.id AS id, n.name AS name, n.age AS age", "SELECT id, name, age FROM v WHERE list_contains(labels, 'User') AND id = 1001", {"$id": 1001})
+stored("store_friend_of", "MATCH (s:User {id: $id})-->(n:User) RETURN n.id AS id", "SELECT b.id FROM v a JOIN e ON l = a.nid JOIN v b ON r = b.nid WHERE list_contains(a.labels, 'User') AND a.id = 1001 AND list_contains(b.labels, 'User')", {"$id": 1001})
+stored("store_friend_of_filter", "MATCH (s:User {id: $id})-->(n:User) WHERE n.age >= 18 RETURN n.id AS id", "SELECT b.id FROM v a JOIN e ON l = a.nid JOIN v b ON r = b.nid WHERE list_contains(a.labels, 'User') AND a.id = 1001 AND list_contains(b.labels, 'User') AND b.age >= 18", {"$id": 1001})
+stored("store_friend_of_friend_of", "MATCH (s:User {id: $id})-->()-->(n:User) WHERE n.age >= 18 RETURN n.id AS id, count(*) AS ways", "SELECT c.id, count(*) AS ways FROM v a JOIN e x ON x.l = a.nid JOIN v b ON x.r = b.nid JOIN e y ON y.l = b.nid AND y.eid <> x.eid JOIN v c ON y.r = c.nid WHERE list_contains(a.labels, 'User') AND a.id = 1001 AND list_contains(c.labels, 'User') AND c.age >= 18 GROUP BY c.id", {"$id": 1001})
+stored("store_reciprocal_friends", "MATCH (n {id: $id})-[e1]->(m)-[e2]->(n) RETURN m.id AS id, count(*) AS ways", "SELECT b.id, count(*) AS ways FROM v a JOIN e x ON x.l = a.nid JOIN v b ON x.r = b.nid JOIN e y ON y.l = b.nid AND y.r = a.nid AND y.eid <> x.eid WHERE a.id = 1001 GROUP BY b.id", {"$id": 1001})
+stored("store_aggregate_count", "MATCH (n:User) RETURN n.age AS age, count(*) AS n", "SELECT age, count(*) AS n FROM v WHERE list_contains(labels, 'User') GROUP BY age")
+stored("store_aggregate_count_filter", "MATCH (n:User) WHERE n.age >= 18 RETURN n.age AS age, count(*) AS n", "SELECT age, count(*) AS n FROM v WHERE list_contains(labels, 'User') AND age >= 18 GROUP BY age")
+stored("store_aggregate_min_max_avg", "MATCH (n:User) RETURN min(n.age) AS least, max(n.age) AS most, avg(n.age) AS mean", "SELECT min(age) AS least, max(age) AS most, avg(age) AS mean FROM v WHERE list_contains(labels, 'User')", rounded=["mean"])
+stored("store_labels", "MATCH (n) UNWIND labels(n) AS label RETURN label, count(*) AS n", "SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM v) GROUP BY label")
+stored("store_degrees", "MATCH (a:User)-[x]-(b) RETURN a.id AS id, count(x) AS degree", "SELECT a.id, count(*) AS degree FROM v a JOIN (SELECT l AS s, r AS t FROM e UNION ALL SELECT r, l FROM e WHERE l <> r) ON s = a.nid JOIN v b ON t = b.nid WHERE list_contains(a.labels, 'User') GROUP BY a.id")

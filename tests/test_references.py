@@ -77,6 +77,10 @@ def test_a_hot_key(spark):
     assert (sum(f[3] == "late" for f in found), sum(f[3] == "deleted" for f in found)) == (1500, 600)
 
 
+def test_records_without_an_id(spark):
+    assert run(spark, [(None, 2, 3, at(1), "", ""), (4, 2, None, at(1), "", "")], [], []) == [("edges", 4, "left_id", "missing")]
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [], []) == []
     assert run(spark, [(1, 2, None, at(1), "", "")], [], []) == [("edges", 1, "left_id", "missing")]
