@@ -167,6 +167,8 @@ class Index:
     def matches(self, text: str) -> Iterator[tuple[str, str, float, float]]:
         """Label, exemplar, containment and coverage of the best window of each passage that has residue."""
         for passage in latex.passages(text, _FILLER_COMMAND):
+            if latex.FILLER not in passage and not self.may_match(passage):
+                continue
             parts = sentences(latex.readable(passage))
             found = set().union(*parts) if parts else set()
             hits = found & self.anchors
