@@ -28,3 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that losing an executor loses nothing."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in no fewer partitions than there are cores.
+
+    Work on texts takes far longer than reading them. Fewer partitions than cores hold so little
+    that moving it costs less than idle cores; tables with more of them are left as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
