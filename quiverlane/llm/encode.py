@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiverlane.llm import bpe
+from quiverlane.runtime import spread
 
 #: The vocabulary that the queries use.
 VOCABULARY = "byte_bpe_50k.json"
@@ -41,7 +42,7 @@ def encode_texts(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataF
                 yield pa.record_batch([batch.column(0).slice(at, len(ids)), ids], ["key", "ids"])
                 at += len(ids)
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(encode, f"key {of}, ids array<int>").withColumnRenamed("key", key)
+    return spread(docs.select(F.col(key), F.col(text))).mapInArrow(encode, f"key {of}, ids array<int>").withColumnRenamed("key", key)
 
 
 def count_tokens(docs: DataFrame, text: str, vocabulary: str, keep: list[str]) -> DataFrame:
@@ -54,4 +55,4 @@ def count_tokens(docs: DataFrame, text: str, vocabulary: str, keep: list[str]) -
             sizes = pa.array(model.count(batch.column(0)), pa.int64())
             yield pa.record_batch([*batch.columns[1:], sizes], [*keep, "n_tokens"])
 
-    return docs.select(F.col(text).alias("__text"), *keep).mapInArrow(count, f"{fields}, n_tokens bigint")
+    return spread(docs.select(F.col(text).alias("__text"), *keep)).mapInArrow(count, f"{fields}, n_tokens bigint")

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiverlane.llm import exemplars, latex
+from quiverlane.runtime import spread
 
 #: Least containment of an exemplar in a window, and least coverage of the window by it.
 CONTAINMENT, COVERAGE = 0.62, 0.6
@@ -243,7 +244,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[dict[str, int], in
         yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     # one row per word of the exemplars
-    rows = docs.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = spread(docs.select(text)).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {r.word: r.n for r in rows}
     return found, found.pop("", 0)
 
@@ -266,7 +267,7 @@ def residue_matches(docs: DataFrame, key: str, text: str) -> DataFrame:
             types = [pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types)]], ["key", "label", "exemplar", "containment", "coverage"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(match, f"key {of}, label string, exemplar string, containment double, coverage double").withColumnRenamed("key", key)
+    return spread(docs.select(F.col(key), F.col(text))).mapInArrow(match, f"key {of}, label string, exemplar string, containment double, coverage double").withColumnRenamed("key", key)
 
 
 def residue_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
