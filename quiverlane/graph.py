@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,7 +106,10 @@ class PropertyGraph:
         owner, node = owners[0] if owners else (None, None)
         own = [_property(df, n).alias(OWN + n) for n in node.properties] if node else []
         if key is None:
-            df = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+            try:
+                df = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+            except AnalysisException as e:
+                raise ValueError("edges without a key have to be read from files") from e
             identity = F.concat_ws(":", F.lit(place), F.col("__file"), F.col("__row"))
         else:
             identity = F.concat_ws(":", F.lit(place), F.col(key))
