@@ -59,7 +59,7 @@ class EdgeFrame(Frame):
 
     ``source_place``, ``target_place``: the frame whose keys the ends are, or None for ids.
     ``owner``: SOURCE or TARGET, if a row is also the row of that node; its properties are then in
-    the columns that begin with OWN.
+    the columns that begin with OWN. ``light``: the frame without ids, where they cost something.
     """
 
     sources: frozenset[int] = frozenset()
@@ -68,6 +68,7 @@ class EdgeFrame(Frame):
     source_place: int | None = None
     target_place: int | None = None
     owner: str | None = None
+    light: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -105,18 +106,18 @@ class PropertyGraph:
         owners = [(end, self.nodes[i]) for end, i, column in ((SOURCE, s, source[1]), (TARGET, t, target[1])) if self.nodes[i].table is df and self.nodes[i].key == column]
         owner, node = owners[0] if owners else (None, None)
         own = [_property(df, n).alias(OWN + n) for n in node.properties] if node else []
+        ends = df.where(F.col(source[1]).isNotNull() & F.col(target[1]).isNotNull())
+        columns = [F.col(source[1]).cast("bigint").alias(SOURCE), F.col(target[1]).cast("bigint").alias(TARGET), *[_property(df, n) for n in properties], *own]
+        light = None
         if key is None:
             try:
-                df = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+                made = ends.select(F.concat_ws(":", F.lit(place), F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias(ID), *columns)
             except AnalysisException as e:
                 raise ValueError("edges without a key have to be read from files") from e
-            identity = F.concat_ws(":", F.lit(place), F.col("__file"), F.col("__row"))
+            light = ends.select(F.lit(None).cast("string").alias(ID), *columns)
         else:
-            identity = F.concat_ws(":", F.lit(place), F.col(key))
-        made = df.where(F.col(source[1]).isNotNull() & F.col(target[1]).isNotNull()).select(
-            identity.alias(ID), F.col(source[1]).cast("bigint").alias(SOURCE), F.col(target[1]).cast("bigint").alias(TARGET), *[_property(df, n) for n in properties], *own
-        )
-        frame = EdgeFrame(made, (label,), {n: V.type_of(made.schema[n].dataType) for n in properties}, sources=frozenset([s]), targets=frozenset([t]), complete=complete, source_place=s, target_place=t, owner=owner)
+            made = ends.select(F.concat_ws(":", F.lit(place), F.col(key)).alias(ID), *columns)
+        frame = EdgeFrame(made, (label,), {n: V.type_of(made.schema[n].dataType) for n in properties}, sources=frozenset([s]), targets=frozenset([t]), complete=complete, source_place=s, target_place=t, owner=owner, light=light)
         return replace(self, edges=(*self.edges, frame))
 
     # -- as one table of nodes and one of edges -----------------------------------------------

@@ -221,6 +221,8 @@ class Matcher:
         self.scope = dict(bindings.scope)
         self.local: dict[str, Entity] = {}
         self.edges: list[Entity] = []
+        self.candidates: list[set[int]] = []
+        self.paths = False
         self.on: list[Column] = []
         self.later: list[Callable[[], Column]] = []
 
@@ -356,6 +358,19 @@ class Matcher:
 
     # -- patterns --
 
+    def expect(self, chains: Sequence[Chain]) -> None:
+        """Notes which frames each edge of the clause may come from, and whether paths are named."""
+        for c in chains:
+            self.paths |= c.path is not None
+            for e in c.edges:
+                self.candidates.append({i for i, f in enumerate(self.graph.edges) if f.labels is None or label_holds(e.labels, f.labels)})
+
+    def needs_identity(self, p: EdgePattern, frames: Sequence[int]) -> bool:
+        """Whether it matters which edge was found: to the query, or for edges to be distinct."""
+        u = self.used.get(p.variable) if p.variable else None
+        asked = p.variable is not None and ("*" in self.used or p.variable in self.scope) or u is not None and (u.whole or u.labels or u.id)
+        return asked or self.paths or sum(not c.isdisjoint(frames) for c in self.candidates) > 1
+
     def chain(self, c: Chain) -> None:
         ends = [self.end(p) for p in c.nodes]
         if not c.edges:
@@ -448,9 +463,15 @@ class Matcher:
         if not used:
             df, keys, labels, properties = self.nothing([ID, SOURCE, TARGET])
             return df, Entity(Type("edge"), id=keys[ID], labels=labels, source=keys[SOURCE], target=keys[TARGET]), True, (left.frames, right.frames), {}
-        frames: list[EdgeFrame] = [self.graph.edges[i] for i in forth]
-        for i in back:
+        identified = self.needs_identity(p, used)
+
+        def frame(i: int) -> EdgeFrame:
             f = self.graph.edges[i]
+            return f if identified or f.light is None else replace(f, df=f.light)
+
+        frames: list[EdgeFrame] = [frame(i) for i in forth]
+        for i in back:
+            f = frame(i)
             # a self-loop is found once, in the forward direction
             loops = V.same_node(F.col(SOURCE), f.source_place, F.col(TARGET), f.target_place)
             df = f.df.where(~loops) if i in forth and f.sources & f.targets else f.df
@@ -492,6 +513,7 @@ class Reader:
             raise compile_error("InvalidAggregation", "aggregation is not accepted in this expression.")
         b = self.bindings
         m = Matcher(b, self.graph, self.used, self.expressions, self.declared, clause.optional)
+        m.expect(clause.patterns)
         for c in clause.patterns:
             m.chain(c)
         scope = {**b.scope, **{k: v for k, v in m.local.items() if not (clause.optional and k in b.scope)}}

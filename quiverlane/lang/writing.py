@@ -14,7 +14,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiverlane.graph import ID, LABELS, OWN, SOURCE, TARGET, Frame, key_column, opened, typed_property
+from quiverlane.graph import ID, LABELS, OWN, SOURCE, TARGET, EdgeFrame, Frame, key_column, opened, typed_property
 from quiverlane.lang import values as V
 from quiverlane.lang.errors import Internal, compile_error, run_error
 from quiverlane.lang.lowering import Reader
@@ -46,7 +46,7 @@ class Writer(Reader):
         if kind == "nodes":
             # edges that carried a node's columns must not show the old ones
             places = set(changed)
-            edges = tuple(replace(e, owner=None, df=e.df.drop(*[c for c in e.df.columns if c.startswith(OWN)])) if e.owner and (e.source_place if e.owner == SOURCE else e.target_place) in places else e for e in g.edges)
+            edges = tuple(replace(e, owner=None, light=None, df=e.df.drop(*[c for c in e.df.columns if c.startswith(OWN)])) if e.owner and (e.source_place if e.owner == SOURCE else e.target_place) in places else e for e in g.edges)
             g = replace(g, edges=edges)
         self.graph, self.wrote = g, True
 
@@ -217,7 +217,7 @@ class Writer(Reader):
             held = [F.when(hit, F.col("__new")[LABELS]).otherwise(frame.label_column()).alias(LABELS)] if labels else [F.col(LABELS)] if frame.labels is None else []
             own = [F.col(f"`{c}`") for c in frame.df.columns if c.startswith(OWN)]
             df = frame.df.join(rows, key_column(frame, ID) == F.col("__of"), "left").select(*keys, *held, *[column(k, t) for k, t in types.items()], *own)
-            changed[i] = replace(frame, df=df, labels=None if labels else frame.labels, properties=types, layers=frame.layers + 1)
+            changed[i] = replace(frame, df=df, labels=None if labels else frame.labels, properties=types, layers=frame.layers + 1, **_heavy(frame))
         self._replace(kind, changed)
 
     # -- DELETE --
@@ -255,7 +255,7 @@ class Writer(Reader):
             df = frame.df
             for k in keys:
                 df = df.join(ids, key_column(frame, k) == F.col("__of"), "left_anti")
-            changed[i] = replace(frame, df=df, layers=frame.layers + 1)
+            changed[i] = replace(frame, df=df, layers=frame.layers + 1, **_heavy(frame))
         self._replace(kind, changed)
 
 
@@ -270,6 +270,11 @@ def _appended(frame: Frame, rows: DataFrame, types: Mapping[str, Type], keys: Se
     return replace(frame, df=df, properties=united, layers=frame.layers + 1)
 
 
+def _heavy(frame: Frame) -> dict[str, None]:
+    """Changes are to rows with ids, so there is no frame without them any more."""
+    return {"light": None} if isinstance(frame, EdgeFrame) else {}
+
+
 def _distinct_names(types: Mapping[str, Type]) -> Mapping[str, Type]:
     """Columns are found without regard to case, so names must not differ in case only."""
     if len({k.lower() for k in types}) < len(types):
