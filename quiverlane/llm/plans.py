@@ -98,4 +98,13 @@ banded AS (
 ORACLE = {
     "p2_found": _LABELS + "SELECT label, band FROM banded WHERE band IS NOT NULL",
     "p2_labels": _LABELS + "SELECT label, n_occurrences, n_records, band FROM banded",
+    "p2_ngrams": """
+WITH n AS (SELECT id, max(labels) AS labels FROM nodes GROUP BY id),
+lists AS (
+  SELECT id, CASE WHEN starts_with(labels, ':') THEN list_filter(string_split(labels, ':'), lambda x: x <> '')
+                  WHEN json_valid(labels) AND json_type(labels) = 'ARRAY' THEN list_transform(list_filter(json_extract(labels, '$[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: json_extract_string(x, '$')) END AS l
+  FROM n),
+starts AS (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM lists WHERE len(l) > 0),
+grams AS (SELECT s.id, k.n, array_to_string(list_slice(l, i, i + k.n - 1), chr(10)) AS ngram FROM starts s CROSS JOIN (SELECT unnest([1, 2, 3])::BIGINT AS n) k WHERE i + k.n - 1 <= len(l))
+SELECT ngram, n, count(*) AS n_occurrences, count(DISTINCT id) AS n_records FROM grams GROUP BY ngram, n""",
 }
