@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from quiverlane.functions.json_tape import CLOSE_LIST, CLOSE_MAP, COLON, COMMA, IN_LIST, IN_MAP, KEY, OPEN_LIST, OPEN_MAP, STRING, TOP, Tape
 
+from quiverlane.runtime import with_workers
+
 #: Bytes of text that are flattened at once; a longer text is flattened alone.
 CHUNK_BYTES = 4 << 20
 
@@ -157,4 +159,4 @@ def flatten_objects(table: DataFrame, key: str, text: str, *, members: bool = Fa
                     if out.num_rows:
                         yield out
 
-    return table.select(F.col(key), F.col(text)).mapInArrow(flatten, schema).withColumnRenamed("key", key)
+    return with_workers(table.select(F.col(key), F.col(text))).mapInArrow(flatten, schema).withColumnRenamed("key", key)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,4 +40,26 @@ def spread(df: DataFrame) -> DataFrame:
     that moving it costs less than idle cores; tables with more of them are left as they are read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return with_workers(df.repartition(cores) if df.rdd.getNumPartitions() < cores else df)
+
+
+_shipped: set[str] = set()
+
+
+def with_workers(df: DataFrame) -> DataFrame:
+    """``df``, once Python workers can import this package.
+
+    They find it by the working folder or PYTHONPATH of a local session. Anywhere else the package is
+    handed to Spark, which serves it to the executors, those that join later included.
+    """
+    context = df.sparkSession.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    near = Path.cwd() == root or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if context.applicationId not in _shipped and not (near and context.master.startswith("local[")):
+        archive = Path(tempfile.mkdtemp(prefix="package-")) / "quiverlane.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted((root / "quiverlane").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+    return df
