@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiverlane.functions.json_tape import OPEN_LIST, STRING, TOP, Tape
+from quiverlane.runtime import with_workers
 
 
 def label_lists(texts: pa.Array) -> pa.ListArray:
@@ -46,4 +47,4 @@ def parse_labels(table: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), label_lists(batch.column(1).cast(pa.string()))], ["key", "labels"])
 
-    return table.select(F.col(key), F.col(text)).mapInArrow(parse, f"key {of}, labels array<string>").withColumnRenamed("key", key)
+    return with_workers(table.select(F.col(key), F.col(text))).mapInArrow(parse, f"key {of}, labels array<string>").withColumnRenamed("key", key)

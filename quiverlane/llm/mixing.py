@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quiverlane.runtime import cut
+from quiverlane.runtime import cut, with_workers
 
 #: Documents that are left to the knapsack, and the most tokens that it may fit.
 LAST_STRETCH, MOST_FITTED = 48, 4_000_000
@@ -127,7 +127,7 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
         return pd.DataFrame({"source": rows.source, "target_share": share, "max_repeats": cap, "budget": budget, "short": short, "n_tokens": rows.n_tokens.astype("Int64"), "n_documents": n, "repeats": full, "extra": extra})
 
     # a group holds the distinct lengths of one source, not its documents
-    return joined.groupBy("source").applyInPandas(fit, PLAN)
+    return with_workers(joined).groupBy("source").applyInPandas(fit, PLAN)
 
 
 def mix_shares(plan: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiverlane.runtime import with_workers
+
 #: Values of a block, as a bound on memory; a longer record is a block of its own.
 BLOCK = 400_000
 #: The longest n-grams that may be asked for (prefix lengths are kept in a byte).
@@ -148,7 +150,7 @@ def count_ngrams(records: DataFrame, values: str, most_n: int = 1) -> DataFrame:
         if held:
             yield from _block(pa.concat_arrays(held), most_n)
 
-    parts = records.select(F.col(values).alias("v")).mapInArrow(count, "ngram array<string>, n_occurrences bigint, n_records bigint")
+    parts = with_workers(records.select(F.col(values).alias("v"))).mapInArrow(count, "ngram array<string>, n_occurrences bigint, n_records bigint")
     return parts.groupBy("ngram").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
 
 
