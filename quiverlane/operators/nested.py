@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiverlane.functions.json_tape import CLOSE_LIST, CLOSE_MAP, COLON, COMMA, IN_LIST, IN_MAP, KEY, OPEN_LIST, OPEN_MAP, STRING, TOP, Tape
-
 from quiverlane.runtime import with_workers
 
 #: Bytes of text that are flattened at once; a longer text is flattened alone.
