@@ -70,9 +70,9 @@ query("comma_patterns_join", "MATCH (o:Order)-[:CONTAINS]->(p:Part), (o)-[:SOLD_
 query("cross_product", "MATCH (a:Region), (b:Region) WHERE a.r_regionkey < b.r_regionkey RETURN a.r_name AS a, b.r_name AS b", "SELECT a.r_name AS a, b.r_name AS b FROM region a, region b WHERE a.r_regionkey < b.r_regionkey")
 query("cross_labels", "MATCH (n:Region), (m:Nation) WHERE n.r_regionkey = m.n_nationkey AND labels(n) <> labels(m) RETURN n.r_name AS r_name, m.n_name AS n_name", "SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = n_nationkey")
 query("match_match_bound", "MATCH (c:Customer) WHERE c.c_acctbal > 9000 MATCH (c)-[:IN_NATION]->(n:Nation) RETURN c.c_custkey AS c_custkey, n.n_name AS n_name", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000")
-query("relationship_uniqueness", "MATCH (a:Order)<-[:PLACED]-(c:Customer)-[:PLACED]->(b:Order) WHERE c.c_acctbal > 9000 RETURN c.c_custkey AS c_custkey, a.o_orderkey AS a, b.o_orderkey AS b", "SELECT c_custkey, a.o_orderkey AS a, b.o_orderkey AS b FROM customer JOIN orders a ON a.o_custkey = c_custkey JOIN orders b ON b.o_custkey = c_custkey WHERE c_acctbal > 9000 AND a.o_orderkey <> b.o_orderkey")
-query("uniqueness_parallel_edges", "MATCH (a:Part)<-[x:CONTAINS]-(o:Order)-[y:CONTAINS]->(b:Part) WHERE o.o_orderpriority = '5-LOW' AND o.o_orderstatus = 'P' RETURN count(*) AS n", "SELECT coalesce(sum(k * (k - 1)), 0)::BIGINT AS n FROM (SELECT l_orderkey, count(*) AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'P' GROUP BY l_orderkey)")
-query("uniqueness_not_across_matches", "MATCH (c:Customer)-[:PLACED]->(a:Order) MATCH (c)-[:PLACED]->(b:Order) WHERE c.c_acctbal > 9000 RETURN count(*) AS n", "SELECT coalesce(sum(k * k), 0)::BIGINT AS n FROM (SELECT o_custkey, count(*) AS k FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 9000 GROUP BY o_custkey)")
+query("relationship_uniqueness", "MATCH (a:Order)<-[:PLACED]-(c:Customer)-[:PLACED]->(b:Order) RETURN c.c_custkey AS c_custkey, count(*) AS pairs, max(a.o_totalprice + b.o_totalprice) AS most", "SELECT c_custkey, count(*) AS pairs, max(a.o_totalprice + b.o_totalprice) AS most FROM customer JOIN orders a ON a.o_custkey = c_custkey JOIN orders b ON b.o_custkey = c_custkey WHERE a.o_orderkey <> b.o_orderkey GROUP BY c_custkey", ["most"])
+query("uniqueness_parallel_edges", "MATCH (a:Part)<-[x:CONTAINS]-(o:Order)-[y:CONTAINS]->(b:Part) RETURN o.o_orderpriority AS o_orderpriority, count(*) AS n", "SELECT o_orderpriority, sum(k * (k - 1))::BIGINT AS n FROM (SELECT l_orderkey, count(*) AS k FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1) JOIN orders ON o_orderkey = l_orderkey GROUP BY o_orderpriority")
+query("uniqueness_not_across_matches", "MATCH (c:Customer)-[:PLACED]->(a:Order) MATCH (c)-[:PLACED]->(b:Order) RETURN c.c_mktsegment AS c_mktsegment, count(*) AS n", "SELECT c_mktsegment, sum(k * k)::BIGINT AS n FROM (SELECT o_custkey, count(*) AS k FROM orders GROUP BY o_custkey) JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment")
 query("self_loop_pattern", "MATCH (n)-->(n) RETURN count(*) AS n", "SELECT 0::BIGINT AS n")
 query("reciprocal", "MATCH (n:Customer {c_custkey: $id})-[e1:IN_NATION]->(m)<-[e2:IN_NATION]-(k:Customer) RETURN k.c_custkey AS c_custkey", "SELECT b.c_custkey FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey WHERE a.c_custkey = 7", parameters={"$id": 7})
 query("named_path_length", "MATCH p = (n:Nation)-[r:IN_REGION]->(m:Region) RETURN n.n_name AS n_name, length(p) AS length, size(p) AS size", "SELECT n_name, 1::BIGINT AS length, 1::BIGINT AS size FROM nation")
@@ -88,7 +88,7 @@ query("with_where_having", "MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, coun
 query("with_entity_through_aggregate", "MATCH (n:Nation)<-[:IN_NATION]-(c:Customer) WITH n, max(c.c_acctbal) AS best MATCH (n)-[:IN_REGION]->(r:Region) RETURN n.n_name AS n_name, r.r_name AS r_name, best", "SELECT n_name, r_name, max(c_acctbal) AS best FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY n_name, r_name")
 query("order_by_multi", "MATCH (c:Customer) RETURN c.c_nationkey AS c_nationkey, c.c_acctbal AS c_acctbal, c.c_custkey AS c_custkey ORDER BY c.c_nationkey DESC, c.c_acctbal, c_custkey LIMIT 50", "SELECT c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_custkey FROM customer ORDER BY 1 DESC, 2, 3 LIMIT 50")
 query("order_skip_limit", "MATCH (o:Order) RETURN o.o_orderkey AS o_orderkey, o.o_totalprice AS o_totalprice ORDER BY o.o_totalprice DESC, o.o_orderkey SKIP 10 LIMIT 20", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
-query("order_nulls", "MATCH (c:Customer) WHERE c.c_custkey <= 100 OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_orderstatus = 'P' WITH c.c_custkey AS k, max(o.o_totalprice) AS most RETURN k, most ORDER BY most DESC, k LIMIT 30", "SELECT c_custkey AS k, max(o_totalprice) AS most FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE c_custkey <= 100 GROUP BY c_custkey ORDER BY most DESC NULLS FIRST, k LIMIT 30")
+query("order_nulls", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_orderstatus = 'P' WITH c.c_custkey AS k, max(o.o_totalprice) AS most RETURN k, most ORDER BY most DESC, k LIMIT 30", "SELECT c_custkey AS k, max(o_totalprice) AS most FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY c_custkey ORDER BY most DESC NULLS FIRST, k LIMIT 30")
 query("agg_count_star", "MATCH (o:Order) RETURN o.o_orderpriority AS o_orderpriority, count(*) AS n", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
 query("agg_count_filter", "MATCH (o:Order) WHERE o.o_totalprice >= 18000.0 RETURN o.o_orderpriority AS o_orderpriority, count(*) AS n", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice >= 18000 GROUP BY o_orderpriority")
 query("agg_count_nonnull", "MATCH (r:Region) OPTIONAL MATCH (r)<-[:IN_REGION]-(n:Nation) WHERE n.n_nationkey < 10 RETURN r.r_name AS r_name, count(n.n_name) AS n, count(*) AS rows", "SELECT r_name, count(n_name) AS n, count(*) AS rows FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey < 10 GROUP BY r_name")
@@ -96,7 +96,7 @@ query("agg_sum_group", "MATCH (o:Order)-[l:CONTAINS]->(:Part) RETURN l.l_returnf
 query("agg_avg", "MATCH (c:Customer) RETURN c.c_mktsegment AS c_mktsegment, avg(c.c_acctbal) AS mean", "SELECT c_mktsegment, avg(c_acctbal) AS mean FROM customer GROUP BY c_mktsegment", ["mean"])
 query("agg_min_max", "MATCH (o:Order) RETURN min(o.o_totalprice) AS least, max(o.o_totalprice) AS most, avg(o.o_totalprice) AS mean", "SELECT min(o_totalprice) AS least, max(o_totalprice) AS most, avg(o_totalprice) AS mean FROM orders", ["mean"])
 query("agg_expr_mixed", "MATCH (p:Part) RETURN p.p_brand AS p_brand, count(*) + 1 AS n, max(p.p_size) - min(p.p_size) AS spread", "SELECT p_brand, count(*) + 1 AS n, (max(p_size) - min(p_size))::BIGINT AS spread FROM part GROUP BY p_brand")
-query("agg_empty", "MATCH (c:Customer) WHERE c.c_custkey < 0 RETURN count(*) AS n, sum(c.c_acctbal) AS s, min(c.c_name) AS m", "SELECT count(*) AS n, sum(c_acctbal) AS s, min(c_name) AS m FROM customer WHERE c_custkey < 0")
+query("agg_empty", "MATCH (c:Customer) WHERE c.c_mktsegment = 'NONE' RETURN count(*) AS n, sum(c.c_acctbal) AS s, min(c.c_name) AS m", "SELECT count(*) AS n, sum(c_acctbal) AS s, min(c_name) AS m FROM customer WHERE c_mktsegment = 'NONE'")
 query("collect_size", "MATCH (n:Nation)<-[:IN_NATION]-(c:Customer) WITH n, collect(c.c_custkey) AS keys RETURN n.n_name AS n_name, size(keys) AS n", "SELECT n_name, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
 query("flagship", "MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(o:Order) RETURN r.r_name AS r_name, count(*) AS orders, sum(o.o_totalprice) AS revenue ORDER BY revenue DESC", "SELECT r_name, count(*) AS orders, sum(o_totalprice) AS revenue FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY r_name", ["revenue"])
 
@@ -114,7 +114,7 @@ query("fn_type", "MATCH (:Customer)-[r]->(m) RETURN type(r) AS type, labels(m)[0
 query("fn_ceil_floor", "MATCH (c:Customer) RETURN c.c_custkey AS c_custkey, ceil(c.c_acctbal) AS up, floor(c.c_acctbal) AS down", "SELECT c_custkey, ceil(c_acctbal)::DOUBLE AS up, floor(c_acctbal)::DOUBLE AS down FROM customer")
 query("fn_labels", "MATCH (n) UNWIND labels(n) AS l RETURN l, count(*) AS n", "SELECT 'Region' AS l, count(*) AS n FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'User', count(DISTINCT user_id) FROM events UNION ALL SELECT 'Event', count(*) FROM events")
 query("fn_length", "MATCH (n:Nation) RETURN n.n_name AS n_name, length([1, n.n_regionkey]) AS l", "SELECT n_name, 2::BIGINT AS l FROM nation")
-query("fn_coalesce", "MATCH (c:Customer) WHERE c.c_custkey <= 200 OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 300000.0 RETURN c.c_custkey AS c_custkey, coalesce(o.o_orderkey, -1) AS k", "SELECT c_custkey, coalesce(o_orderkey, -1) AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 WHERE c_custkey <= 200")
+query("fn_coalesce", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 300000.0 RETURN c.c_custkey AS c_custkey, coalesce(o.o_orderkey, -1) AS k", "SELECT c_custkey, coalesce(o_orderkey, -1) AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000")
 query("fn_properties", "MATCH (n:Nation) WITH properties(n) AS p RETURN p.n_name AS n_name, p.n_regionkey AS k", "SELECT n_name, n_regionkey::BIGINT AS k FROM nation")
 query("fn_to_integer", "MATCH (c:Customer) RETURN c.c_custkey AS c_custkey, toInteger(c.c_acctbal) AS i, toInteger('12') AS s", "SELECT c_custkey, trunc(c_acctbal)::BIGINT AS i, 12::BIGINT AS s FROM customer")
 query("fn_to_string", "MATCH (p:Part) RETURN p.p_partkey AS p_partkey, toString(p.p_size) AS s, toString(p.p_size * 1.0) AS f, toString(p.p_size > 20) AS b", "SELECT p_partkey, p_size::VARCHAR AS s, p_size::VARCHAR AS f, CASE WHEN p_size > 20 THEN 'true' ELSE 'false' END AS b FROM part")
