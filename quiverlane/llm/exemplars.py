@@ -41,6 +41,14 @@ Figure caption goes here
 undefined undefined
 Grant number: XXXXXX-XX; DOI: 10.XXXX/XXXXXXX; received: DD Month YYYY.
 Keyword one, keyword two, keyword three
+First keyword, second keyword, more keywords
+Received: date, accepted: date
+Address of first author, address of second author
+Manuscript received Month DD, YYYY; revised Month DD, YYYY.
+Do you have a subtitle? If so, write it here.
+Conference name, month and year, city, country
+Lieu et date, nom du laboratoire, adresse de courriel
+Name der Einrichtung, Ort, Land
 [your text here]
 [placeholder text]
 """,
@@ -78,6 +86,18 @@ This section is left for the authors to complete.
 Place your figure here.
 To be written by the author.
 Text of the section will be added later.
+This document is a model and gives instructions for the layout of papers.
+Before you begin to format your paper, first write and save the content as a separate text file.
+Identify the funding agency here. If there is none, delete this.
+Grants or other notes about the article that should go on the front page should be placed here.
+Put your references in the bibliography file and remove this example.
+Add the text of your conclusion here.
+Hier fügen Sie bitte Ihren Text ein.
+Hier kommt der Text der Einleitung hin.
+Saisissez ici le texte de cette section.
+Décrivez ici votre méthode.
+Escriba aquí el texto de esta sección.
+Describa aquí los resultados.
 """,
     FILLER: """
 This is dummy text.
@@ -135,6 +155,12 @@ Accès refusé. Vous n'avez pas l'autorisation de consulter ce document.
 Error 500: no se pudo procesar la solicitud. Inténtelo más tarde.
 Página no encontrada. El documento solicitado ya no existe.
 Acceso denegado. No tiene permiso para ver este documento.
+File not found or unavailable. The link you followed may be broken.
+The web page at this address is temporarily down or has moved permanently.
+The document failed to load. Please refresh the page.
+Die Umwandlung des Dokuments ist fehlgeschlagen.
+La conversion du document a échoué.
+La conversión del documento ha fallado.
 """,
     NOTICE: """
 Please enable JavaScript to view this article.
@@ -157,6 +183,12 @@ Veuillez activer JavaScript pour afficher cette page.
 Votre navigateur doit accepter les cookies pour continuer.
 Active JavaScript en su navegador para ver el contenido.
 Este sitio requiere cookies y JavaScript para continuar.
+Please turn on JavaScript and try again.
+This content needs scripts to be allowed in your browser.
+We need to check that you are not a robot before you continue.
+Ihr Browser unterstützt die nötigen Skripte nicht.
+Votre navigateur ne prend pas en charge les scripts de cette page.
+Su navegador no admite los scripts que necesita esta página.
 """,
 }
 
