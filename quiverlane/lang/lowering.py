@@ -658,9 +658,11 @@ class Reader:
 
 
 def _sortable(v: Value) -> Column:
-    """Entities are ordered by what they hold."""
+    """Entities are ordered by what they hold, maps by the number of their members first."""
     if isinstance(v, Path):
         return _sortable(v.edge)
     if v.type.kind in ("node", "edge"):
         return V.as_column(v)["properties"] if v.type.fields or isinstance(v, Entity) and v.properties else V.identity(v)
+    if v.type.kind == "map" and v.type.fields:
+        return F.when(v.column.isNotNull(), F.struct(scalar.call("size", [v]).column.alias("size"), v.column.alias("members")))
     return v.column

@@ -145,6 +145,11 @@ def test_sort_order(values, mixed):
     assert bag(mixed, "MATCH (n {v: 'a'}) RETURN n.v + n.v") == rows(["aa"])
 
 
+def test_maps_are_sorted_by_size_first(spark):
+    c = graph(spark, "CREATE ({m: {a: 5, b: 1}}), ({m: {a: 9}}), ({m: {a: 1}}), ({x: 1})")
+    assert [m for (m,) in c.execute_oc_query("MATCH (n) RETURN n.m AS m ORDER BY m")[1:]] == [{"a": 1}, {"a": 9}, {"a": 5, "b": 1}, None]
+
+
 def test_unwind(values):
     assert bag(values, "UNWIND [1, null, 2] AS x RETURN x") == rows([1], [None], [2])
     assert bag(values, "UNWIND null AS x RETURN x") == rows()
