@@ -11,7 +11,8 @@ with the retrieved exemplars by words weighted with TF-IDF:
 
 A window is residue if both are high: it then says what the exemplar says and little else. An
 article that mentions such a text has the rest of its sentence around it, and what it quotes,
-emphasises or shows as code is one word to begin with. Latin filler comes in any order, so for it
+emphasises or shows as code is one word to begin with. A passage that as a whole is worded like the
+exemplars together, without being any one of them, is residue as well. Latin filler comes in any order, so for it
 only coverage counts; a template's unfilled slots and commands that print filler are exemplars of
 one word each.
 
@@ -41,6 +42,9 @@ from quiverlane.runtime import spread
 CONTAINMENT, COVERAGE = 0.62, 0.6
 #: For Latin filler: least coverage, least number of distinct filler words, and least weight of those.
 FILLER_COVERAGE, FILLER_WORDS, FILLER_WEIGHT = 0.8, 5, 2.0
+#: For a passage that no exemplar covers alone: least coverage by all of them, least number of its
+#: distinct words of theirs that are rare, and least weight of those.
+JOINT_COVERAGE, JOINT_WORDS, JOINT_WEIGHT = 0.7, 5, 3.0
 #: Bounds of a word's weight, and the weight of words that no exemplar has.
 LEAST, MOST, OTHER = 0.3, 6.0, 4.0
 #: Sentences of the longest window.
@@ -160,6 +164,8 @@ class Index:
                 rest -= self.weight[w] * e.bag[w]
         self.stock = frozenset(w for w in self.latin if self.weight[w] >= FILLER_WEIGHT)
         self.anchors = frozenset(self.postings)
+        self.said = frozenset(w for e in self.entries for w in e.bag if w not in _FIXED)
+        self.rare = frozenset(w for w in self.said if self.weight[w] >= JOINT_WEIGHT)
 
     def weigh(self, bag: Counter) -> float:
         get = self.weight.get
@@ -173,7 +179,7 @@ class Index:
             parts = sentences(latex.readable(passage))
             found = set().union(*parts) if parts else set()
             hits = found & self.anchors
-            if hits and (best := self._best(parts, hits)) or (best := self._latin(parts, found)):
+            if hits and (best := self._best(parts, hits)) or (best := self._latin(parts, found) or self._joint(parts, found)):
                 yield best
 
     def _best(self, parts: list[list[str]], hits: set[str]) -> tuple[str, str, float, float] | None:
@@ -207,11 +213,26 @@ class Index:
                 return exemplars.FILLER, "lorem ipsum", 1.0, coverage
         return None
 
+    def _joint(self, parts: list[list[str]], found: set[str]) -> tuple[str, str, float, float] | None:
+        """A passage that as a whole is worded like the exemplars; the one that shares most with it is named."""
+        if len(found & self.rare) < JOINT_WORDS:
+            return None
+        bag = Counter(w for p in parts for w in p)
+        # words that no exemplar has count as much as their rarest ones
+        of_theirs = sum(self.weight[w] * n for w, n in bag.items() if w in self.said)
+        others = sum(n for w, n in bag.items() if w not in self.said and w != NUMBER)
+        coverage = of_theirs / (of_theirs + MOST * others)
+        if coverage < JOINT_COVERAGE:
+            return None
+        shared = [sum(self.weight[w] for w in e.bag if w in bag) / t for e, t in zip(self.entries, self.total)]
+        i = max(range(len(shared)), key=shared.__getitem__)
+        return self.entries[i].label, self.entries[i].text, shared[i], coverage
+
     def may_match(self, text: str) -> bool:
         """False only for texts without any word, repetition or sign that retrieves an exemplar."""
         said = raw_words(text)
         found = set(said)
-        if not self.anchors.isdisjoint(found) or len(self.stock & found) >= FILLER_WORDS or any(sign.search(text) for sign in _SIGNS):
+        if not self.anchors.isdisjoint(found) or len(self.rare & found) >= JOINT_WORDS or len(self.stock & found) >= FILLER_WORDS or any(sign.search(text) for sign in _SIGNS):
             return True
         # a unit of one or two words three times, or a sentence three times
         if any(a == b == c for a, b, c in zip(said, said[1:], said[2:])):

@@ -57,7 +57,7 @@ def test_each_exemplar_is_found(index, label, text):
         r"$\{article\_title\}".replace("$", r"\$"), "@@ABSTRACT@@", r"\%TITLE\%", r"\_\_DOC\_TITLE\_\_", "{{ sections[3].body }}", "[[SECTION_258_BODY]]", r"\textless{}title\textgreater{}", "<TITLE>", "[object Object]", r"Dear \{\{AUTHOR\_NAME\}\}, your text belongs here.",
         "Bla, bla, bla, bla, bla, bla.", "Text text text text text text.", "Ceci est un faux texte. Ceci est un faux texte. Ceci est un faux texte.", "This goes on. This goes on. This goes on. This goes on.",
         "Lorem ipsum dolor sit amet, cursus velit orci mauris.", "Vitae orci diam ipsum urna elit lorem mollis massa vitae.",
-        "It works. 404 Not Found", "<html><head><title>403 Forbidden</title></head><body><h1>403 Forbidden</h1><hr></body></html>", '{"error":{"code":500,"message":"page unavailable"}}',
+        "Your browser has cookies and scripts disabled. Switch them on and reload this site to view the document.", "It works. 404 Not Found", "<html><head><title>403 Forbidden</title></head><body><h1>403 Forbidden</h1><hr></body></html>", '{"error":{"code":500,"message":"page unavailable"}}',
     ],
 )
 def test_found(index, text):
