@@ -22,11 +22,14 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
-    """Where a public vocabulary lies: below $TOKENIZERS_DIR, or in the installed package of them."""
+    """Where a public vocabulary lies: below $TOKENIZERS_DIR, in the installed package of them, or
+    where that package is linked to. Executors need the file at the same place."""
     if folder := os.environ.get("TOKENIZERS_DIR"):
         return os.path.join(folder, name)
-    import public_tokenizers
-
+    try:
+        import public_tokenizers
+    except ImportError:
+        return os.path.join("/opt/tokenizers", name)
     return public_tokenizers.path(name)
 
 
