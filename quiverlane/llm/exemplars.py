@@ -202,6 +202,9 @@ neque nunc tortor orci mollis libero risus massa urna mauris ante arcu porta ves
 vel ac at a suspendisse praesent donec nam fusce aenean morbi integer nullam etiam vivamus sapien justo metus odio
 """
 
+#: Words of Latin filler that stand in most English texts.
+COMMON_FILLER = frozenset("a at in".split())
+
 #: Commands that print filler.
 FILLER_COMMANDS = "lipsum blindtext Blindtext blindmathpaper blinddocument Blinddocument blindlist blindenumerate blinditemize kant zhlipsum".split()
 

@@ -13,8 +13,8 @@ A window is residue if both are high: it then says what the exemplar says and li
 article that mentions such a text has the rest of its sentence around it, and what it quotes,
 emphasises or shows as code is one word to begin with. A passage that as a whole is worded like the
 exemplars together, without being any one of them, is residue as well. Latin filler comes in any order, so for it
-only coverage counts; a template's unfilled slots and commands that print filler are exemplars of
-one word each.
+only coverage counts, and its words weigh the same however many documents are copies of it; a
+template's unfilled slots and commands that print filler are exemplars of one word each.
 
 Document frequencies are those of all documents, counted in a first pass for the words of the
 exemplars, whose number is fixed.
@@ -40,7 +40,8 @@ from quiverlane.runtime import spread
 
 #: Least containment of an exemplar in a window, and least coverage of the window by it.
 CONTAINMENT, COVERAGE = 0.62, 0.6
-#: For Latin filler: least coverage, least number of distinct filler words, and least weight of those.
+#: For Latin filler: least coverage, least number of distinct filler words, and least weight of those
+#: that are words of other languages; the others count whatever their frequency.
 FILLER_COVERAGE, FILLER_WORDS, FILLER_WEIGHT = 0.8, 5, 2.0
 #: For a passage that no exemplar covers alone: least coverage by all of them, least number of its
 #: distinct words of theirs that are rare, and least weight of those.
@@ -162,7 +163,7 @@ class Index:
                     break
                 self.postings[w].append(i)
                 rest -= self.weight[w] * e.bag[w]
-        self.stock = frozenset(w for w in self.latin if self.weight[w] >= FILLER_WEIGHT)
+        self.stock = frozenset(w for w in self.latin if w not in exemplars.COMMON_FILLER or self.weight[w] >= FILLER_WEIGHT)
         self.anchors = frozenset(self.postings)
         self.said = frozenset(w for e in self.entries for w in e.bag if w not in _FIXED)
         self.rare = frozenset(w for w in self.said if self.weight[w] >= JOINT_WEIGHT)
@@ -209,7 +210,11 @@ class Index:
         for window in (*parts, [w for p in parts for w in p]):
             bag = Counter(window)
             latin = {w: n for w, n in bag.items() if w in self.latin}
-            if len(self.stock.intersection(latin)) >= FILLER_WORDS and (coverage := self.weigh(Counter(latin)) / self.weigh(bag)) >= FILLER_COVERAGE:
+            if len(self.stock.intersection(latin)) < FILLER_WORDS:
+                continue
+            filler = sum((MOST if w in self.stock else self.weight[w]) * n for w, n in latin.items())
+            coverage = filler / (filler + self.weigh(Counter({w: n for w, n in bag.items() if w not in latin})))
+            if coverage >= FILLER_COVERAGE:
                 return exemplars.FILLER, "lorem ipsum", 1.0, coverage
         return None
 

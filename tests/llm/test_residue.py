@@ -101,3 +101,15 @@ def test_over_a_table(spark):
     kept = residue.without_residue(df, "doc_id", "text")
     assert kept.columns == ["doc_id", "text", "label"] and sorted(r.doc_id or 0 for r in kept.collect()) in ([0, 2, 3, 4], [2, 3, 4])
     assert residue.residue_documents(df.limit(0), "doc_id", "text").collect() == []
+
+
+LOREM = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua."
+
+
+def test_filler_in_a_third_of_all_rows_and_in_one(spark):
+    rows = [(i, article(LOREM if i % 3 == 0 else "Tempor magna sed elit dolore ut labore." if i == 1 else "Nothing here.")) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in residue.residue_documents(df, "doc_id", "text").collect()) == sorted([1, *range(0, 30, 3)])
+    one = spark.createDataFrame([(1, LOREM)], "doc_id long, text string")
+    assert [r.doc_id for r in residue.residue_documents(one, "doc_id", "text").collect()] == [1]
+    assert residue.residue_documents(spark.createDataFrame([(1, article("Nothing here."))], "doc_id long, text string"), "doc_id", "text").collect() == []
