@@ -86,11 +86,11 @@ _SIGNS = [
 _SLOT_SIGN = re.compile(r"\{\{|[$#]\{|<|\[|@@|%|__|\{%")
 
 
-def words(text: str) -> list[str]:
-    """The words of a readable text in lower case; those with digits are one, as are runs of X."""
+def words(text: str, runs: bool = False) -> list[str]:
+    """The words of a readable text in lower case; those with digits are one, as are runs of X unless ``runs``."""
     if _SLOT_SIGN.search(text):
         text = _SLOT.sub(f" {SLOT} ", text)
-    return [w.lower() if w.isalpha() and w[:2] != "XX" else _odd_word(w) for w in _WORD.findall(text)]
+    return [w.lower() if w.isalpha() and (runs or w[:2] != "XX") else _odd_word(w) for w in _WORD.findall(text)]
 
 
 def _odd_word(w: str) -> str:
@@ -110,8 +110,11 @@ def sentences(text: str) -> list[list[str]]:
             return [[WRAPPED, *words(text)]]
         text = stripped
     parts = [w for s in _SENTENCE.split(text) if (w := words(s))]
-    # rows of a table repeat themselves by their nature
-    return [[REPEATED]] if "&" not in text and _repeats(parts) else parts
+    if "&" in text:  # rows of a table repeat themselves by their nature
+        return parts
+    # runs of X are filler like any word
+    said = [w for s in _SENTENCE.split(text) if (w := words(s, runs=True))] if "XX" in text else parts
+    return [[REPEATED]] if _repeats(said) else parts
 
 
 def _repeats(parts: list[list[str]]) -> bool:

@@ -113,3 +113,15 @@ def test_filler_in_a_third_of_all_rows_and_in_one(spark):
     one = spark.createDataFrame([(1, LOREM)], "doc_id long, text string")
     assert [r.doc_id for r in residue.residue_documents(one, "doc_id", "text").collect()] == [1]
     assert residue.residue_documents(spark.createDataFrame([(1, article("Nothing here."))], "doc_id long, text string"), "doc_id", "text").collect() == []
+
+
+@pytest.mark.parametrize("text", ["Xxx xxx xxx xxx xxx xxx.", "Xxx, xxx, xxx, xxx, xxx.", "Bla, bla, bla, bla, bla, bla.", "Text text text text text text.", "Xx yy xx yy xx yy.", "Xxx xxx. Xxx xxx. Xxx xxx.", "Ceci est un faux texte. Ceci est un faux texte. Ceci est un faux texte."])
+def test_repeated_words_in_capitals(index, text):
+    for variant in (text, text.upper()):
+        assert found(index, article(variant)) == {"filler"}, variant
+        assert found(index, variant) == {"filler"}, variant
+
+
+@pytest.mark.parametrize("text", ["1 1 1 1 1 1", "12 34 12 34 12 34", "Kernel & XX \\\\ XX & XX & XX & XX", "The case XXX is the case XX."])
+def test_no_repeated_words(index, text):
+    assert not found(index, article(text))
