@@ -33,9 +33,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_labels(spark, d).where("band is not null").select("label", "band")
 
 
+def _ngrams(spark: SparkSession, d: str, most_n: int | None) -> DataFrame:
+    return terms.count_ngrams(_labels(spark, d)[0], "labels", most_n).select(F.array_join("ngram", "\n").alias("ngram"), F.size("ngram").cast("bigint").alias("n"), "n_occurrences", "n_records")
+
+
 def p2_ngrams(spark: SparkSession, d: str) -> DataFrame:
     """Sequences of up to three labels."""
-    return terms.count_ngrams(_labels(spark, d)[0], "labels", 3).select(F.array_join("ngram", "\n").alias("ngram"), F.size("ngram").cast("bigint").alias("n"), "n_occurrences", "n_records")
+    return _ngrams(spark, d, 3)
+
+
+def p2_all_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences of labels of every length that occurs."""
+    return _ngrams(spark, d, None)
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +90,7 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
     return residue.without_residue(docs, "doc_id", "text").groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_chars").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_labels, p2_ngrams, p6_ids, p7_found, p7_shares, p7_mix, p8_found, p8_matches, p8_kept)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_labels, p2_ngrams, p2_all_ngrams, p6_ids, p7_found, p7_shares, p7_mix, p8_found, p8_matches, p8_kept)}
 
 _LABELS = """
 WITH n AS (SELECT id, max(labels) AS labels FROM nodes GROUP BY id),
@@ -106,5 +115,15 @@ lists AS (
   FROM n),
 starts AS (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM lists WHERE len(l) > 0),
 grams AS (SELECT s.id, k.n, array_to_string(list_slice(l, i, i + k.n - 1), chr(10)) AS ngram FROM starts s CROSS JOIN (SELECT unnest([1, 2, 3])::BIGINT AS n) k WHERE i + k.n - 1 <= len(l))
+SELECT ngram, n, count(*) AS n_occurrences, count(DISTINCT id) AS n_records FROM grams GROUP BY ngram, n""",
+    "p2_all_ngrams": """
+WITH n AS (SELECT id, max(labels) AS labels FROM nodes GROUP BY id),
+lists AS (
+  SELECT id, CASE WHEN starts_with(labels, ':') THEN list_filter(string_split(labels, ':'), lambda x: x <> '')
+                  WHEN json_valid(labels) AND json_type(labels) = 'ARRAY' THEN list_transform(list_filter(json_extract(labels, '$[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: json_extract_string(x, '$')) END AS l
+  FROM n),
+starts AS (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM lists WHERE len(l) > 0),
+spans AS (SELECT id, l, i, unnest(range(1, len(l) - i + 2)) AS n FROM starts),
+grams AS (SELECT id, n, array_to_string(list_slice(l, i, i + n - 1), chr(10)) AS ngram FROM spans)
 SELECT ngram, n, count(*) AS n_occurrences, count(DISTINCT id) AS n_records FROM grams GROUP BY ngram, n""",
 }

@@ -27,7 +27,7 @@ from quiverlane.runtime import with_workers
 
 #: Values of a block, as a bound on memory; a longer record is a block of its own.
 BLOCK = 400_000
-#: The longest n-grams that may be asked for (prefix lengths are kept in a byte).
+#: The longest n-grams that may be asked for by length; all of them are asked for by None.
 MOST_N = 255
 
 
@@ -57,7 +57,7 @@ def _left(codes: np.ndarray) -> np.ndarray:
 def common_prefixes(codes: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """The length, up to ``depth``, of the prefix that each suffix shares with the one before it."""
     padded = np.concatenate([codes, np.zeros(depth, codes.dtype)])
-    out, same = np.zeros(len(order), np.int16), np.ones(max(0, len(order) - 1), bool)
+    out, same = np.zeros(len(order), np.int32), np.ones(max(0, len(order) - 1), bool)
     for k in range(depth):
         a, b = padded[order[1:] + k], padded[order[:-1] + k]
         same &= (a == b) & (a != 0)
@@ -95,7 +95,7 @@ def ngram_counts(codes: np.ndarray, record: np.ndarray, most_n: int) -> Iterator
     by_record = np.lexsort((np.arange(len(order)), record[order]))
     again = np.flatnonzero(record[order][by_record][1:] == record[order][by_record][:-1])
     here, there = by_record[again + 1], by_record[again]
-    repeated = np.zeros(len(order), np.int16)
+    repeated = np.zeros(len(order), np.int32)
     repeated[here] = range_minima(shared, there + 1, here)
     for n in range(1, most_n + 1):
         long = left[order] >= n
@@ -109,7 +109,7 @@ def ngram_counts(codes: np.ndarray, record: np.ndarray, most_n: int) -> Iterator
         yield n, order[head], occurrences, occurrences - duplicates
 
 
-def _block(values: pa.ListArray, most_n: int) -> Iterator[pa.RecordBatch]:
+def _block(values: pa.ListArray, most_n: int | None) -> Iterator[pa.RecordBatch]:
     values = values.filter(pc.is_valid(values))
     coded = pc.dictionary_encode(values.flatten())
     if not len(coded):
@@ -119,18 +119,23 @@ def _block(values: pa.ListArray, most_n: int) -> Iterator[pa.RecordBatch]:
     codes = np.zeros(len(of) + len(lengths), np.int64)
     record = np.repeat(np.arange(len(lengths)), lengths + 1)
     codes[np.arange(len(of)) + of] = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    for n, at, occurrences, records in ngram_counts(codes, record, most_n):
-        flat = coded.dictionary.take(pa.array((codes[(at[:, None] + np.arange(n)).ravel()] - 1)))
-        grams = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n, dtype=np.int32)), flat)
-        yield pa.record_batch([grams, pa.array(occurrences.astype(np.int64)), pa.array(records.astype(np.int64))], ["ngram", "n_occurrences", "n_records"])
+    for n, at, occurrences, records in ngram_counts(codes, record, most_n or int(lengths.max())):
+        step = max(1, BLOCK // n)
+        for i in range(0, len(at), step):
+            flat = coded.dictionary.take(pa.array((codes[(at[i : i + step, None] + np.arange(n)).ravel()] - 1)))
+            grams = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n, dtype=np.int32)), flat)
+            counts = [pa.array(c[i : i + step].astype(np.int64)) for c in (occurrences, records)]
+            yield pa.record_batch([grams, *counts], ["ngram", "n_occurrences", "n_records"])
 
 
-def count_ngrams(records: DataFrame, values: str, most_n: int = 1) -> DataFrame:
+def count_ngrams(records: DataFrame, values: str, most_n: int | None = 1) -> DataFrame:
     """``ngram`` (an array), ``n_occurrences``, ``n_records`` of all n-grams of 1 to ``most_n`` values.
 
+    None: of all lengths that occur; a record of n distinct values has n (n + 1) / 2 of them.
+
     Each row of ``records`` is one record, ``values`` its array of strings.
     """
-    if not 1 <= most_n <= MOST_N:
+    if most_n is not None and not 1 <= most_n <= MOST_N:
         raise ValueError(f"n-grams may have 1 to {MOST_N} values")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

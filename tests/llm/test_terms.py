@@ -45,6 +45,15 @@ def test_blocks_add_up(spark, monkeypatch):
     assert got == brute(records, 2)
 
 
+def test_all_lengths(spark, monkeypatch):
+    rnd = random.Random(1)
+    records = [[rnd.choice(["a", "b", None]) for _ in range(rnd.randint(0, 12))] for _ in range(40)] + [[rnd.choice("ab") for _ in range(300)], None]
+    df = spark.createDataFrame([(r,) for r in records], "labels array<string>").repartition(3)
+    monkeypatch.setattr(terms, "BLOCK", 500)
+    got = {tuple(r.ngram): (r.n_occurrences, r.n_records) for r in terms.count_ngrams(df, "labels", None).collect()}
+    assert got == brute(records, 300)
+
+
 def test_bands(spark):
     df = spark.createDataFrame([(["hot", f"x{i % 30}"],) for i in range(100)], "labels array<string>")
     counts = terms.banded(terms.count_values(df, "labels"), F.lit(100), 4, 0.4).collect()
