@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quiverlane.session import connect
 from quiverlane.sources.commerce import commerce_graph
-from quiverlane.sources.store import store_graph
+from quiverlane.sources.store import store_graph, whole_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -206,3 +206,23 @@ stored("store_aggregate_count_filter", "MATCH (n:User) WHERE n.age >= 18 RETURN
 stored("store_aggregate_min_max_avg", "MATCH (n:User) RETURN min(n.age) AS least, max(n.age) AS most, avg(n.age) AS mean", "SELECT min(age) AS least, max(age) AS most, avg(age) AS mean FROM v WHERE list_contains(labels, 'User')", rounded=["mean"])
 stored("store_labels", "MATCH (n) UNWIND labels(n) AS label RETURN label, count(*) AS n", "SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM v) GROUP BY label")
 stored("store_degrees", "MATCH (a:User)-[x]-(b) RETURN a.id AS id, count(x) AS degree", "SELECT a.id, count(*) AS degree FROM v a JOIN (SELECT l AS s, r AS t FROM e UNION ALL SELECT r, l FROM e WHERE l <> r) ON s = a.nid JOIN v b ON t = b.nid WHERE list_contains(a.labels, 'User') GROUP BY a.id")
+
+#: The same with all properties; maps in a JSON string are read.
+_WHOLE = """
+WITH raw AS (SELECT id, labels, properties FROM nodes UNION ALL SELECT id, labels, properties FROM shared_nodes),
+once AS (SELECT id AS nid, max(labels) AS labels, max(properties) AS p FROM raw WHERE id IS NOT NULL GROUP BY id),
+edge AS (SELECT max(properties) AS p FROM edges WHERE left_id IS NOT NULL AND right_id IS NOT NULL GROUP BY id),
+texts AS (SELECT 'node' AS kind, labels, p FROM once UNION ALL SELECT 'edge', NULL, p FROM edge),
+inner_texts AS (SELECT kind, labels, CASE WHEN json_valid(p) AND json_type(p) = 'VARCHAR' THEN json_extract_string(p, '$') ELSE p END AS p FROM texts),
+maps AS (SELECT kind, labels, p FROM inner_texts WHERE json_valid(p) AND json_type(p) = 'OBJECT'),
+members AS (SELECT kind, labels, je.key AS key, je.type AS type, je.value AS value FROM maps, json_each(p) je WHERE je.type <> 'NULL')
+"""
+
+
+def stored_whole(name: str, text: str, sql: str) -> None:
+    QUERIES[name] = lambda spark, directory: connect(spark, graphs={"default": whole_graph(spark, directory)}).execute(text)
+    ORACLE[name] = _WHOLE + sql
+
+
+stored_whole("store_keys", "MATCH (n) UNWIND keys(n) AS key RETURN key, count(*) AS n", "SELECT key, count(*) AS n FROM members WHERE kind = 'node' GROUP BY key")
+stored_whole("store_whole_ages", "MATCH (n) WHERE n.age IS NOT NULL RETURN n.age AS age, count(*) AS n", "SELECT CAST(value AS BIGINT) AS age, count(*) AS n FROM members WHERE kind = 'node' AND key = 'age' GROUP BY ALL")

@@ -2,18 +2,23 @@
 
 Nodes and edges may stand in several rows that differ in the time of loading only; each is one.
 Labels are the strings of a JSON array, or the pieces of ``:A:B``; any other text holds none.
-Properties are read from the text by name and type as far as a query needs them; a text that isn't
-a JSON map, and a value that doesn't suit the type, give null. Edges without both ends, and edges
+Properties are read from the text by name and type as far as a query needs them. ``whole_graph``
+takes the names and types of all rows: values whose type differs from row to row are tagged if all
+are scalars and variants otherwise, and a map that is wrapped in a JSON string is read like any
+other. ``store_graph`` has the properties below only; a value that doesn't suit the type and a
+wrapped map give null there. In both, a text that isn't a map gives null. Edges without both ends, and edges
 that lead to nodes that don't exist, match nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Callable, Mapping
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from quiverlane.graph import ID, LABELS, SOURCE, TARGET, EdgeFrame, NodeFrame, PropertyGraph
 from quiverlane.lang import values as V
@@ -32,6 +37,63 @@ def label_array(text: Column) -> Column:
     return F.coalesce(F.when(text.startswith(":"), pieces).otherwise(strings), F.array().cast("array<string>"))
 
 
+def _unwrapped(text: str) -> Column:
+    """The JSON value of a text; a string that holds one is that value."""
+    document = F.try_parse_json(text)
+    return F.when(F.schema_of_variant(document) == "STRING", F.try_parse_json(F.try_variant_get(document, "$", "string"))).otherwise(document)
+
+
+def _found(rows: DataFrame) -> dict[str, V.Type]:
+    """The names of all rows' properties with the types that hold all their values."""
+    documents = rows.select(_unwrapped("properties").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    schema = documents.agg(F.schema_of_variant_agg("v")).first()[0]
+    # what is in backticks is a name
+    parts = re.split(r"(`(?:[^`]|``)*`)", schema)
+    parts[::2] = [re.sub(r"\bOBJECT<", "struct<", p) for p in parts[::2]]
+    struct = S.DataType.fromDDL("".join(parts))
+    mixed = [f.name for f in struct.fields if isinstance(f.dataType, S.VariantType)]
+    kinds = {}
+    if mixed:
+        kind = lambda n: F.regexp_extract(F.schema_of_variant(_member(F.col("v"), n, "variant")), r"^\w+", 0)
+        kinds = documents.agg(*[F.collect_set(kind(n)).alias(str(i)) for i, n in enumerate(mixed)]).first()
+    types = {}
+    for f in struct.fields:
+        if f.name in mixed:
+            types[f.name] = V.Type("native", native="variant") if {"OBJECT", "ARRAY"} & set(kinds[mixed.index(f.name)]) else V.ANY
+        elif not isinstance(f.dataType, S.NullType):
+            types[f.name] = V.type_of(_without_void(f.dataType))
+    return types
+
+
+def _without_void(t: S.DataType) -> S.DataType:
+    """A list or member that is empty or null in all rows may have any type."""
+    if isinstance(t, S.ArrayType):
+        return S.ArrayType(_without_void(t.elementType))
+    if isinstance(t, S.StructType):
+        return S.StructType([S.StructField(f.name, _without_void(f.dataType)) for f in t.fields])
+    return S.StringType() if isinstance(t, S.NullType) else t
+
+
+def _member(document: Column, name: str, kind: str) -> Column:
+    if "'" in name or "\\" in name:
+        return F.try_variant_get(F.try_variant_get(document, "$", "map<string,variant>")[name], "$", kind)
+    return F.try_variant_get(document, f"$['{name}']", kind)
+
+
+def _as_found(types: Mapping[str, V.Type]) -> list[Column]:
+    document = _unwrapped("__text")
+
+    def read(name: str, t: V.Type) -> Column:
+        if t != V.ANY:
+            return _member(document, name, V.spark_type(t))
+        kind = F.schema_of_variant(_member(document, name, "variant"))
+        as_tagged = lambda x: V.tagged(_member(document, name, V.spark_type(x)), x)
+        number = F.when(kind == "BIGINT", as_tagged(V.INT)).when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), as_tagged(V.FLOAT))
+        return number.when(kind == "BOOLEAN", as_tagged(V.BOOL)).when(kind == "STRING", as_tagged(V.STR))
+
+    return [read(n, t).alias(n) for n, t in types.items()]
+
+
 def _typed(types: Mapping[str, V.Type]) -> list[Column]:
     document = F.try_parse_json("__text")
     return [F.try_variant_get(document, f"$['{n}']", V.spark_type(t)).alias(n) for n, t in types.items()]
@@ -44,10 +106,21 @@ def _once(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 
 @lru_cache(maxsize=4)
 def store_graph(spark: SparkSession, directory: str) -> PropertyGraph:
-    """All graphs of the store as one; nothing is read but schemas."""
+    """All graphs of the store as one, with the common properties; nothing is read but schemas."""
+    return _graph(spark, directory, NODE_PROPERTIES, EDGE_PROPERTIES, _typed)
+
+
+@lru_cache(maxsize=4)
+def whole_graph(spark: SparkSession, directory: str) -> PropertyGraph:
+    """All graphs of the store as one, with all properties; a pass over the tables finds their names."""
+    nodes = read_table(spark, directory, "nodes", "properties").unionByName(read_table(spark, directory, "shared_nodes", "properties"))
+    return _graph(spark, directory, _found(nodes), _found(read_table(spark, directory, "edges", "properties")), _as_found)
+
+
+def _graph(spark: SparkSession, directory: str, of_nodes: Mapping[str, V.Type], of_edges: Mapping[str, V.Type], typed: Callable[[Mapping[str, V.Type]], list[Column]]) -> PropertyGraph:
     rows = read_table(spark, directory, "nodes", "id", "labels", "properties").unionByName(read_table(spark, directory, "shared_nodes", "id", "labels", "properties"))
-    nodes = _once(rows, {"__labels_text": "labels", "__text": "properties"}).select(F.col("id").alias(ID), label_array(F.col("__labels_text")).alias(LABELS), *_typed(NODE_PROPERTIES))
+    nodes = _once(rows, {"__labels_text": "labels", "__text": "properties"}).select(F.col("id").alias(ID), label_array(F.col("__labels_text")).alias(LABELS), *typed(of_nodes))
     edges = _once(read_table(spark, directory, "edges", "id", "labels", "properties", "left_id", "right_id"), {SOURCE: "left_id", TARGET: "right_id", "__labels_text": "labels", "__text": "properties"})
-    edges = edges.where(F.col(SOURCE).isNotNull() & F.col(TARGET).isNotNull()).select(F.col("id").cast("string").alias(ID), SOURCE, TARGET, label_array(F.col("__labels_text")).alias(LABELS), *_typed(EDGE_PROPERTIES))
+    edges = edges.where(F.col(SOURCE).isNotNull() & F.col(TARGET).isNotNull()).select(F.col("id").cast("string").alias(ID), SOURCE, TARGET, label_array(F.col("__labels_text")).alias(LABELS), *typed(of_edges))
     one = frozenset([0])
-    return PropertyGraph((NodeFrame(nodes, None, dict(NODE_PROPERTIES), place=0),), (EdgeFrame(edges, None, dict(EDGE_PROPERTIES), sources=one, targets=one, complete=False, source_place=0, target_place=0),))
+    return PropertyGraph((NodeFrame(nodes, None, dict(of_nodes), place=0),), (EdgeFrame(edges, None, dict(of_edges), sources=one, targets=one, complete=False, source_place=0, target_place=0),))
