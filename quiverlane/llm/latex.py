@@ -13,7 +13,7 @@ import unicodedata
 
 #: Stand-ins for escaped characters, so that what is left of their kind is syntax.
 _ESCAPED = [("\\\\", "\ue004"), ("\\%", "\ue000"), ("\\{", "\ue001"), ("\\}", "\ue002"), ("\\$", "\ue003"), ("\\_", "_"), ("\\&", "&"), ("\\#", "#"), ("\\-", ""), ("~", " ")]
-_PLAIN = str.maketrans({"\ue000": "%", "\ue001": "{", "\ue002": "}", "\ue003": "$", "\ue004": " "})
+PLAIN = str.maketrans({"\ue000": "%", "\ue001": "{", "\ue002": "}", "\ue003": "$", "\ue004": " "})
 
 #: Words that stand for what isn't read.
 FORMULA, QUOTED, FILLER = "⟨formula⟩", "⟨quoted⟩", "⟨filler⟩"
@@ -82,6 +82,11 @@ def passages(text: str, filler: re.Pattern) -> list[str]:
 
 def readable(passage: str) -> str:
     """The words of a passage. What it quotes or sets apart becomes one word, unless that is all of it."""
+    return unquoted(passage).translate(PLAIN)
+
+
+def unquoted(passage: str) -> str:
+    """What is readable of a passage, still with stand-ins for escaped characters."""
     body = passage.strip()
     while True:
         inner = _whole(body)
@@ -94,8 +99,7 @@ def readable(passage: str) -> str:
         body = _STRAIGHT.sub(QUOTED, body)
     body = _LESS.sub(lambda m: "<" if m[1] == "less" else ">", body)
     body = _COMMAND.sub(" ", body)
-    body = _outer_braces(body)
-    return body.translate(_PLAIN)
+    return _outer_braces(body)
 
 
 _STYLE_ALL = re.compile(rf"\\(?:text(?:bf|it|tt|sc|sf|sl|rm|up|md|normal)|emph|underline|textcolor\s*\{{[^{{}}]*\}}|enquote|mbox|fbox|large|centerline)\s*({_ARG})[\s.!]*\Z", re.S)

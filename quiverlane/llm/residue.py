@@ -64,6 +64,9 @@ _SLOT = re.compile(
     rf"\{{\{{+\s*{_IDENT}(?:\s*\|[^{{}}\n]*)?\s*\}}\}}+|\$\{{\s*{_IDENT}\s*\}}|#\{{\s*{_IDENT}\s*\}}|<%=?\s*{_IDENT}\s*%>|\{{%\s*{_IDENT}[^{{}}%\n]*%\}}|@@\s*{_IDENT}\s*@@|%%?[A-Z][A-Z_0-9]+%%?|__[A-Z][A-Z_0-9]*__|\[\[\s*[A-Z][A-Z_0-9]+\s*\]\]"
     rf"|(?i:<<?\s*{_LABEL}\s*>>?|\[\[?\s*{_LABEL}\s*\]?\]|\[object\s+object\])"
 )
+#: Those that nothing but a template leaves, in an unescaped text; they count whatever stands around
+#: them. Braces that aren't escaped may group, and brackets may be the author's.
+_SURE_SLOT = re.compile(rf"\ue001\ue001\s*{_IDENT}(?:\s*\|[^{{}}\ue001\ue002\n]*)?\s*\ue002\ue002|\ue003\ue001\s*[A-Za-z_][\w.\-]+\s*\ue002|@@\s*{_IDENT}\s*@@|__[A-Z][A-Z_0-9]*__|\{{\{{\s*[A-Za-z]\w*(?:[._]\w+)+\s*\}}\}}")
 _HTML = re.compile(r"</?(?:html|head|body|title|h[1-6]|hr|p|div|span|center|noscript|br|b|i|a)\b[^<>]*>", re.I)
 _WORD = re.compile(r"⟨\w+⟩|[^\W_]+(?:['’][^\W_]+)?")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
@@ -180,11 +183,14 @@ class Index:
         for passage in latex.passages(text, _FILLER_COMMAND):
             if latex.FILLER not in passage and not self.may_match(passage):
                 continue
-            parts = sentences(latex.readable(passage))
+            body = latex.unquoted(passage)
+            parts = sentences(body.translate(latex.PLAIN))
             found = set().union(*parts) if parts else set()
             hits = found & self.anchors
             if hits and (best := self._best(parts, hits)) or (best := self._latin(parts, found) or self._joint(parts, found)):
                 yield best
+            elif _SURE_SLOT.search(body):
+                yield exemplars.PLACEHOLDER, SLOT, 1.0, self.weight[SLOT] / max(self.weight[SLOT], self.weigh(Counter(w for p in parts for w in p)))
 
     def _best(self, parts: list[list[str]], hits: set[str]) -> tuple[str, str, float, float] | None:
         best = None

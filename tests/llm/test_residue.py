@@ -125,3 +125,13 @@ def test_repeated_words_in_capitals(index, text):
 @pytest.mark.parametrize("text", ["1 1 1 1 1 1", "12 34 12 34 12 34", "Kernel & XX \\\\ XX & XX & XX & XX", "The case XXX is the case XX."])
 def test_no_repeated_words(index, text):
     assert not found(index, article(text))
+
+
+@pytest.mark.parametrize("text", [r"Accepted by \{\{journal.name\}\} following careful revision.", "Accepted by {{journal.name}} following careful revision.", "The manuscript that @@AUTHOR@@ sent was received with great delay.", r"Readers of \_\_DOC\_TITLE\_\_ may find further results elsewhere.", r"Submitted with delay by \$\{author\} following careful revision."])
+def test_slots_inside_sentences(index, text):
+    assert found(index, article(text)) == {"placeholder"}
+
+
+@pytest.mark.parametrize("text", [r"This is the {{\bf main}} result of our careful analysis.", "Air with 5\\%CO2 was used, see [Table 3] for further measurements.", r"The slot \verb|{{journal.name}}| and ``@@AUTHOR@@'' are replaced during careful revision."])
+def test_no_slots_inside_sentences(index, text):
+    assert not found(index, article(text))
