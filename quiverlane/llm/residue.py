@@ -311,5 +311,17 @@ def residue_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def without_residue(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of ``docs`` that hold no residue; all columns are kept."""
-    return docs.join(residue_documents(docs, key, text), key, "left_anti")
+    """The rows of ``docs`` that hold no residue; all columns are kept.
+
+    Rows are judged each on its own, so neither a null ``key`` nor a repeated one makes a difference.
+    """
+    frequency, n_documents = document_frequencies(docs, text)
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(frequency, n_documents)
+        for batch in batches:
+            clean = [not (t.is_valid and index.may_match(plain := latex.unescaped(t.as_py())) and any(True for _ in index.matches(plain))) for t in batch.column(at)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return spread(docs).mapInArrow(keep, docs.schema)

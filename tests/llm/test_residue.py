@@ -135,3 +135,10 @@ def test_slots_inside_sentences(index, text):
 @pytest.mark.parametrize("text", [r"This is the {{\bf main}} result of our careful analysis.", "Air with 5\\%CO2 was used, see [Table 3] for further measurements.", r"The slot \verb|{{journal.name}}| and ``@@AUTHOR@@'' are replaced during careful revision."])
 def test_no_slots_inside_sentences(index, text):
     assert not found(index, article(text))
+
+
+def test_rows_without_a_key(spark):
+    rows = [(None, article("404 Not Found"), "a"), (None, article("Nothing here."), "b"), (1, article("404 Not Found"), "c"), (2, None, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    kept = residue.without_residue(df, "doc_id", "text")
+    assert kept.schema == df.schema and sorted(r.label for r in kept.collect()) == ["b", "d"]
