@@ -16,7 +16,7 @@ def aggregate(name: str, args: list[Value]) -> Value:
     """The aggregate of one argument. All but ``collect`` skip nulls."""
     if len(args) != 1:
         raise compile_error("InvalidNumberOfArguments", f"{name} got {len(args)} expected 1")
-    (v,) = args
+    v = args[0] if name in ("count", "collect") else V.settled(args[0])
     kind = v.type.kind
     if name == "count":
         return Value(INT, F.count(V.identity(v) if kind in ("node", "edge", "path") else v.column))

@@ -54,6 +54,8 @@ def _refuse(name: str, v: Value):
 @register("head", 1, takes_null=True)
 def _head(args: Sequence[Value]) -> Value:
     (v,) = args
+    if v.type == V.VARIANT:
+        v = V.variant_list(v)
     if v.type.kind != "list":
         _refuse("head", v)
     return Value(v.type.element, F.get(v.column, F.lit(0)))
@@ -63,6 +65,9 @@ def _head(args: Sequence[Value]) -> Value:
 def _keys(args: Sequence[Value]) -> Value:
     """The names of members in alphabetical order."""
     (v,) = args
+    if v.type == V.VARIANT:
+        held = F.map_filter(F.try_variant_get(v.column, "$", "map<string,variant>"), lambda _, x: ~F.is_variant_null(x))
+        return Value(V.list_of(STR), F.array_sort(F.map_keys(held)))
     if v.type.kind not in ("map", "node", "edge"):
         _refuse("keys", v)
     members = v.properties if isinstance(v, Entity) else v.type.members
@@ -85,6 +90,9 @@ def _range(args: Sequence[Value]) -> Value:
 def _count(v: Value, name: str) -> Value:
     if isinstance(v, Path):
         return Value(INT, F.when(v.edge.id.isNotNull(), F.lit(1)).cast("bigint"))
+    if v.type == V.VARIANT:
+        items, names = V.variant_list(v).column, _keys([v]).column
+        return Value(INT, F.when(items.isNotNull(), F.size(items)).when(names.isNotNull(), F.size(names)).cast("bigint"))
     if v.type.kind == "list":
         return Value(INT, F.when(v.column.isNotNull(), F.size(v.column)).cast("bigint"))
     if v.type.kind == "map":
@@ -116,7 +124,7 @@ def _type(args: Sequence[Value]) -> Value:
 def _rounded(name: str, f: Callable[[Column], Column]) -> None:
     @register(name, 1)
     def rounded(args: Sequence[Value]) -> Value:
-        (v,) = args
+        v = V.settled(args[0])
         if v.type.kind == "any":
             v = Value(FLOAT, F.when(v.column["i"].isNull(), v.column["d"]))
         if v.type.kind != "float":
@@ -156,7 +164,7 @@ def _coalesce(args: Sequence[Value]) -> Value:
 @register("properties", 1)
 def _properties(args: Sequence[Value]) -> Value:
     (v,) = args
-    if v.type.kind == "map":
+    if v.type.kind == "map" or v.type == V.VARIANT:
         return v
     if v.type.kind not in ("node", "edge"):
         _refuse("properties", v)
@@ -169,7 +177,7 @@ def _properties(args: Sequence[Value]) -> Value:
 @register("toInteger", 1)
 def _to_integer(args: Sequence[Value]) -> Value:
     """Floats lose their fraction and stop at the ends of the range, NaN is 0; a bad text is an error."""
-    (v,) = args
+    v = V.settled(args[0])
     if v.type.kind == "int":
         return v
     if v.type.kind == "float":
@@ -188,7 +196,7 @@ def _to_integer(args: Sequence[Value]) -> Value:
 @register("toString", 1)
 def _to_string(args: Sequence[Value]) -> Value:
     """Whole floats lose their point, others their exponent."""
-    (v,) = args
+    v = V.settled(args[0])
     if v.type.kind in ("int", "bool", "str"):
         return Value(STR, v.column.cast("string"))
     if v.type.kind == "float":

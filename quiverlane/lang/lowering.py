@@ -72,6 +72,7 @@ def is_true(v: Value) -> Column:
     """What WHERE keeps: anything but null and false."""
     if v.type.kind == "bool":
         return F.coalesce(v.column, F.lit(False)) if v.constant else v.column
+    v = V.settled(v)
     if v.type.kind == "any":
         return v.column.isNotNull() & ((v.column["k"] != 7) | v.column["b"])
     return ~V.is_null(v)
@@ -539,6 +540,9 @@ class Reader:
             b.df = b.table().where(F.lit(False)).select("*", F.lit(None).alias(name))
             b.scope[clause.item.name] = Value(V.NULL, F.col(name))
             return
+        if v.type == V.VARIANT:
+            items = V.variant_list(v)
+            v = Value(items.type, F.coalesce(items.column, F.filter(F.array(v.column), lambda x: x.isNotNull())))
         # a list gives a row per element; anything else gives one, null none
         many = v.column if v.type.kind == "list" else F.filter(F.array(v.column), lambda x: x.isNotNull())
         b.df = b.table().select("*", F.explode(many).alias(name))
@@ -612,6 +616,7 @@ class Reader:
         results: dict[Node, Value] = {}
 
         def grouped(v: Value) -> Value:
+            v = V.settled(v)
             if isinstance(v, Path):
                 return replace(v, start=grouped(v.start), edge=grouped(v.edge), end=grouped(v.end))
             if isinstance(v, Entity):
@@ -659,6 +664,7 @@ class Reader:
 
 def _sortable(v: Value) -> Column:
     """Entities are ordered by what they hold, maps by the number of their members first."""
+    v = V.settled(v)
     if isinstance(v, Path):
         return _sortable(v.edge)
     if v.type.kind in ("node", "edge"):

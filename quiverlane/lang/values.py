@@ -38,6 +38,8 @@ class Type:
 
 
 NULL, BOOL, INT, FLOAT, STR, ANY = (Type(k) for k in ("null", "bool", "int", "float", "str", "any"))
+#: Values of any type as they were stored; they are tagged where they are compared or computed with.
+VARIANT = Type("native", native="variant")
 NUMBERS = ("int", "float", "any")
 
 
@@ -220,6 +222,8 @@ def tagged(column: Column, of: Type) -> Column:
         return column
     if of.kind == "null":
         return F.lit(None).cast(TAGGED)
+    if of == VARIANT:
+        return _tagged_variant(column)
     none = {"s": F.lit(None).cast("string"), "b": F.lit(None).cast("boolean"), "d": F.lit(None).cast("double"), "i": F.lit(None).cast("bigint")}
     if of.kind == "int":
         part = {"d": column.cast("double"), "i": column}
@@ -235,6 +239,44 @@ def tagged(column: Column, of: Type) -> Column:
     return F.when(column.isNotNull(), made)
 
 
+def _tagged_variant(column: Column) -> Column:
+    kind = F.schema_of_variant(column)
+
+    def get(t: Type) -> Column:
+        return tagged(F.try_variant_get(column, "$", spark_type(t)), t)
+
+    def text(rank: str) -> Column:
+        none = [F.lit(None).cast(t).alias(n) for n, t in (("b", "boolean"), ("d", "double"), ("i", "bigint"))]
+        return F.struct(F.lit(RANKS[rank]).alias("k"), F.to_json(column).alias("s"), *none)
+
+    number = F.when(kind == "BIGINT", get(INT)).when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), get(FLOAT))
+    return number.when(kind == "BOOLEAN", get(BOOL)).when(kind == "STRING", get(STR)).when(kind.startswith("ARRAY"), text("list")).when(kind.startswith("OBJECT"), text("map"))
+
+
+def stored(column: Column) -> Column:
+    """A variant, null where it holds JSON's null."""
+    return F.when(~F.is_variant_null(column), column)
+
+
+def in_variant(document: Column, name: str, t: Type) -> Column:
+    """A member of a variant as a type; null where it has none, or one of another type."""
+    if "'" in name or "\\" in name:
+        found = F.try_variant_get(document, "$", "map<string,variant>")[name]
+        return stored(found) if t == VARIANT else F.try_variant_get(found, "$", spark_type(t))
+    found = F.try_variant_get(document, f"$['{name}']", spark_type(t))
+    return stored(found) if t == VARIANT else found
+
+
+def variant_list(v: Value) -> Value:
+    """A variant as a list of variants; null if it isn't one."""
+    return Value(list_of(VARIANT), F.transform(F.try_variant_get(v.column, "$", "array<variant>"), stored))
+
+
+def settled(v: Value) -> Value:
+    """A value that can be compared and grouped by: variants are tagged."""
+    return Value(ANY, _tagged_variant(v.column)) if v.type == VARIANT else v
+
+
 def as_column(v: Value) -> Column:
     """The one column of a value; entities become structs."""
     if isinstance(v, Path):
@@ -297,6 +339,7 @@ def identity(v: Value) -> Column:
 
 def equal(a: Value, b: Value) -> Value:
     """Null if either is null; false for values of different types and for NaN; numbers compare by value."""
+    a, b = settled(a), settled(b)
     if a.type.kind == "null" or b.type.kind == "null":
         return unknown()
     kinds = {a.type.kind, b.type.kind}
@@ -345,6 +388,7 @@ def _equal_lists(a: Value, b: Value) -> Column:
 
 
 def negate(v: Value) -> Value:
+    v = settled(v)
     if v.type.kind == "null":
         return unknown()
     if v.type.kind == "any":
@@ -356,6 +400,7 @@ def negate(v: Value) -> Value:
 
 def less(a: Value, b: Value, op: str) -> Value:
     """``< <= > >=``: null if either is null or the types don't compare; false for NaN."""
+    a, b = settled(a), settled(b)
 
     def compared(x: Column, y: Column) -> Column:
         return {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
@@ -391,6 +436,8 @@ def contains(x: Value, within: Value) -> Value:
         if within.constant:
             raise compile_error("InvalidArgumentType", "IN needs a list")
         return unknown()
+    if within.type == VARIANT:
+        within = variant_list(within)
     if within.type.kind != "list":
         raise compile_error("InvalidArgumentType", f"IN needs a list, not {within.type}")
     element = within.type.element
@@ -402,6 +449,7 @@ def contains(x: Value, within: Value) -> Value:
 
 def logic(op: str, a: Value, b: Value) -> Value:
     def truth(v: Value) -> Column:
+        v = settled(v)
         if v.type.kind == "null":
             return F.lit(None).cast("boolean")
         if v.type.kind == "any":
@@ -419,6 +467,7 @@ def logic(op: str, a: Value, b: Value) -> Value:
 
 def arithmetic(op: str, a: Value, b: Value) -> Value:
     """Integers stay integers (``/`` truncates), mixed numbers are floats; null in, null out."""
+    a, b = settled(a), settled(b)
     if a.type.kind == "null" or b.type.kind == "null":
         return literal(None)
     kinds = {a.type.kind, b.type.kind}
@@ -457,6 +506,7 @@ def _floats(op: str, x: Column, y: Column) -> Column:
 
 
 def minus(v: Value) -> Value:
+    v = settled(v)
     if v.type.kind == "null":
         return literal(None)
     if v.type.kind == "any":
@@ -473,6 +523,8 @@ def member(v: Value, name: str) -> Value:
     """A property, or the value under a key; null where there is none."""
     if isinstance(v, Entity):
         return v.properties.get(name, literal(None))
+    if v.type == VARIANT:
+        return Value(VARIANT, in_variant(v.column, name, VARIANT))
     if v.type.kind in ("map", "node", "edge") and name in v.type.members:
         inside = v.column if v.type.kind == "map" else v.column["properties"]
         return Value(v.type.members[name], inside[name])
@@ -483,6 +535,11 @@ def element(v: Value, index: Value) -> Value:
     """``list[i]`` from 0, out of bounds is an error; ``map['k']``, null where there is none."""
     if v.type.kind == "null" or index.type.kind == "null":
         return Value(NULL, F.lit(None))
+    index = settled(index)
+    if v.type == VARIANT:
+        if index.type.kind == "str":
+            return member(v, index.literal) if index.constant else Value(VARIANT, stored(F.try_variant_get(v.column, "$", "map<string,variant>")[index.column]))
+        v = variant_list(v)
     if v.type.kind == "list":
         if index.type.kind == "any":
             index = Value(INT, index.column["i"])
@@ -516,6 +573,8 @@ def slice_of(v: Value, start: Value | None, end: Value | None) -> Value:
     """``list[a..b]``: half open, negative bounds count from the end, bounds are clamped, null gives null."""
     if v.type.kind == "null" or any(x is not None and x.type.kind == "null" for x in (start, end)):
         return Value(NULL, F.lit(None))
+    if v.type == VARIANT:
+        v = variant_list(v)
     if v.type.kind != "list":
         raise run_error("InvalidArgumentType", f"range of {v.type}")
     n = F.size(v.column)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quiverlane.session import connect
 from quiverlane.sources.commerce import commerce_graph
-from quiverlane.sources.store import store_graph, whole_graph
+from quiverlane.sources.store import store_graph, store_graphs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -175,19 +175,29 @@ query(
 # -- over the tables of a graph store ------------------------------------------------------------------
 
 _STORE = """
-WITH raw AS (SELECT id, labels, properties FROM nodes UNION ALL SELECT id, labels, properties FROM shared_nodes),
-once AS (SELECT id AS nid, max(labels) AS labels, max(properties) AS p FROM raw GROUP BY id),
+WITH raw AS (SELECT id, graph_name, labels, properties, loaded_at FROM nodes UNION ALL SELECT id, NULL, labels, properties, loaded_at FROM shared_nodes),
+deaths AS (SELECT node_id, max(deleted_at) AS deleted FROM node_tombstones GROUP BY node_id),
+once AS (
+  SELECT nid, g, labels, p FROM (SELECT id AS nid, max(graph_name) AS g, max(labels) AS labels, max(properties) AS p, max(loaded_at) AS loaded FROM raw WHERE id IS NOT NULL GROUP BY id)
+  LEFT JOIN deaths ON node_id = nid WHERE NOT coalesce(deleted >= loaded, false)),
+inner_texts AS (SELECT nid, g, labels, CASE WHEN json_valid(p) AND json_type(p) = 'VARCHAR' THEN json_extract_string(p, '$') ELSE p END AS p FROM once),
 n AS (
-  SELECT nid, CASE WHEN starts_with(labels, ':') THEN list_filter(string_split(labels, ':'), lambda x: x <> '')
-                   WHEN json_valid(labels) AND json_type(labels) = 'ARRAY' THEN list_transform(list_filter(json_extract(labels, '$[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: json_extract_string(x, '$')) ELSE [] END AS labels,
+  SELECT nid, g, CASE WHEN starts_with(labels, ':') THEN list_filter(string_split(labels, ':'), lambda x: x <> '')
+                      WHEN json_valid(labels) AND json_type(labels) = 'ARRAY' THEN list_transform(list_filter(json_extract(labels, '$[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: json_extract_string(x, '$')) ELSE [] END AS labels,
          CASE WHEN json_valid(p) AND json_type(p) = 'OBJECT' THEN p END AS p
-  FROM once),
-v AS (SELECT nid, labels, TRY_CAST(json_extract_string(p, '$.id') AS BIGINT) AS id, TRY_CAST(json_extract_string(p, '$.age') AS BIGINT) AS age, json_extract_string(p, '$.name') AS name FROM n),
-e AS (SELECT id AS eid, max(left_id) AS l, max(right_id) AS r FROM edges GROUP BY id)
+  FROM inner_texts),
+v AS (SELECT nid, g, labels, p, TRY_CAST(json_extract_string(p, '$.id') AS BIGINT) AS id, TRY_CAST(json_extract_string(p, '$.age') AS BIGINT) AS age, json_extract_string(p, '$.name') AS name FROM n),
+edge AS (SELECT id AS eid, max(graph_name) AS eg, max(left_id) AS l, max(right_id) AS r, max(properties) AS ep, max(labels) AS el FROM edges GROUP BY id),
+e AS (
+  SELECT eid, eg, l, r, CASE WHEN json_valid(ep) AND json_type(ep) = 'OBJECT' THEN ep END AS ep, el
+  FROM (SELECT eid, eg, l, r, CASE WHEN json_valid(ep) AND json_type(ep) = 'VARCHAR' THEN json_extract_string(ep, '$') ELSE ep END AS ep, el FROM edge WHERE l IS NOT NULL AND r IS NOT NULL)),
+found AS (SELECT e.*, a.g AS lg, b.g AS rg FROM e JOIN n a ON l = a.nid JOIN n b ON r = b.nid)
 """
 
 
 def stored(name: str, text: str, sql: str, parameters: Mapping[str, Any] | None = None, rounded: Sequence[str] = ()) -> None:
+    """Registers a query over all graphs of the store as one."""
+
     def run(spark: SparkSession, directory: str) -> DataFrame:
         df = connect(spark, graphs={"default": store_graph(spark, directory)}).execute(text, parameters)
         return df.withColumns({c: F.round(c, 2) for c in rounded}) if rounded else df
@@ -196,7 +206,8 @@ def stored(name: str, text: str, sql: str, parameters: Mapping[str, Any] | None
     ORACLE[name] = _STORE + _rounded_sql(sql, rounded)
 
 
-stored("store_single_vertex", "MATCH (n:User {id: $id}) RETURN n.id AS id, n.name AS name, n.age AS age", "SELECT id, name, age FROM v WHERE list_contains(labels, 'User') AND id = 1001", {"$id": 1001})
+# The patterns of a social network's workload.
+stored("store_single_vertex", "MATCH (n:User {id: $id}) RETURN n.id AS id, n.name AS name, n.age AS age, size(keys(n)) AS n_keys, labels(n)[0] AS label", "SELECT id, name, age, (SELECT count(*) FROM json_each(p) je WHERE je.type <> 'NULL') AS n_keys, labels[1] AS label FROM v WHERE list_contains(labels, 'User') AND id = 1001", {"$id": 1001})
 stored("store_friend_of", "MATCH (s:User {id: $id})-->(n:User) RETURN n.id AS id", "SELECT b.id FROM v a JOIN e ON l = a.nid JOIN v b ON r = b.nid WHERE list_contains(a.labels, 'User') AND a.id = 1001 AND list_contains(b.labels, 'User')", {"$id": 1001})
 stored("store_friend_of_filter", "MATCH (s:User {id: $id})-->(n:User) WHERE n.age >= 18 RETURN n.id AS id", "SELECT b.id FROM v a JOIN e ON l = a.nid JOIN v b ON r = b.nid WHERE list_contains(a.labels, 'User') AND a.id = 1001 AND list_contains(b.labels, 'User') AND b.age >= 18", {"$id": 1001})
 stored("store_friend_of_friend_of", "MATCH (s:User {id: $id})-->()-->(n:User) WHERE n.age >= 18 RETURN n.id AS id, count(*) AS ways", "SELECT c.id, count(*) AS ways FROM v a JOIN e x ON x.l = a.nid JOIN v b ON x.r = b.nid JOIN e y ON y.l = b.nid AND y.eid <> x.eid JOIN v c ON y.r = c.nid WHERE list_contains(a.labels, 'User') AND a.id = 1001 AND list_contains(c.labels, 'User') AND c.age >= 18 GROUP BY c.id", {"$id": 1001})
@@ -206,23 +217,27 @@ stored("store_aggregate_count_filter", "MATCH (n:User) WHERE n.age >= 18 RETURN
 stored("store_aggregate_min_max_avg", "MATCH (n:User) RETURN min(n.age) AS least, max(n.age) AS most, avg(n.age) AS mean", "SELECT min(age) AS least, max(age) AS most, avg(age) AS mean FROM v WHERE list_contains(labels, 'User')", rounded=["mean"])
 stored("store_labels", "MATCH (n) UNWIND labels(n) AS label RETURN label, count(*) AS n", "SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM v) GROUP BY label")
 stored("store_degrees", "MATCH (a:User)-[x]-(b) RETURN a.id AS id, count(x) AS degree", "SELECT a.id, count(*) AS degree FROM v a JOIN (SELECT l AS s, r AS t FROM e UNION ALL SELECT r, l FROM e WHERE l <> r) ON s = a.nid JOIN v b ON t = b.nid WHERE list_contains(a.labels, 'User') GROUP BY a.id")
-
-#: The same with all properties; maps in a JSON string are read.
-_WHOLE = """
-WITH raw AS (SELECT id, labels, properties FROM nodes UNION ALL SELECT id, labels, properties FROM shared_nodes),
-once AS (SELECT id AS nid, max(labels) AS labels, max(properties) AS p FROM raw WHERE id IS NOT NULL GROUP BY id),
-edge AS (SELECT max(properties) AS p FROM edges WHERE left_id IS NOT NULL AND right_id IS NOT NULL GROUP BY id),
-texts AS (SELECT 'node' AS kind, labels, p FROM once UNION ALL SELECT 'edge', NULL, p FROM edge),
-inner_texts AS (SELECT kind, labels, CASE WHEN json_valid(p) AND json_type(p) = 'VARCHAR' THEN json_extract_string(p, '$') ELSE p END AS p FROM texts),
-maps AS (SELECT kind, labels, p FROM inner_texts WHERE json_valid(p) AND json_type(p) = 'OBJECT'),
-members AS (SELECT kind, labels, je.key AS key, je.type AS type, je.value AS value FROM maps, json_each(p) je WHERE je.type <> 'NULL')
-"""
-
-
-def stored_whole(name: str, text: str, sql: str) -> None:
-    QUERIES[name] = lambda spark, directory: connect(spark, graphs={"default": whole_graph(spark, directory)}).execute(text)
-    ORACLE[name] = _WHOLE + sql
-
-
-stored_whole("store_keys", "MATCH (n) UNWIND keys(n) AS key RETURN key, count(*) AS n", "SELECT key, count(*) AS n FROM members WHERE kind = 'node' GROUP BY key")
-stored_whole("store_whole_ages", "MATCH (n) WHERE n.age IS NOT NULL RETURN n.age AS age, count(*) AS n", "SELECT CAST(value AS BIGINT) AS age, count(*) AS n FROM members WHERE kind = 'node' AND key = 'age' GROUP BY ALL")
+stored("store_keys", "MATCH (n) UNWIND keys(n) AS key RETURN key, count(*) AS n", "SELECT je.key AS key, count(*) AS n FROM n, json_each(p) je WHERE je.type <> 'NULL' GROUP BY ALL")
+stored("store_whole_ages", "MATCH (n) WHERE n.age IS NOT NULL RETURN n.age AS age, count(*) AS n", "SELECT age, count(*) AS n FROM v WHERE age IS NOT NULL GROUP BY age")
+stored("store_properties", "MATCH (n) RETURN count(n.links) AS links, count(n.KG) AS kg, count(n.thread) AS threads, sum(size(n.links)) AS n_links, count(head(n.thread.replies).by) AS answered", "SELECT count(*) FILTER (json_type(p, '$.links') <> 'NULL') AS links, count(*) FILTER (json_type(p, '$.KG') <> 'NULL') AS kg, count(*) FILTER (json_type(p, '$.thread') <> 'NULL') AS threads, sum(json_array_length(p, '$.links'))::BIGINT AS n_links, count(*) FILTER (json_type(p, '$.thread.replies[0].by') <> 'NULL') AS answered FROM n")
+stored("store_edge_keys", "MATCH ()-[e]->() UNWIND keys(e) AS key RETURN key, count(*) AS n", "SELECT je.key AS key, count(*) AS n FROM found, json_each(ep) je WHERE je.type <> 'NULL' GROUP BY ALL")
+stored("store_edge_property", "MATCH ()-[e]->() WHERE e.sum >= 3 RETURN e.sum AS sum, count(*) AS n", "SELECT CAST(json_extract_string(ep, '$.sum') AS BIGINT) AS sum, count(*) AS n FROM found WHERE CAST(json_extract_string(ep, '$.sum') AS BIGINT) >= 3 GROUP BY ALL")
+stored("store_deleted", "MATCH (n) OPTIONAL MATCH (n)-[e]->(m) RETURN count(*) AS rows, count(e) AS edges", "SELECT count(*) AS rows, count(eid) AS edges FROM n LEFT JOIN found ON l = nid")
+
+
+def stored_named(name: str, text: str, sql: str) -> None:
+    """Registers a query that names one of the store's graphs."""
+    QUERIES[name] = lambda spark, directory: connect(spark, graphs=store_graphs(spark, directory)).execute(text)
+    ORACLE[name] = _STORE + sql
+
+
+_SHARED = "nid IN (SELECT id FROM shared_nodes)"
+stored_named("store_use_graph", "USE social MATCH (n) RETURN n:User AS user, count(*) AS n, count(n.age) AS ages", f"SELECT list_contains(labels, 'User') AS user, count(*) AS n, count(age) AS ages FROM v WHERE g = 'social' OR {_SHARED} GROUP BY ALL")
+stored_named("store_default_graph", "MATCH (n) RETURN count(*) AS n", f"SELECT count(*) AS n FROM n WHERE g = 'default' OR g IS NULL OR {_SHARED}")
+stored_named("store_use_edges", "USE catalogue MATCH (a)-[e]->(b) RETURN has_label(e, 'FOLLOWS') AS follows, count(*) AS n", f"""
+, ends AS (SELECT nid FROM n WHERE g = 'catalogue' OR {_SHARED}),
+typed AS (
+  SELECT CASE WHEN starts_with(el, ':') THEN list_filter(string_split(el, ':'), lambda x: x <> '')
+              WHEN json_valid(el) AND json_type(el) = 'ARRAY' THEN list_transform(list_filter(json_extract(el, '$[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: json_extract_string(x, '$')) ELSE [] END AS types
+  FROM e WHERE eg = 'catalogue' AND l IN (SELECT nid FROM ends) AND r IN (SELECT nid FROM ends))
+SELECT list_contains(types, 'FOLLOWS') AS follows, count(*) AS n FROM typed GROUP BY ALL""")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 from typing import Any
 
@@ -46,6 +46,8 @@ class Result:
 def to_python(x: Any, t: Type) -> Any:
     if x is None:
         return None
+    if t == V.VARIANT:
+        return x.toPython()
     if t.kind == "any":
         if x["k"] == V.RANKS["int"]:
             return x["d"] if x["i"] is None else x["i"]
@@ -66,13 +68,23 @@ def to_python(x: Any, t: Type) -> Any:
     return x
 
 
+class _Graphs(dict):
+    """Graphs by name; one that is given as a function is opened when it is first asked for."""
+
+    def __getitem__(self, name: str) -> PropertyGraph:
+        held = super().__getitem__(name)
+        if callable(held):
+            self[name] = held = held()
+        return held
+
+
 class Connection:
     """Named graphs that queries read and write. Each query between semicolons takes effect as a
     whole or not at all, and begins in the graph ``default``."""
 
-    def __init__(self, spark: SparkSession, graphs: Mapping[str, PropertyGraph] | None = None, store: ParquetStore | None = None) -> None:
+    def __init__(self, spark: SparkSession, graphs: Mapping[str, PropertyGraph | Callable[[], PropertyGraph]] | None = None, store: ParquetStore | None = None) -> None:
         self.spark, self.store = spark, store
-        self.graphs: dict[str, PropertyGraph] = {**(store.load(spark) if store else {}), **(graphs or {})}
+        self.graphs = _Graphs({**(store.load(spark) if store else {}), **(graphs or {})})
         if DEFAULT not in self.graphs:
             self.graphs[DEFAULT] = empty_graph(spark)
 
@@ -95,7 +107,7 @@ class Connection:
 
     def _run(self, statements: Sequence[Node], parameters: Mapping[str, Any]) -> Result | None:
         name = DEFAULT
-        graphs = dict(self.graphs)
+        graphs = _Graphs(self.graphs)
         query = Writer(self.spark, graphs[name], parameters, uses(statements))
         touched: set[str] = set()
         result: Result | None = None
@@ -162,7 +174,9 @@ class Connection:
     def delete_graph(self, name: str) -> None:
         if name not in self.graphs:
             raise Store["UnknownGraph"](f"{name} is not known.")
-        self.graphs = {k: g for k, g in self.graphs.items() if k != name} | ({DEFAULT: empty_graph(self.spark)} if name == DEFAULT else {})
+        self.graphs.pop(name)
+        if name == DEFAULT:
+            self.graphs[DEFAULT] = empty_graph(self.spark)
         if self.store:
             self.store.commit(self.spark, {}, list(self.graphs))
 

@@ -1,20 +1,21 @@
-"""The tables of a graph store as a property graph: labels and properties are JSON text there.
+"""The tables of a graph store as property graphs: labels and properties are JSON text there.
 
 Nodes and edges may stand in several rows that differ in the time of loading only; each is one.
 Labels are the strings of a JSON array, or the pieces of ``:A:B``; any other text holds none.
-Properties are read from the text by name and type as far as a query needs them. ``whole_graph``
-takes the names and types of all rows: values whose type differs from row to row are tagged if all
-are scalars and variants otherwise, and a map that is wrapped in a JSON string is read like any
-other. ``store_graph`` has the properties below only; a value that doesn't suit the type and a
-wrapped map give null there. In both, a text that isn't a map gives null. Edges without both ends, and edges
-that lead to nodes that don't exist, match nothing.
+Properties are all members of the JSON map, by the names and types that occur in any row; a map that
+is wrapped in a JSON string is read like any other, a text that isn't a map gives none. A property
+whose type differs from row to row is tagged if all its values are scalars and a variant otherwise.
+
+A node is deleted if its latest deletion is at or after its latest load; a later load brings it
+back. Deleted nodes match nothing. Edges without both ends, and edges that lead to nodes that don't
+exist, were deleted or belong to another graph, match nothing.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
-from functools import lru_cache
+from functools import lru_cache, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,8 @@ from quiverlane.graph import ID, LABELS, SOURCE, TARGET, EdgeFrame, NodeFrame, P
 from quiverlane.lang import values as V
 from quiverlane.sources.tables import read_table
 
-#: Properties that the store's nodes and edges commonly have.
-NODE_PROPERTIES = {"id": V.INT, "age": V.INT, "name": V.STR, "index": V.INT}
-EDGE_PROPERTIES = {"since": V.INT, "weight": V.FLOAT, "score": V.INT, "existence": V.BOOL}
+#: The graph of the nodes and edges that name none.
+DEFAULT = "default"
 
 
 def label_array(text: Column) -> Column:
@@ -51,15 +51,17 @@ def _found(rows: DataFrame) -> dict[str, V.Type]:
     parts = re.split(r"(`(?:[^`]|``)*`)", schema)
     parts[::2] = [re.sub(r"\bOBJECT<", "struct<", p) for p in parts[::2]]
     struct = S.DataType.fromDDL("".join(parts))
+    if not isinstance(struct, S.StructType):
+        return {}
     mixed = [f.name for f in struct.fields if isinstance(f.dataType, S.VariantType)]
     kinds = {}
     if mixed:
-        kind = lambda n: F.regexp_extract(F.schema_of_variant(_member(F.col("v"), n, "variant")), r"^\w+", 0)
+        kind = lambda n: F.regexp_extract(F.schema_of_variant(V.in_variant(F.col("v"), n, V.VARIANT)), r"^\w+", 0)
         kinds = documents.agg(*[F.collect_set(kind(n)).alias(str(i)) for i, n in enumerate(mixed)]).first()
     types = {}
     for f in struct.fields:
         if f.name in mixed:
-            types[f.name] = V.Type("native", native="variant") if {"OBJECT", "ARRAY"} & set(kinds[mixed.index(f.name)]) else V.ANY
+            types[f.name] = V.VARIANT if {"OBJECT", "ARRAY"} & set(kinds[mixed.index(f.name)]) else V.ANY
         elif not isinstance(f.dataType, S.NullType):
             types[f.name] = V.type_of(_without_void(f.dataType))
     return types
@@ -74,53 +76,69 @@ def _without_void(t: S.DataType) -> S.DataType:
     return S.StringType() if isinstance(t, S.NullType) else t
 
 
-def _member(document: Column, name: str, kind: str) -> Column:
-    if "'" in name or "\\" in name:
-        return F.try_variant_get(F.try_variant_get(document, "$", "map<string,variant>")[name], "$", kind)
-    return F.try_variant_get(document, f"$['{name}']", kind)
-
-
-def _as_found(types: Mapping[str, V.Type]) -> list[Column]:
+def _read(types: Mapping[str, V.Type]) -> list[Column]:
+    """The property columns; those that a query doesn't use are pruned and so never extracted."""
     document = _unwrapped("__text")
 
-    def read(name: str, t: V.Type) -> Column:
-        if t != V.ANY:
-            return _member(document, name, V.spark_type(t))
-        kind = F.schema_of_variant(_member(document, name, "variant"))
-        as_tagged = lambda x: V.tagged(_member(document, name, V.spark_type(x)), x)
-        number = F.when(kind == "BIGINT", as_tagged(V.INT)).when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), as_tagged(V.FLOAT))
-        return number.when(kind == "BOOLEAN", as_tagged(V.BOOL)).when(kind == "STRING", as_tagged(V.STR))
+    def member(name: str, t: V.Type) -> Column:
+        if t == V.ANY:
+            return V.tagged(V.in_variant(document, name, V.VARIANT), V.VARIANT)
+        return V.in_variant(document, name, t)
 
-    return [read(n, t).alias(n) for n, t in types.items()]
+    return [member(n, t).alias(n) for n, t in types.items()]
 
 
-def _typed(types: Mapping[str, V.Type]) -> list[Column]:
-    document = F.try_parse_json("__text")
-    return [F.try_variant_get(document, f"$['{n}']", V.spark_type(t)).alias(n) for n, t in types.items()]
-
-
-def _once(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+def _once(df: DataFrame, columns: Mapping[str, str], *more: Column) -> DataFrame:
     """One row per id. Copies agree but for the time, so any row will do, and unused columns are pruned."""
-    return df.where("id is not null").groupBy("id").agg(*[F.first(c, ignorenulls=True).alias(a) for a, c in columns.items()])
+    return df.where("id is not null").groupBy("id").agg(*[F.first(c, ignorenulls=True).alias(a) for a, c in columns.items()], *more)
 
 
 @lru_cache(maxsize=4)
-def store_graph(spark: SparkSession, directory: str) -> PropertyGraph:
-    """All graphs of the store as one, with the common properties; nothing is read but schemas."""
-    return _graph(spark, directory, NODE_PROPERTIES, EDGE_PROPERTIES, _typed)
+def property_types(spark: SparkSession, directory: str) -> tuple[dict[str, V.Type], dict[str, V.Type]]:
+    """The names and types of the properties of nodes and of edges, as all rows have them.
+
+    A pass over the column of properties, like reading JSON files without a schema; its result is one
+    type. A session does it once per directory.
+    """
+    nodes = read_table(spark, directory, "nodes", "properties").unionByName(read_table(spark, directory, "shared_nodes", "properties"))
+    return _found(nodes), _found(read_table(spark, directory, "edges", "properties"))
 
 
 @lru_cache(maxsize=4)
-def whole_graph(spark: SparkSession, directory: str) -> PropertyGraph:
-    """All graphs of the store as one, with all properties; a pass over the tables finds their names."""
-    nodes = read_table(spark, directory, "nodes", "properties").unionByName(read_table(spark, directory, "shared_nodes", "properties"))
-    return _graph(spark, directory, _found(nodes), _found(read_table(spark, directory, "edges", "properties")), _as_found)
+def store_graph(spark: SparkSession, directory: str) -> PropertyGraph:
+    """All graphs of the store as one."""
+    return _graph(spark, directory, None)
 
 
-def _graph(spark: SparkSession, directory: str, of_nodes: Mapping[str, V.Type], of_edges: Mapping[str, V.Type], typed: Callable[[Mapping[str, V.Type]], list[Column]]) -> PropertyGraph:
-    rows = read_table(spark, directory, "nodes", "id", "labels", "properties").unionByName(read_table(spark, directory, "shared_nodes", "id", "labels", "properties"))
-    nodes = _once(rows, {"__labels_text": "labels", "__text": "properties"}).select(F.col("id").alias(ID), label_array(F.col("__labels_text")).alias(LABELS), *typed(of_nodes))
-    edges = _once(read_table(spark, directory, "edges", "id", "labels", "properties", "left_id", "right_id"), {SOURCE: "left_id", TARGET: "right_id", "__labels_text": "labels", "__text": "properties"})
-    edges = edges.where(F.col(SOURCE).isNotNull() & F.col(TARGET).isNotNull()).select(F.col("id").cast("string").alias(ID), SOURCE, TARGET, label_array(F.col("__labels_text")).alias(LABELS), *typed(of_edges))
+@lru_cache(maxsize=4)
+def store_graphs(spark: SparkSession, directory: str) -> dict[str, Callable[[], PropertyGraph]]:
+    """The graphs of the store by the names of its catalog, for ``connect(spark, graphs=...)``, which
+    opens those that queries use. What is read here is the catalog's list of names.
+
+    Shared nodes are in every graph. Nodes and edges without the name of a graph are in ``default``.
+    """
+    names = {r.graph_name for r in read_table(spark, directory, "graph_catalog", "graph_name").where("graph_name is not null").collect()}
+    return {n: partial(_graph, spark, directory, n) for n in sorted(names | {DEFAULT})}
+
+
+@lru_cache(maxsize=64)
+def _graph(spark: SparkSession, directory: str, name: str | None) -> PropertyGraph:
+    of_nodes, of_edges = property_types(spark, directory)
+
+    def table(source: str, *columns: str) -> DataFrame:
+        if name is None or source == "shared_nodes":
+            return read_table(spark, directory, source, *columns)
+        # all copies of a row are in one graph, so the scan may leave out the others
+        own = (F.col("graph_name") == name) | (F.lit(name == DEFAULT) & F.col("graph_name").isNull())
+        return read_table(spark, directory, source, "graph_name", *columns).where(own).drop("graph_name")
+
+    columns = ["id", "labels", "properties", "loaded_at"]
+    rows = table("nodes", *columns).unionByName(table("shared_nodes", *columns))
+    once = _once(rows, {"__labels_text": "labels", "__text": "properties"}, F.max("loaded_at").alias("__loaded"))
+    deaths = read_table(spark, directory, "node_tombstones", "node_id", "deleted_at").where("node_id is not null").groupBy("node_id").agg(F.max("deleted_at").alias("__deleted"))
+    alive = once.join(deaths, (F.col("id") == F.col("node_id")) & (F.col("__deleted") >= F.col("__loaded")), "left_anti")
+    nodes = alive.select(F.col("id").alias(ID), label_array(F.col("__labels_text")).alias(LABELS), *_read(of_nodes))
+    edges = _once(table("edges", "id", "labels", "properties", "left_id", "right_id"), {SOURCE: "left_id", TARGET: "right_id", "__labels_text": "labels", "__text": "properties"})
+    edges = edges.where(F.col(SOURCE).isNotNull() & F.col(TARGET).isNotNull()).select(F.col("id").cast("string").alias(ID), SOURCE, TARGET, label_array(F.col("__labels_text")).alias(LABELS), *_read(of_edges))
     one = frozenset([0])
     return PropertyGraph((NodeFrame(nodes, None, dict(of_nodes), place=0),), (EdgeFrame(edges, None, dict(of_edges), sources=one, targets=one, complete=False, source_place=0, target_place=0),))
