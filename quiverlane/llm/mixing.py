@@ -2,9 +2,9 @@
 
 1. Texts are counted by (source, exact number of tokens); nothing else of them is needed to plan.
 2. ``fit_budget`` fits each source's budget, its share of all tokens: whole repetitions first, then
-   a subset of the documents whose sizes add up to the rest. Most of the subset is drawn at random
-   by length with a seed; the last stretch is a bounded knapsack, solved by dynamic programming
-   over the sums that the remaining lengths can reach.
+   a subset of the documents whose sizes add up to the rest. The subset is drawn at random by
+   length with a seed; what the draw misses is a bounded knapsack over the documents left and those
+   drawn, solved by dynamic programming over the sums around the budget.
 3. ``mix`` picks as many documents of each length as the plan says, in the order of a seeded hash.
    A length that a third of all documents share is split into buckets of the hash; only the one
    bucket in which the number is reached is ranked.
@@ -27,70 +27,104 @@ from pyspark.sql.window import Window
 
 from quiverlane.runtime import cut, with_workers
 
-#: Documents that are left to the knapsack, and the most tokens that it may fit.
-LAST_STRETCH, MOST_FITTED = 48, 4_000_000
 #: Buckets of the seeded hash that the documents of one length are split into.
 BUCKETS = 256
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.ndarray:
     """How many of the ``counts`` items of each length to take so that the sizes add up to
-    ``budget``, or else to the largest sum found below it. All lengths are positive."""
-    take = np.zeros(len(lengths), np.int64)
+    ``budget``, or else to the largest sum below it that any choice gives. All lengths are positive.
+
+    A choice drawn at random comes within one item of the budget; the knapsack then finds what to add
+    to it and take back from it. Where some choice meets a sum, one does that is reached from the
+    draw by fewer than 2 m single changes, m being the largest length: ordered so that the sum on
+    the way stays within m of its goal, changes between two equal sums could be left out. So what is
+    taken back is at most m * m, and sums further than that from the budget aren't looked at. Of
+    texts of many lengths the first few thousand sums do; it is where no choice meets the budget
+    that all m * m of them are needed to know it.
+    """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
-    total = int((lengths * counts).sum())
-    if budget >= total:
+    if budget >= int((lengths * counts).sum()):
         return counts.copy()
-    if budget <= 0:
+    some = (counts > 0) & (lengths <= budget)
+    take = np.zeros(len(lengths), np.int64)
+    if budget <= 0 or not some.any():
         return take
-    random = np.random.default_rng(seed)
-    mean = total / counts.sum()
-    stretch = int(min(budget, LAST_STRETCH * mean, MOST_FITTED))
-    # the bulk: each length in proportion, rounded at random
-    expected = counts * ((budget - stretch) / total)
-    take = np.minimum(np.floor(expected).astype(np.int64) + (random.random(len(counts)) < expected % 1), counts)
+    # sums are multiples of the lengths' common divisor
+    by = int(np.gcd.reduce(lengths[some]))
+    take[some] = _fitted(lengths[some] // by, counts[some], budget // by, np.random.default_rng(seed))
+    return take
+
+
+def _fitted(lengths: np.ndarray, counts: np.ndarray, budget: int, random: np.random.Generator) -> np.ndarray:
+    total, most = int((lengths * counts).sum()), int(lengths.max())
+    if budget >= total:
+        return counts.copy()
     order = random.permutation(len(lengths))
-    aim = budget - stretch
-    while (over := int((take * lengths).sum()) - aim) > 0:
+    take = _drawn(lengths, counts, budget, random, order)
+    start = int((take * lengths).sum()) - budget
+    reach, furthest = 4 * most, most * (most + 1)
+    while True:
+        low, high = max(-budget, -min(reach, furthest)), min(total - budget, min(reach, furthest))
+        change, at = _knapsack(lengths, take, counts, start, low, high, order)
+        if at == 0 or reach >= furthest or (low == -budget and high == total - budget):
+            return take + change
+        reach *= 4
+
+
+def _drawn(lengths: np.ndarray, counts: np.ndarray, budget: int, random: np.random.Generator, order: np.ndarray) -> np.ndarray:
+    """Of each length the same part, rounded at random, then made to miss the budget by less than one item."""
+    expected = counts * (budget / int((lengths * counts).sum()))
+    take = np.minimum(np.floor(expected).astype(np.int64) + (random.random(len(counts)) < expected % 1), counts)
+    while (over := int((take * lengths).sum()) - budget) > 0:
         # give back one of each length in random order, as few as needed
         have = order[take[order] > 0]
-        sums = np.cumsum(lengths[have])
-        take[have[: int(np.searchsorted(sums, over)) + 1]] -= 1
-    while (room := aim - int((take * lengths).sum())) > 0:
-        left = order[(take[order] < counts[order])]
-        sums = np.cumsum(lengths[left])
-        fits = int(np.searchsorted(sums, room, "right"))
-        if not fits:
-            break
+        take[have[: int(np.searchsorted(np.cumsum(lengths[have]), over)) + 1]] -= 1
+    while True:
+        left = order[take[order] < counts[order]]
+        fits = int(np.searchsorted(np.cumsum(lengths[left]), budget - int((take * lengths).sum()), "right"))
         take[left[:fits]] += 1
-    return take + _knapsack(lengths, counts - take, budget - int((take * lengths).sum()), order)
-
-
-def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, order: np.ndarray) -> np.ndarray:
-    """Bounded knapsack: the items whose sizes reach the largest sum up to ``budget``."""
-    take = np.zeros(len(lengths), np.int64)
-    reached = np.zeros(budget + 1, bool)
-    reached[0] = True
-    by = np.full(budget + 1, -1, np.int64)  # the bundle that first reached a sum
+        if fits < len(left):
+            return take
+
+
+def _knapsack(lengths: np.ndarray, take: np.ndarray, counts: np.ndarray, start: int, low: int, high: int, order: np.ndarray) -> tuple[np.ndarray, int]:
+    """Bounded knapsack: what to add to a choice (``take`` of ``counts``) and take back from it, so that
+    its excess ``start`` becomes 0, or else the largest one below that is reached between ``low`` and
+    ``high``; and that excess."""
+    change = np.zeros(len(lengths), np.int64)
+    reached = np.zeros(high - low + 1, bool)
+    reached[start - low] = True
+    by = np.full(len(reached), -1, np.int32)  # the bundle that first reached a sum
     bundles: list[tuple[int, int]] = []
-    for k in order:
-        left, size = min(int(counts[k]), budget // int(lengths[k])), 1
-        while left > 0 and not reached[budget]:
-            n = min(size, left)
-            left, size = left - n, size * 2
-            step = n * int(lengths[k])
-            new = np.flatnonzero(reached[: budget + 1 - step] & ~reached[step:]) + step
-            reached[new] = True
-            by[new] = len(bundles)
-            bundles.append((int(k), n))
-        if reached[budget]:
-            break
-    at = int(np.flatnonzero(reached)[-1])
-    while at > 0:
+    # bundles of 1, 2, 4, ... items give every number of them; small changes of many lengths come first
+    most = (high - low) // lengths
+    left = {1: np.minimum(counts - take, most), -1: np.minimum(take, most)}
+    size = 1
+    while not reached[-low] and any((x > 0).any() for x in left.values()):
+        for k in order:
+            for sign in (1, -1):
+                n = min(size, int(left[sign][k]))
+                if n == 0:
+                    continue
+                left[sign][k] -= n
+                step = n * int(lengths[k])
+                if sign > 0:
+                    new = np.flatnonzero(reached[:-step] & ~reached[step:]) + step
+                else:
+                    new = np.flatnonzero(reached[step:] & ~reached[:-step])
+                reached[new] = True
+                by[new] = len(bundles)
+                bundles.append((int(k), sign * n))
+            if reached[-low]:
+                break
+        size *= 2
+    end = at = int(np.flatnonzero(reached[: 1 - low])[-1])
+    while at != start - low:
         k, n = bundles[by[at]]
-        take[k] += n
+        change[k] += n
         at -= n * int(lengths[k])
-    return take
+    return change, end + low
 
 
 def _source(name: str) -> Column:

@@ -25,17 +25,38 @@ def test_budgets_are_met_exactly_where_that_is_possible(seed):
         assert (take == counts).all()
 
 
-def test_small_budgets_by_brute_force():
-    rnd = random.Random(1)
-    for _ in range(100):
-        lengths = np.array(sorted(rnd.sample(range(2, 30), 4)))
-        counts = np.array([rnd.randint(1, 2) for _ in lengths])
-        budget = rnd.randint(0, 60)
-        sums = {0}
-        for n, c in zip(lengths, counts):
-            sums = {s + int(n) * k for s in sums for k in range(c + 1)}
-        take = mixing._knapsack(lengths, counts, budget, np.arange(4))
-        assert int((take * lengths).sum()) == max(s for s in sums if s <= budget) and (take <= counts).all()
+def sums_of(lengths, counts):
+    sums = {0}
+    for n, c in zip(lengths, counts):
+        sums = {s + int(n) * k for s in sums for k in range(c + 1)}
+    return sums
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_few_lengths_by_brute_force(seed):
+    rnd = random.Random(seed)
+    for i in range(150):
+        lengths = np.array(sorted(rnd.sample(range(1, rnd.choice([12, 30, 90])), rnd.randint(1, 5))))
+        counts = np.array([rnd.choice([0, 1, 2, 3, rnd.randint(1, 40)]) for _ in lengths])
+        sums = sums_of(lengths, counts)
+        for budget in {0, 1, rnd.randint(0, max(sums) + 2), rnd.choice(sorted(sums))}:
+            take = mixing.fit_budget(lengths, counts, budget, i)
+            assert (take >= 0).all() and (take <= counts).all()
+            assert int((take * lengths).sum()) == max(s for s in sums if s <= budget)
+
+
+@pytest.mark.parametrize("lengths, counts, budget, met", [([1, 2], [1, 1000], 1000, 1000), ([10, 15], [2000, 1], 15000, 15000), ([7, 500], [1, 2000], 500000, 500000), ([6, 10, 15], [4000, 4000, 4000], 60001, 60001), ([1000, 1001], [9000, 2], 500500, 500002), ([3, 5], [10**9, 10**9], 4 * 10**9 + 1, 4 * 10**9 + 1)])
+def test_budgets_that_few_choices_meet(lengths, counts, budget, met):
+    for seed in range(40):
+        take = mixing.fit_budget(np.array(lengths), np.array(counts), budget, seed)
+        assert int((take * lengths).sum()) == met and (take >= 0).all() and (take <= counts).all()
+
+
+def test_the_draw_is_spread_over_lengths():
+    lengths, counts = np.arange(1, 201), np.full(200, 100)
+    budget = int((lengths * counts).sum()) // 3
+    take = mixing.fit_budget(lengths, counts, budget, 7)
+    assert int((take * lengths).sum()) == budget and take.min() > 20 and take.max() < 50
 
 
 def plan(spark, sizes, targets, seed=3):
