@@ -2,6 +2,7 @@ import json
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -54,6 +55,27 @@ def test_all_lengths(spark, monkeypatch):
     assert got == brute(records, 300)
 
 
+def test_intervals_hold_every_ngram_once():
+    rnd = random.Random(4)
+    for _ in range(40):
+        records = [[rnd.choice([0, 1, 1, 2]) for _ in range(rnd.randint(0, 15))] for _ in range(rnd.randint(1, 9))]
+        codes = np.array([c for r in records for c in [*(x + 1 for x in r), 0]])
+        record = np.repeat(np.arange(len(records)), [len(r) + 1 for r in records])
+        got = {}
+        for at, least, greatest, occurrences, held in zip(*terms.intervals(codes, record)):
+            for n in range(least, greatest + 1):
+                gram = tuple(codes[at : at + n] - 1)
+                assert gram not in got
+                got[gram] = (occurrences, held)
+        assert got == brute(records, 20)
+
+
+def test_lengths_have_no_bound(spark):
+    df = spark.createDataFrame([(["a"] * 700,), (["a"] * 650,)], "labels array<string>")
+    counts = {len(r.ngram): (r.n_occurrences, r.n_records) for r in terms.count_ngrams(df, "labels", 660).collect()}
+    assert counts == {n: (701 - n + max(0, 651 - n), 2 if n <= 650 else 1) for n in range(1, 661)}
+
+
 def test_bands(spark):
     df = spark.createDataFrame([(["hot", f"x{i % 30}"],) for i in range(100)], "labels array<string>")
     counts = terms.banded(terms.count_values(df, "labels"), F.lit(100), 4, 0.4).collect()
