@@ -1,9 +1,13 @@
 """Byte-level BPE over batches of texts.
 
-Pieces (split.py) that were met before are looked up in a hash table of their bytes. New ones are
+Pieces (split.py) that were met before are looked up in hash tables of their bytes. New ones are
 made distinct, sorted into buckets by length and encoded as padded matrices: in each round every
-row merges its leftmost pair of the least rank, ranks come from a hash table of pairs, rows without
-a mergeable pair leave the matrix. All of it is exact: table entries are compared byte by byte.
+row merges its leftmost pair of the least rank, and with it the other places of the same pair that
+don't overlap one before; ranks come from a hash table of pairs, rows are compacted, and rows
+without a mergeable pair leave the matrix. The places of one pair may merge together because an id
+takes part only in merges that come after all those that make it; for a vocabulary of which that
+isn't so, only the leftmost place does. Pieces of every length go the same way. All of it is exact:
+table entries are compared byte by byte.
 
 A vocabulary is a public file in the JSON form of byte-level BPE; its path is a parameter.
 """
@@ -22,9 +26,12 @@ from quiverlane.llm.split import piece_starts
 
 NO_RANK = np.int32(2**31 - 1)
 
-#: Bytes of the pieces that the hash table holds; longer ones go to a dictionary.
+#: Bytes of the pieces that are held as three words; longer ones are held as bytes.
 SHORT = 24
-BUCKETS = (4, 8, 16, 24, 64, 256)
+#: Widths of the first matrices; each further one is four times as wide as the one before.
+BUCKETS = (4, 8, 16, 24, 64)
+#: Cells of a matrix, unless one piece alone has more.
+CELLS = 1 << 21
 #: Slots of the piece table; it is emptied when it is MOST_FULL, as a bound on memory.
 SLOTS_LOG2, MOST_FULL = 20, 0.6
 #: Long pieces that are remembered, and their most bytes each.
@@ -89,13 +96,45 @@ class PairTable:
         return res.reshape(keys.shape)
 
 
+def _places(ranks: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the places of the best rank that don't overlap one before them."""
+    hit = ranks == best[:, None]
+    run = np.flatnonzero((hit[:, 1:] & hit[:, :-1]).any(1))
+    if len(run):
+        # a run of one id: every second place from the left
+        columns = np.arange(hit.shape[1])
+        begin = np.maximum.accumulate(np.where(hit[run], -1, columns), axis=1)
+        hit[run] &= (columns - begin) % 2 == 1
+    return np.nonzero(hit)
+
+
+def _same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether pieces of two buffers are equal; none is empty."""
+    if not len(lengths):
+        return np.zeros(0, bool)
+    index, offsets = ragged_index(a_starts, lengths)
+    return np.logical_and.reduceat(a[index] == b[ragged_index(b_starts, lengths)[0]], offsets[:-1])
+
+
+def _hash_bytes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each piece; none is empty."""
+    index, offsets = ragged_index(starts, lengths)
+    by_place = (np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths) + 1).astype(np.uint64) * _M2
+    by_place = (by_place ^ (by_place >> np.uint64(29))) * _M1
+    return np.add.reduceat((data[index].astype(np.uint64) + np.uint64(1)) * by_place, offsets[:-1])
+
+
 class ByteBPE:
     def __init__(self, path: str) -> None:
         model = json.load(open(path, encoding="utf-8"))["model"]
         vocab = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.byte_ids = np.array([vocab[s] for s in byte_symbols()], np.int32)
-        self.pairs = PairTable(*(np.array(x, np.int64) for x in ([vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs], [vocab[a + b] for a, b in pairs])))
+        left, right, merged = (np.array(x, np.int64) for x in ([vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs], [vocab[a + b] for a, b in pairs]))
+        self.pairs = PairTable(left, right, merged)
+        made_last = np.full(max(vocab.values()) + 1, -1)
+        np.maximum.at(made_last, merged, np.arange(len(merged)))
+        self.together = bool((np.maximum(made_last[left], made_last[right]) < np.arange(len(merged))).all())
         self._empty()
 
     def _empty(self) -> None:
@@ -105,74 +144,72 @@ class ByteBPE:
         self.entry_bytes = np.zeros(1024, np.int32)
         self.entry_at, self.entry_ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.n_entries, self.flat, self.n_flat = 0, np.zeros(4096, np.int32), 0
-        self.long: dict[bytes, int] = {}
+        # longer pieces in the order of their hashes
+        self.long_hashes, self.long_at, self.long_sizes, self.long_entries = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.long_data = np.zeros(0, np.uint8)
 
     # -- distinct pieces to ids ------------------------------------------------------------
 
     def _merge_rows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ids padded with -1, fully merged; and the number of ids left in each."""
         out, counts = np.full_like(ids, -1), np.zeros(len(ids), np.int32)
-        rows, m = np.arange(len(ids)), ids
         if ids.shape[1] == 1:
             return ids, (ids[:, 0] >= 0).astype(np.int32)
+        rows, m = np.arange(len(ids)), ids
         ranks = self.pairs.rank(m[:, :-1], m[:, 1:])
-        columns = np.arange(ids.shape[1])
         while len(rows):
             at = ranks.argmin(1)
             best = ranks[np.arange(len(rows)), at]
             over = best == NO_RANK
             if over.any():
                 done = rows[over]
-                out[done], counts[done] = m[over], (m[over] >= 0).sum(1)
+                out[done, : m.shape[1]], counts[done] = m[over], (m[over] >= 0).sum(1)
                 keep = ~over
                 rows, m, ranks, at, best = rows[keep], m[keep], ranks[keep], at[keep], best[keep]
                 if not len(rows):
                     break
-            i = np.arange(len(rows))
-            shift = columns[None, :] + (columns[None, :] > at[:, None])
-            m = np.take_along_axis(np.pad(m, ((0, 0), (0, 1)), constant_values=-1), shift, 1)
-            m[i, at] = self.pairs.merged[best]
-            ranks = np.take_along_axis(np.pad(ranks, ((0, 0), (0, 1)), constant_values=NO_RANK), shift[:, :-1], 1)
-            left = i[at > 0]
-            ranks[left, at[left] - 1] = self.pairs.rank(m[left, at[left] - 1], m[left, at[left]])
-            right = i[at < ranks.shape[1]]
-            ranks[right, at[right]] = self.pairs.rank(m[right, at[right]], m[right, at[right] + 1])
+            row, places = np.arange(len(rows)), at
+            if self.together:
+                row, places = _places(ranks, best)
+            # what each column of the compacted rows was before; the pad stands for nothing
+            columns = np.arange(m.shape[1])
+            source = columns[None, :] + (columns[None, :] > at[:, None])
+            first = np.searchsorted(row, np.arange(len(rows)))
+            several = np.flatnonzero(np.diff(np.append(first, len(row))) > 1)
+            nth = np.arange(len(row)) - first[row]
+            if len(several):
+                gone = np.zeros((len(rows), m.shape[1]), bool)
+                gone[row, places + 1] = True
+                gone = gone[several]
+                source[several] = np.where(np.sort(gone, 1), m.shape[1], np.argsort(gone, 1, kind="stable"))
+            m = np.take_along_axis(np.pad(m, ((0, 0), (0, 1)), constant_values=-1), source, 1)
+            ranks = np.take_along_axis(np.pad(ranks, ((0, 0), (0, 2)), constant_values=NO_RANK), source[:, :-1], 1)
+            places = places - nth
+            m[row, places] = self.pairs.merged[best[row]]
+            left = places > 0
+            ranks[row[left], places[left] - 1] = self.pairs.rank(m[row[left], places[left] - 1], m[row[left], places[left]])
+            right = places < ranks.shape[1]
+            ranks[row[right], places[right]] = self.pairs.rank(m[row[right], places[right]], m[row[right], places[right] + 1])
+            if len(several) and (width := int((m >= 0).sum(1).max())) <= m.shape[1] // 2:
+                m, ranks = m[:, : max(2, width)], ranks[:, : max(1, width - 1)]
         return out, counts
 
-    def _merge_long(self, data: bytes) -> np.ndarray:
-        """One long piece. All places of the pair of least rank merge in one round, from the left:
-        an id that a merge makes only takes part in merges of higher ranks, so the order is the same."""
-        ids = self.byte_ids[np.frombuffer(data, np.uint8)]
-        ranks = self.pairs.rank(ids[:-1], ids[1:])
-        while len(ranks) and (best := ranks.min()) != NO_RANK:
-            at = np.flatnonzero(ranks == best)
-            # of places that overlap (a run of one id), every second from the left
-            head = np.flatnonzero(np.append(True, np.diff(at) != 1))
-            nth = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
-            at = at[nth % 2 == 0]
-            ids[at] = self.pairs.merged[best]
-            ids = np.delete(ids, at + 1)
-            ranks = self.pairs.rank(ids[:-1], ids[1:])
-        return ids
-
     def encode_pieces(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces of a byte buffer, one after the other, and the number of each."""
         counts = np.zeros(len(starts), np.int32)
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        low = 0
-        for width in BUCKETS:
-            rows = np.flatnonzero((lengths > low) & (lengths <= width))
+        low, widths = 0, list(BUCKETS)
+        while widths[-1] < lengths.max(initial=0):
+            widths.append(4 * widths[-1])
+        for width in widths:
+            held = np.flatnonzero((lengths > low) & (lengths <= width))
             low = width
-            if len(rows):
+            for rows in np.split(held, range(max(1, CELLS // width), len(held), max(1, CELLS // width))) if len(held) else ():
                 index, offsets = ragged_index(starts[rows], lengths[rows])
-                m = np.full((len(rows), width), -1, np.int32)
+                m = np.full((len(rows), int(lengths[rows].max())), -1, np.int32)
                 m[np.repeat(np.arange(len(rows)), lengths[rows]), np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths[rows])] = self.byte_ids[data[index]]
                 ids, counts[rows] = self._merge_rows(m)
                 parts.append((rows, ids[ids >= 0], counts[rows]))
-        for r in np.flatnonzero(lengths > low):
-            ids = self._merge_long(data[starts[r] : starts[r] + lengths[r]].tobytes())
-            counts[r] = len(ids)
-            parts.append((np.array([r]), ids, counts[r : r + 1]))
         flat, at = np.empty(counts.sum(dtype=np.int64), np.int32), np.cumsum(counts, dtype=np.int64) - counts
         for rows, ids, n in parts:
             flat[ragged_index(at[rows], n)[0]] = ids
@@ -234,7 +271,7 @@ class ByteBPE:
 
     def entries(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The entry of each piece, made where there is none."""
-        if self.n_entries > MOST_FULL * len(self.slot_entry) or len(self.long) > LONG_KEPT:
+        if self.n_entries > MOST_FULL * len(self.slot_entry) or len(self.long_hashes) > LONG_KEPT:
             self._empty()
         out = np.full(len(starts), -1, np.int32)
         short = np.flatnonzero(lengths <= SHORT)
@@ -259,16 +296,50 @@ class ByteBPE:
             found[missed[same]] = entry[inverse[same]]
             missed = missed[~same]  # another piece of the same hash
         out[short] = found
-        for r in np.flatnonzero(lengths > SHORT):
-            piece = data[starts[r] : starts[r] + lengths[r]].tobytes()
-            entry = self.long.get(piece)
-            if entry is None:
-                entry = int(self._add(*self.encode_pieces(data, starts[r : r + 1], lengths[r : r + 1]))[0])
-                if len(piece) <= LONG_BYTES:
-                    self.long[piece] = entry
-            out[r] = entry
+        long = np.flatnonzero(lengths > SHORT)
+        if len(long):
+            out[long] = self._of_long(data, starts[long], lengths[long])
         return out
 
+    def _of_long(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The entry of each piece of more than SHORT bytes, made where there is none."""
+        hashes = _hash_bytes(data, starts, lengths)
+        out = np.full(len(starts), -1, np.int32)
+        todo = np.arange(len(starts))
+        while len(todo):
+            _, first, inverse = np.unique(hashes[todo], return_index=True, return_inverse=True)
+            head = todo[first]
+            entry = self._find_long(data, starts[head], lengths[head], hashes[head])
+            if len(new := np.flatnonzero(entry < 0)):
+                entry[new] = self._add(*self.encode_pieces(data, starts[head[new]], lengths[head[new]]))
+                self._keep_long(data, starts[head[new]], lengths[head[new]], hashes[head[new]], entry[new])
+            of = head[inverse]
+            same = lengths[of] == lengths[todo]
+            same[same] = _same_bytes(data, starts[of[same]], data, starts[todo[same]], lengths[todo[same]])
+            out[todo[same]] = entry[inverse[same]]
+            todo = todo[~same]  # another piece of the same hash
+        return out
+
+    def _find_long(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(starts), -1, np.int32)
+        if len(self.long_hashes):
+            slot = np.minimum(np.searchsorted(self.long_hashes, hashes), len(self.long_hashes) - 1)
+            hit = np.flatnonzero((self.long_hashes[slot] == hashes) & (self.long_sizes[slot] == lengths))
+            hit = hit[_same_bytes(self.long_data, self.long_at[slot[hit]], data, starts[hit], lengths[hit])]
+            out[hit] = self.long_entries[slot[hit]]
+        return out
+
+    def _keep_long(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, entries: np.ndarray) -> None:
+        """Remembers pieces of at most LONG_BYTES whose hash is new; ``hashes`` are distinct and in order."""
+        slot = np.searchsorted(self.long_hashes, hashes)
+        known = slot < len(self.long_hashes)
+        known[known] = self.long_hashes[slot[known]] == hashes[known]
+        keep = np.flatnonzero(~known & (lengths <= LONG_BYTES))
+        index, offsets = ragged_index(starts[keep], lengths[keep])
+        self.long_at = np.insert(self.long_at, slot[keep], len(self.long_data) + offsets[:-1])
+        self.long_data = np.concatenate([self.long_data, data[index]])
+        self.long_hashes, self.long_sizes, self.long_entries = (np.insert(old, slot[keep], new[keep]) for old, new in ((self.long_hashes, hashes), (self.long_sizes, lengths), (self.long_entries, entries)))
+
     # -- texts -----------------------------------------------------------------------------
 
     def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -44,6 +44,29 @@ def test_random_texts(public, seed):
     assert list(model.count(pa.array(texts))) == [len(x) for x in public(texts)]
 
 
+def test_long_pieces(public):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice(alphabet) for _ in range(n)) for alphabet in ("a", "ab", "abcdefghijklmnopqrstuvwxyz", "-=_#*", "0123456789", "日本語あ") for n in (25, 63, 64, 65, 255, 257, 1025, 4097, 20_000)]
+    texts += [t * 2 for t in texts[:20]] + texts[:30]
+    model = ByteBPE(PATH)
+    assert model.together
+    for _ in range(2):  # the second time from the table
+        assert ids(model, texts) == public(texts)
+    model.together = False
+    model._empty()
+    short = [t for t in texts if len(t) < 5000]
+    assert ids(model, short) == public(short)
+
+
+def test_pieces_of_one_hash(public, monkeypatch):
+    from quiverlane.llm import bpe
+
+    monkeypatch.setattr(bpe, "_hash_bytes", lambda data, starts, lengths: bpe.np.zeros(len(starts), bpe.np.uint64))
+    texts = [f"{c * 30} {c * 40} {c * 3}" for c in "abcabc"]
+    model = ByteBPE(PATH)
+    assert ids(model, texts) == public(texts) and ids(model, texts) == public(texts)
+
+
 def test_documents(public, data):
     texts = pq.read_table(f"{data}/documents.parquet", columns=["text"])["text"].to_pylist()
     assert ids(ByteBPE(PATH), texts) == public(texts)
