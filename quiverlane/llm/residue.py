@@ -1,22 +1,22 @@
 """Texts that still hold parts of a template, filler, error messages or script notices.
 
-Labelled exemplars (exemplars.py) are held in an inverted index from their words. A passage of a
-document (latex.py) retrieves the exemplars that it may contain: the index holds of each exemplar
-only so many of its weightiest words that what is left weighs less than the least containment, so
-nothing above it is missed. Every window of a passage, a run of whole sentences, is then compared
-with the retrieved exemplars by words weighted with TF-IDF:
+Labelled exemplars (exemplars.py) are held in an inverted index from their terms. A term is a
+meaning (concepts.py) that words of four languages share, or a word that has none there; what a
+template leaves unfilled, commands that print filler, words of Latin filler and exact repetition
+are terms as well. A passage of a document (latex.py) retrieves the exemplars that it may contain:
+the index holds of each exemplar only so many of its weightiest terms that what is left weighs less
+than the least containment, so nothing above it is missed. Every window of a passage, a run of
+whole sentences, is then compared with the retrieved exemplars by terms weighted with TF-IDF:
 
 * containment, the part of the exemplar's weight that the window has, and
-* coverage, the part of the window's weight that the exemplar has.
+* coverage, the part of the window's weight that the exemplar has, or that are meanings which
+  other exemplars of its label have.
 
 A window is residue if both are high: it then says what the exemplar says and little else. An
 article that mentions such a text has the rest of its sentence around it, and what it quotes,
-emphasises or shows as code is one word to begin with. A passage that as a whole is worded like the
-exemplars together, without being any one of them, is residue as well. Latin filler comes in any order, so for it
-only coverage counts, and its words weigh the same however many documents are copies of it; a
-template's unfilled slots and commands that print filler are exemplars of one word each.
+emphasises or shows as code is one word to begin with.
 
-Document frequencies are those of all documents, counted in a first pass for the words of the
+Document frequencies are those of all documents, counted in a first pass for the terms of the
 exemplars, whose number is fixed.
 
 Defined results: null, empty and blank texts aren't cases. Rows are judged each on its own, so
@@ -28,34 +28,42 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverlane.llm import exemplars, latex
+from quiverlane.llm import concepts, exemplars, latex
 from quiverlane.runtime import spread
 
 #: Least containment of an exemplar in a window, and least coverage of the window by it.
-CONTAINMENT, COVERAGE = 0.62, 0.6
-#: For Latin filler: least coverage, least number of distinct filler words, and least weight of those
-#: that are words of other languages; the others count whatever their frequency.
-FILLER_COVERAGE, FILLER_WORDS, FILLER_WEIGHT = 0.8, 5, 2.0
-#: For a passage that no exemplar covers alone: least coverage by all of them, least number of its
-#: distinct words of theirs that are rare, and least weight of those.
-JOINT_COVERAGE, JOINT_WORDS, JOINT_WEIGHT = 0.7, 5, 3.0
-#: Bounds of a word's weight, and the weight of words that no exemplar has.
+CONTAINMENT, COVERAGE = 0.7, 0.79
+#: A window has at least so many of an exemplar's terms, or all if there are fewer, and they have at
+#: least this weight together.
+LEAST_TERMS, EVIDENCE = 3, 3.5
+#: Least containment and coverage of passages whose terms are too common for that.
+WHOLLY = 0.95
+#: Words of Latin filler in its exemplar, and the least coverage by them.
+FILLER_WORDS, FILLER_COVERAGE = 5, 0.8
+#: Bounds of a term's weight, and the weight of words that no exemplar has.
 LEAST, MOST, OTHER = 0.3, 6.0, 4.0
-#: Sentences of the longest window.
-LONGEST = 6
 
-SLOT, NUMBER, WRAPPED, REPEATED = "⟨slot⟩", "#", "⟨wrapped⟩", "⟨repeated⟩"
+SLOT, UNFILLED, NUMBER, WRAPPED, REPEATED, LATIN = "⟨slot⟩", "⟨unfilled⟩", "#", "⟨wrapped⟩", "⟨repeated⟩", "⟨latin⟩"
 #: A passage that says nothing but one or two words over and over, or one sentence, is filler
 #: whatever the words: at least so many times, and so many words.
 REPEAT_TIMES, REPEAT_WORDS = 3, 5
 
+#: Lines count for frequencies if they hold so many words that no exemplar has: residue itself, however
+#: many documents are copies of it, doesn't make its own terms common.
+PROSE_WORDS = 5
+#: Documents without any term that are counted along, so that small tables have weights as well.
+PRIOR = 1000
+
+#: What authors leave where something is to be added; in small letters these are words of other languages.
+TO_DO = frozenset(("TODO", "TBD", "TBA", "FIXME"))
 _NAMES = "|".join(sorted(exemplars.SLOT_NAMES, key=len, reverse=True))
 _IDENT = rf"[A-Za-z_][\w.\-]*(?:\[\w*\][\w.]*)*"
 _LABEL = rf"(?:[a-z0-9]+[_\s.]){{0,2}}(?:{_NAMES})(?:[_\s.][a-z0-9]+){{0,2}}"
@@ -67,8 +75,11 @@ _SLOT = re.compile(
 #: Those that nothing but a template leaves, in an unescaped text; they count whatever stands around
 #: them. Braces that aren't escaped may group, and brackets may be the author's.
 _SURE_SLOT = re.compile(rf"\ue001\ue001\s*{_IDENT}(?:\s*\|[^{{}}\ue001\ue002\n]*)?\s*\ue002\ue002|\ue003\ue001\s*[A-Za-z_][\w.\-]+\s*\ue002|@@\s*{_IDENT}\s*@@|__[A-Z][A-Z_0-9]*__|\{{\{{\s*[A-Za-z]\w*(?:[._]\w+)+\s*\}}\}}")
-_HTML = re.compile(r"</?(?:html|head|body|title|h[1-6]|hr|p|div|span|center|noscript|br|b|i|a)\b[^<>]*>", re.I)
+_HTML = re.compile(r"</?(?:html|head|body|title|h[1-6]|hr|p|div|span|center|noscript|br|b|i|a)(?:\s+[\w-]+\s*=[^<>]*)?\s*/?>", re.I)
 _WORD = re.compile(r"⟨\w+⟩|[^\W_]+(?:['’][^\W_]+)?")
+#: Paths, addresses and dotted names count as numbers do, but for the names of errors in them.
+_FAULT = re.compile(r"\w+(?:Error|Exception)\b")
+_PATH = re.compile(r"(?<![\w.])[\w$-]*(?:[./:\\]+[\w$<>-]+){2,}(?:\([^()\s]*\))?")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _FILLER_COMMAND = re.compile(r"\\(?:" + "|".join(exemplars.FILLER_COMMANDS) + r")\*?(?![A-Za-z])(?:\s*\[[^\]]*\])*")
 #: Signs in an unescaped text that a slot, a command that prints filler, or a bracketed passage may be
@@ -83,6 +94,7 @@ _SIGNS = [
         *(rf"{b}\s*(?i:{_LABEL}|object\s+object)\s*(?:[>\]]|\\text)" for b in ("<", r"\[", "less", r"less\{\}")),
         *(rf"{b}[ \t]*[<\[][^\W\d_]" for b in (r"\A", r"\n", r"\{")),
         *(rf"\\{c}(?![A-Za-z])" for c in exemplars.FILLER_COMMANDS),
+        *(rf"{w}\b" for w in TO_DO),
     )
 ]
 #: One of these is in every slot.
@@ -93,31 +105,65 @@ def words(text: str, runs: bool = False) -> list[str]:
     """The words of a readable text in lower case; those with digits are one, as are runs of X unless ``runs``."""
     if _SLOT_SIGN.search(text):
         text = _SLOT.sub(f" {SLOT} ", text)
-    return [w.lower() if w.isalpha() and (runs or w[:2] != "XX") else _odd_word(w) for w in _WORD.findall(text)]
+    text = _NOT.sub("cannot", _PATH.sub(lambda m: " ".join(_FAULT.findall(m[0])) or " 0 ", text))
+    return [w.lower() if w.isalpha() and len(w) > 1 and w not in TO_DO and (runs or w[:2] != "XX") else _odd_word(w) for w in _WORD.findall(text)]
 
 
 def _odd_word(w: str) -> str:
-    if w[0] == "⟨":
+    if w[0] == "⟨" or w in STATUS:
         return w
-    if not w.strip("X") or any(map(str.isdigit, w)):
+    if w in TO_DO:
+        return "placeholder"
+    if len(w) == 1 and w.isupper() and w not in "AIY":
+        return NUMBER  # Author B
+    if not w.strip("X"):
         return NUMBER
+    if any(map(str.isdigit, w)):
+        # Author1, keyword2
+        name = w.rstrip("0123456789").lower()
+        return name if name in concepts.meanings() else NUMBER
     return w.lower().replace("’", "'")
 
 
+_NOT = re.compile(r"\b(?:could|can|did)\s+not\b", re.I)
+#: Numbers that have a meaning.
+STATUS = frozenset(concepts.MEANINGS["status"].split())
+#: Words of Latin filler that are no words of the four languages.
+STOCK = frozenset(exemplars.LATIN_FILLER.split()) - frozenset(exemplars.COMMON_FILLER.split())
+
+
+@lru_cache(maxsize=200_000)
+def term(word: str) -> str:
+    """What a word is compared as; nothing for words that say little."""
+    if word in STOCK:
+        return LATIN
+    held = concepts.meaning(word)
+    if held == word and "'" in word:  # l'article
+        return next((m for part in reversed(word.split("'")) if (m := concepts.meaning(part)) != part and m), word)
+    return held
+
+
+def terms(said: list[str]) -> list[str]:
+    return [t for w in said if (t := term(w))]
+
+
 def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence; a text that is bracketed as a whole begins with a mark."""
+    """The terms of each sentence; a text that is bracketed as a whole begins with a mark."""
     text = text.strip()
+    wrapped = False
     if not (text[:1] in "{$#<[@%_" and _SLOT.fullmatch(text)):
         stripped = _HTML.sub(" ", text) if "<" in text else text
-        if len(text) > 2 and text[0] + text[-1] in ("[]", "<>") and stripped.strip() == text:
-            return [[WRAPPED, *words(text)]]
-        text = stripped
+        wrapped = len(text) > 2 and text[0] + text[-1] in ("[]", "<>") and stripped.strip() == text
+        text = text if wrapped else stripped
+    if wrapped:
+        return [[WRAPPED, *terms(words(text))]]
     parts = [w for s in _SENTENCE.split(text) if (w := words(s))]
-    if "&" in text:  # rows of a table repeat themselves by their nature
-        return parts
-    # runs of X are filler like any word
-    said = [w for s in _SENTENCE.split(text) if (w := words(s, runs=True))] if "XX" in text else parts
-    return [[REPEATED]] if _repeats(said) else parts
+    if "&" not in text:  # rows of a table repeat themselves by their nature
+        # runs of X are filler like any word
+        said = [w for s in _SENTENCE.split(text) if (w := words(s, runs=True))] if "XX" in text else parts
+        if _repeats(said):
+            return [[REPEATED]]
+    return [t for p in parts if (t := terms(p))]
 
 
 def _repeats(parts: list[list[str]]) -> bool:
@@ -135,118 +181,114 @@ class Exemplar:
     text: str
     bag: Counter
     size: int  # sentences
+    coverage: float = COVERAGE
 
 
-def bank() -> list[Exemplar]:
+def bank(*lines: Mapping[str, str]) -> list[Exemplar]:
+    """The exemplars of texts by label (both lists of exemplars.py by default), and those told by their form."""
     out = []
-    for label, texts in exemplars.EXEMPLARS.items():
-        for text in texts.strip().splitlines():
+    for texts in lines or (exemplars.EXEMPLARS, exemplars.GIVEN):
+        for label, text in ((label, line) for label, block in texts.items() for line in block.strip().splitlines()):
             parts = sentences(text)
             out.append(Exemplar(label, text, Counter(w for p in parts for w in p), len(parts)))
+    # what is told by its form: terms of their own, which count whatever stands around the sure ones
     out.append(Exemplar(exemplars.PLACEHOLDER, SLOT, Counter([SLOT]), 1))
-    out += [Exemplar(exemplars.FILLER, w, Counter([w]), 1) for w in (latex.FILLER, REPEATED)]
+    out.append(Exemplar(exemplars.PLACEHOLDER, UNFILLED, Counter([UNFILLED]), 1, 0.0))
+    out.append(Exemplar(exemplars.FILLER, latex.FILLER, Counter([latex.FILLER]), 1, 0.0))
+    out.append(Exemplar(exemplars.FILLER, REPEATED, Counter([REPEATED]), 1))
+    out.append(Exemplar(exemplars.FILLER, "lorem ipsum", Counter({LATIN: FILLER_WORDS}), 1, FILLER_COVERAGE))
     return out
 
 
-#: Words that stand for something else than themselves have a fixed weight.
-_FIXED = {SLOT: 2 * MOST, latex.FILLER: 2 * MOST, REPEATED: 2 * MOST, WRAPPED: 3.0, NUMBER: LEAST, latex.FORMULA: OTHER, latex.QUOTED: OTHER}
+#: Terms that stand for something else than words have a fixed weight.
+_FIXED = {SLOT: 2 * MOST, UNFILLED: 2 * MOST, latex.FILLER: 2 * MOST, REPEATED: 2 * MOST, LATIN: MOST, WRAPPED: 3.5, NUMBER: LEAST, latex.FORMULA: OTHER, latex.QUOTED: OTHER}
 
 
 class Index:
-    """The inverted index of the exemplars with the weights of their words."""
+    """The inverted index of the exemplars with the weights of their terms."""
 
     def __init__(self, frequency: dict[str, int], n_documents: int, entries: list[Exemplar] | None = None) -> None:
         self.entries = bank() if entries is None else entries
-        self.latin = frozenset(exemplars.LATIN_FILLER.split())
-        vocabulary = {w for e in self.entries for w in e.bag} | self.latin
-        self.weight = {w: _FIXED.get(w) or min(MOST, max(LEAST, math.log((n_documents + 1) / (frequency.get(w, 0) + 1)))) for w in vocabulary}
+        vocabulary = {w for e in self.entries for w in e.bag}
+        self.weight = {w: _FIXED.get(w) or min(MOST, max(LEAST, math.log((n_documents + PRIOR) / (frequency.get(w, 0) + 1)))) for w in vocabulary}
         self.total = [sum(self.weight[w] * n for w, n in e.bag.items()) for e in self.entries]
         self.postings: dict[str, list[int]] = defaultdict(list)
+        #: Those of exemplars whose terms are all so common that only passages wholly in their terms count.
+        self.common: dict[str, list[int]] = defaultdict(list)
+        #: The meanings that exemplars of a label have.
+        self.language: dict[str, set[str]] = defaultdict(set)
         for i, e in enumerate(self.entries):
-            rest = self.total[i]
+            self.language[e.label] |= {w for w in e.bag if w[0] == "⟨" and w not in _FIXED}
+            least, rest = WHOLLY if self.evidence(e.bag) < EVIDENCE else CONTAINMENT, self.total[i]
             for w in sorted(e.bag, key=lambda w: (-self.weight[w], w)):
-                if rest < CONTAINMENT * self.total[i]:
+                if rest < least * self.total[i]:
                     break
-                self.postings[w].append(i)
+                (self.common if least == WHOLLY else self.postings)[w].append(i)
                 rest -= self.weight[w] * e.bag[w]
-        self.stock = frozenset(w for w in self.latin if w not in exemplars.COMMON_FILLER or self.weight[w] >= FILLER_WEIGHT)
-        self.anchors = frozenset(self.postings)
-        self.said = frozenset(w for e in self.entries for w in e.bag if w not in _FIXED)
-        self.rare = frozenset(w for w in self.said if self.weight[w] >= JOINT_WEIGHT)
+        self.anchors = frozenset(self.postings) - {LATIN}
+        self.known = frozenset(vocabulary | {NUMBER, ""})
 
-    def weigh(self, bag: Counter) -> float:
+    def evidence(self, distinct: Iterable[str]) -> float:
+        return sum(self.weight[w] for w in distinct)
+
+    def weigh(self, bag: Mapping[str, int]) -> float:
         get = self.weight.get
-        return sum((get(w) or _FIXED.get(w, OTHER)) * n for w, n in bag.items())
+        return sum((get(w) or _FIXED.get(w, OTHER)) * n for w, n in bag.items() if w != NUMBER)
 
     def matches(self, text: str) -> Iterator[tuple[str, str, float, float]]:
         """Label, exemplar, containment and coverage of the best window of each passage that has residue."""
         for passage in latex.passages(text, _FILLER_COMMAND):
             if latex.FILLER not in passage and not self.may_match(passage):
                 continue
-            body = latex.unquoted(passage)
+            body = _SURE_SLOT.sub(f" {UNFILLED} ", latex.unquoted(passage))
             parts = sentences(body.translate(latex.PLAIN))
-            found = set().union(*parts) if parts else set()
-            hits = found & self.anchors
-            if hits and (best := self._best(parts, hits)) or (best := self._latin(parts, found) or self._joint(parts, found)):
+            if best := self._best(parts):
                 yield best
-            elif _SURE_SLOT.search(body):
-                yield exemplars.PLACEHOLDER, SLOT, 1.0, self.weight[SLOT] / max(self.weight[SLOT], self.weigh(Counter(w for p in parts for w in p)))
 
-    def _best(self, parts: list[list[str]], hits: set[str]) -> tuple[str, str, float, float] | None:
+    def _best(self, parts: list[list[str]]) -> tuple[str, str, float, float] | None:
+        whole = Counter(w for p in parts for w in p)
+        near = {i for w in whole for i in self.postings.get(w, ())}
+        if self.known.issuperset(whole):
+            near.update(i for w in whole for i in self.common.get(w, ()))
+        windows: dict[int, list[tuple[Counter, float]]] = {}
         best = None
-        for i in sorted({i for w in hits for i in self.postings.get(w, ())}):
-            e = self.entries[i]
-            alone = len(e.bag) == 1 and next(iter(e.bag)) == latex.FILLER
-            for size in range(1, min(e.size + 1, LONGEST, len(parts)) + 1):
-                for at in range(len(parts) - size + 1):
-                    window = parts[at] if size == 1 else [w for p in parts[at : at + size] for w in p]
-                    if hits.isdisjoint(window):
+        for i in sorted(near):
+            e, weight = self.entries[i], self.weight
+            # no window has more of the exemplar than the passage
+            if sum(weight[w] * min(n, whole[w]) for w, n in e.bag.items() if w in whole) < CONTAINMENT * self.total[i]:
+                continue
+            language = self.language[e.label]
+            for size in {*range(1, min(e.size + 1, len(parts)) + 1), len(parts)}:
+                if size not in windows:
+                    bags = [Counter(w for p in parts[at : at + size] for w in p) for at in range(len(parts) - size + 1)]
+                    windows[size] = [(bag, max(LEAST, self.weigh(bag))) for bag in bags]
+                for bag, total in windows[size]:
+                    shared = [w for w in e.bag if w in bag]
+                    if len(shared) < min(LEAST_TERMS, len(e.bag)):
                         continue
-                    bag = Counter(window)
-                    shared = sum(self.weight[w] * min(n, bag[w]) for w, n in e.bag.items() if w in bag)
-                    containment = shared / self.total[i]
-                    if containment < CONTAINMENT:
+                    # a single word may be a name, unless the passage is nothing else
+                    if len(shared) == 1 and shared[0] not in _FIXED and size < len(parts):
+                        continue
+                    weak = self.evidence(shared) < EVIDENCE
+                    if weak and (size < len(parts) or sum(bag[w] for w in shared) < LEAST_TERMS):
+                        continue
+                    containment = sum(weight[w] * min(e.bag[w], bag[w]) for w in shared) / self.total[i]
+                    if containment < (WHOLLY if weak else CONTAINMENT):
                         continue
                     # however often the window repeats what the exemplar says
-                    coverage = 1.0 if alone else sum(self.weight[w] * n for w, n in bag.items() if w in e.bag) / self.weigh(bag)
-                    if coverage >= COVERAGE and (best is None or containment + coverage > best[2] + best[3]):
+                    coverage = self.weigh({w: n for w, n in bag.items() if w in e.bag or w in language or w == WRAPPED}) / total
+                    if coverage >= (WHOLLY if weak else e.coverage) and (best is None or containment + coverage > best[2] + best[3]):
                         best = (e.label, e.text, containment, coverage)
         return best
 
-    def _latin(self, parts: list[list[str]], found: set[str]) -> tuple[str, str, float, float] | None:
-        if len(found & self.stock) < FILLER_WORDS:
-            return None
-        for window in (*parts, [w for p in parts for w in p]):
-            bag = Counter(window)
-            latin = {w: n for w, n in bag.items() if w in self.latin}
-            if len(self.stock.intersection(latin)) < FILLER_WORDS:
-                continue
-            filler = sum((MOST if w in self.stock else self.weight[w]) * n for w, n in latin.items())
-            coverage = filler / (filler + self.weigh(Counter({w: n for w, n in bag.items() if w not in latin})))
-            if coverage >= FILLER_COVERAGE:
-                return exemplars.FILLER, "lorem ipsum", 1.0, coverage
-        return None
-
-    def _joint(self, parts: list[list[str]], found: set[str]) -> tuple[str, str, float, float] | None:
-        """A passage that as a whole is worded like the exemplars; the one that shares most with it is named."""
-        if len(found & self.rare) < JOINT_WORDS:
-            return None
-        bag = Counter(w for p in parts for w in p)
-        # words that no exemplar has count as much as their rarest ones
-        of_theirs = sum(self.weight[w] * n for w, n in bag.items() if w in self.said)
-        others = sum(n for w, n in bag.items() if w not in self.said and w != NUMBER)
-        coverage = of_theirs / (of_theirs + MOST * others)
-        if coverage < JOINT_COVERAGE:
-            return None
-        shared = [sum(self.weight[w] for w in e.bag if w in bag) / t for e, t in zip(self.entries, self.total)]
-        i = max(range(len(shared)), key=shared.__getitem__)
-        return self.entries[i].label, self.entries[i].text, shared[i], coverage
-
     def may_match(self, text: str) -> bool:
-        """False only for texts without any word, repetition or sign that retrieves an exemplar."""
+        """False only for texts without any term, repetition or sign that retrieves an exemplar."""
         said = raw_words(text)
-        found = set(said)
-        if not self.anchors.isdisjoint(found) or len(self.rare & found) >= JOINT_WORDS or len(self.stock & found) >= FILLER_WORDS or any(sign.search(text) for sign in _SIGNS):
+        found = set(map(term, said))
+        if not self.anchors.isdisjoint(found) or LATIN in found and sum(w in STOCK for w in said) >= FILLER_WORDS * CONTAINMENT or any(sign.search(text) for sign in _SIGNS):
+            return True
+        # passages wholly in the terms of exemplars; in HTML there are the names of tags as well
+        if self.known.issuperset(found) or "<" in text:
             return True
         # a unit of one or two words three times, or a sentence three times
         if any(a == b == c for a, b, c in zip(said, said[1:], said[2:])):
@@ -257,7 +299,7 @@ class Index:
         return any(a == b == c != "" for a, b, c in zip(stops, stops[1:], stops[2:]))
 
 
-_RAW_WORD = re.compile(r"(?<![\\\w])[^\W\d_]+(?:['’][^\W_]+)?")
+_RAW_WORD = re.compile(r"(?<![\\\w])(?<!begin\{)(?<!end\{)(?:[^\W\d_]+(?:['’][^\W_]+)?|[45]\d\d(?!\w))")
 
 
 def raw_words(text: str) -> list[str]:
@@ -265,20 +307,30 @@ def raw_words(text: str) -> list[str]:
     return _RAW_WORD.findall(text.lower().replace("’", "'"))
 
 
+def prose_terms(text: str, vocabulary: frozenset[str]) -> set[str]:
+    """Which of the terms stand in prose of an unescaped text."""
+    found: set[str] = set()
+    for line in text.split("\n"):
+        held = list(map(term, raw_words(line)))
+        if len(held) - sum(map(vocabulary.__contains__, held)) - held.count("") >= PROSE_WORDS:
+            found.update(held)
+    return found & vocabulary
+
+
 def document_frequencies(docs: DataFrame, text: str) -> tuple[dict[str, int], int]:
-    """In how many documents each word of the exemplars occurs, and the number of documents with a text."""
-    vocabulary = frozenset(w for e in bank() for w in e.bag) | frozenset(exemplars.LATIN_FILLER.split())
+    """In how many documents each term of the exemplars stands in prose, and the number of documents with a text."""
+    vocabulary = frozenset(w for e in bank() for w in e.bag)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for t in batch.column(0):
                 if t.is_valid:
-                    seen.update(vocabulary.intersection(raw_words(latex.unescaped(t.as_py()))))
+                    seen.update(prose_terms(latex.unescaped(t.as_py()), vocabulary))
                     seen[""] += 1
         yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    # one row per word of the exemplars
+    # one row per term of the exemplars
     rows = spread(docs.select(text)).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {r.word: r.n for r in rows}
     return found, found.pop("", 0)
@@ -294,8 +346,8 @@ def residue_matches(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             at, rows = [], []
             for i, t in enumerate(batch.column(1)):
-                if t.is_valid and index.may_match(plain := latex.unescaped(t.as_py())):
-                    for m in index.matches(plain):
+                if t.is_valid:
+                    for m in index.matches(latex.unescaped(t.as_py())):
                         at.append(i)
                         rows.append(m)
             columns = list(zip(*rows)) if rows else [[], [], [], []]
@@ -321,7 +373,7 @@ def without_residue(docs: DataFrame, key: str, text: str) -> DataFrame:
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(frequency, n_documents)
         for batch in batches:
-            clean = [not (t.is_valid and index.may_match(plain := latex.unescaped(t.as_py())) and any(True for _ in index.matches(plain))) for t in batch.column(at)]
+            clean = [not (t.is_valid and any(True for _ in index.matches(latex.unescaped(t.as_py())))) for t in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return spread(docs).mapInArrow(keep, docs.schema)

@@ -1,6 +1,10 @@
+from collections import Counter
+
+import pyarrow.parquet as pq
 import pytest
 
 from quiverlane.llm import exemplars, latex, residue
+from tests.llm import wordings
 
 ARTICLE = r"""\documentclass{article}
 \usepackage{lipsum}
@@ -43,7 +47,7 @@ def article(paragraph, title="Slow operators on thin lattices"):
     return ARTICLE % (title, paragraph)
 
 
-@pytest.mark.parametrize("label, text", [(k, t) for k, v in exemplars.EXEMPLARS.items() for t in v.strip().splitlines()])
+@pytest.mark.parametrize("label, text", [(k, t) for lines in (exemplars.EXEMPLARS, exemplars.GIVEN) for k, v in lines.items() for t in v.strip().splitlines()])
 def test_each_exemplar_is_found(index, label, text):
     source = text.replace("_", r"\_").replace("#", r"\#")
     for variant in (source, source.upper(), source.replace(" ", "~"), source.replace(" ", "\n"), r"\textbf{" + source + "}", "\\begin{center}\n" + source + "\n\\end{center}"):
@@ -142,3 +146,46 @@ def test_rows_without_a_key(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, label string")
     kept = residue.without_residue(df, "doc_id", "text")
     assert kept.schema == df.schema and sorted(r.label for r in kept.collect()) == ["b", "d"]
+
+
+@pytest.fixture(scope="module")
+def of_documents(data):
+    """Indexes with the frequencies of documents: of all exemplars, and of those that aren't from the given tables."""
+    texts = [latex.unescaped(t) for t in pq.read_table(f"{data}/documents.parquet", columns=["text"])["text"].to_pylist() if t is not None]
+    vocabulary = frozenset(w for e in residue.bank() for w in e.bag)
+    frequency = Counter(w for t in texts for w in residue.prose_terms(t, vocabulary))
+    return texts, residue.Index(frequency, len(texts)), residue.Index(frequency, len(texts), residue.bank(exemplars.EXEMPLARS))
+
+
+def part_found(index, wordings):
+    lines = [line for block in wordings.values() for line in block.strip().splitlines()]
+    return sum(bool(found(index, article(line))) for line in lines) / len(lines)
+
+
+def test_recall_on_new_wordings(of_documents):
+    _, index, own = of_documents
+    assert part_found(index, wordings.DEVELOPMENT) > 0.9 and part_found(index, wordings.REVISED) > 0.9
+    assert part_found(index, wordings.HELD_OUT) > 0.75 and part_found(own, wordings.HELD_OUT) > 0.72
+
+
+def test_recall_on_the_given_tables_without_their_wordings(of_documents):
+    texts, index, own = of_documents
+    whole = [t for t in texts if list(index.matches(t))]
+    assert len(whole) > 50 and sum(bool(list(own.matches(t))) for t in whole) > 0.8 * len(whole)
+
+
+def test_precision_on_sentences_of_articles(of_documents):
+    sentences = wordings.ARTICLE_SENTENCES.strip().splitlines()
+    assert sum(bool(found(of_documents[1], article(s))) for s in sentences) <= 2
+
+
+@pytest.mark.parametrize("title", ["Your Paper Title", "Please enable JavaScript to view this article.", "404 Not Found", "Hier fügen Sie bitte Ihren Text ein."])
+def test_residue_in_a_third_of_all_rows_and_in_one(spark, title):
+    df = spark.createDataFrame([(i, article("Nothing here.", title if i % 3 == 0 else "Slow operators")) for i in range(30)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in residue.residue_documents(df, "doc_id", "text").collect()) == list(range(0, 30, 3))
+    assert residue.residue_documents(df.where("doc_id = 3"), "doc_id", "text").count() == 1
+
+
+@pytest.mark.parametrize("text", ["Titre S. Dripol. Membrane: random beam. Proc. Guglas 58 (2010), 143--689.", "Fatal M. Broplis. Gohoupais: lokale Verlauf.", "The title of the paper was changed by the author."])
+def test_names_that_are_words(of_documents, text):
+    assert not found(of_documents[1], article(text))
