@@ -31,6 +31,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,20 +84,21 @@ _PATH = re.compile(r"(?<![\w.])[\w$-]*(?:[./:\\]+[\w$<>-]+){2,}(?:\([^()\s]*\))?
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _FILLER_COMMAND = re.compile(r"\\(?:" + "|".join(exemplars.FILLER_COMMANDS) + r")\*?(?![A-Za-z])(?:\s*\[[^\]]*\])*")
 #: Signs in an unescaped text that a slot, a command that prints filler, or a bracketed passage may be
-#: in it. Each begins with a literal, which makes the search for it fast.
-_SIGNS = [
-    re.compile(p)
-    for p in (
-        *(rf"{o}{o}\s*[A-Za-z_][\w.\-]+" for o in (r"\{", "\ue001")),
-        *(rf"{d}{o}\s*[A-Za-z_]" for d in (r"\$", "\ue003", "#") for o in (r"\{", "\ue001")),
-        *(rf"{p}[A-Z][A-Z_0-9]+{p}" for p in ("%", "\ue000")),
-        *(r"\[\[\s*[A-Z][A-Z_0-9]+\s*\]\]", "<%", r"\{%", "\ue001\ue000", "@@", "__[A-Z]"),
-        *(rf"{b}\s*(?i:{_LABEL}|object\s+object)\s*(?:[>\]]|\\text)" for b in ("<", r"\[", "less", r"less\{\}")),
-        *(rf"{b}[ \t]*[<\[][^\W\d_]" for b in (r"\A", r"\n", r"\{")),
-        *(rf"\\{c}(?![A-Za-z])" for c in exemplars.FILLER_COMMANDS),
-        *(rf"{w}\b" for w in TO_DO),
+#: in it, each after a text that every match of it holds.
+_NEEDLES = [
+    (needle, re.compile(p))
+    for needle, p in (
+        *((o + o, rf"{re.escape(o + o)}\s*[A-Za-z_][\w.\-]+") for o in ("{", "\ue001")),
+        *((d + o, rf"{re.escape(d + o)}\s*[A-Za-z_]") for d in ("$", "\ue003", "#") for o in ("{", "\ue001")),
+        *((p, rf"{p}[A-Z][A-Z_0-9]+{p}") for p in ("%", "\ue000")),
+        *((n, p) for n, p in (("[[", r"\[\[\s*[A-Z][A-Z_0-9]+\s*\]\]"), ("<%", "<%"), ("{%", r"\{%"), ("\ue001\ue000", "\ue001\ue000"), ("@@", "@@"), ("__", "__[A-Z]"))),
+        *((n, rf"{re.escape(n)}\s*(?i:{_LABEL}|object\s+object)\s*(?:[>\]]|\\text)") for n in ("<", "[", "less", "less{}")),
+        *((n, rf"{b}[ \t]*{re.escape(n)}[^\W\d_]") for n in ("<", "[") for b in (r"\A", r"\n", r"\{")),
+        *(("\\" + c, rf"\\{c}(?![A-Za-z])") for c in exemplars.FILLER_COMMANDS),
+        *((w, rf"{w}\b") for w in sorted(TO_DO)),
     )
 ]
+_SIGNS = [sign for _, sign in _NEEDLES]
 #: One of these is in every slot.
 _SLOT_SIGN = re.compile(r"\{\{|[$#]\{|<|\[|@@|%|__|\{%")
 
@@ -226,7 +228,7 @@ class Index:
                 (self.common if least == WHOLLY else self.postings)[w].append(i)
                 rest -= self.weight[w] * e.bag[w]
         self.anchors = frozenset(self.postings) - {LATIN}
-        self.known = frozenset(vocabulary | {NUMBER, ""})
+        self.known = _Known(frozenset(vocabulary))
 
     def evidence(self, distinct: Iterable[str]) -> float:
         return sum(self.weight[w] for w in distinct)
@@ -237,8 +239,11 @@ class Index:
 
     def matches(self, text: str) -> Iterator[tuple[str, str, float, float]]:
         """Label, exemplar, containment and coverage of the best window of each passage that has residue."""
-        for passage in latex.passages(text, _FILLER_COMMAND):
-            if latex.FILLER not in passage and not self.may_match(passage):
+        passages = latex.passages(text, _FILLER_COMMAND)
+        joined = "\n\n".join(passages)
+        signs = [sign for needle, sign in _NEEDLES if needle in joined]
+        for passage in passages:
+            if latex.FILLER not in passage and not self.may_match(passage, signs):
                 continue
             body = _SURE_SLOT.sub(f" {UNFILLED} ", latex.unquoted(passage))
             parts = sentences(body.translate(latex.PLAIN))
@@ -248,7 +253,7 @@ class Index:
     def _best(self, parts: list[list[str]]) -> tuple[str, str, float, float] | None:
         whole = Counter(w for p in parts for w in p)
         near = {i for w in whole for i in self.postings.get(w, ())}
-        if self.known.issuperset(whole):
+        if all(w in self.known.vocabulary or w == NUMBER for w in whole):
             near.update(i for w in whole for i in self.common.get(w, ()))
         windows: dict[int, list[tuple[Counter, float]]] = {}
         best = None
@@ -281,40 +286,63 @@ class Index:
                         best = (e.label, e.text, containment, coverage)
         return best
 
-    def may_match(self, text: str) -> bool:
+    def may_match(self, text: str, signs: Iterable[re.Pattern] = _SIGNS) -> bool:
         """False only for texts without any term, repetition or sign that retrieves an exemplar."""
         said = raw_words(text)
-        found = set(map(term, said))
-        if not self.anchors.isdisjoint(found) or LATIN in found and sum(w in STOCK for w in said) >= FILLER_WORDS * CONTAINMENT or any(sign.search(text) for sign in _SIGNS):
+        found = {self.known[w] for w in said}
+        if not self.anchors.isdisjoint(found) or LATIN in found and sum(self.known[w] == LATIN for w in said) >= FILLER_WORDS * CONTAINMENT or any(sign.search(text) for sign in signs):
             return True
         # passages wholly in the terms of exemplars; in HTML there are the names of tags as well
-        if self.known.issuperset(found) or "<" in text:
+        if None not in found or "<" in text:
             return True
-        # a unit of one or two words three times, or a sentence three times
-        if any(a == b == c for a, b, c in zip(said, said[1:], said[2:])):
-            return True
-        if any(a == c == e and b == d == f for a, b, c, d, e, f in zip(said, said[1:], said[2:], said[3:], said[4:], said[5:])):
-            return True
-        stops = [s.strip() for s in re.split("[.!?…]", " ".join(text.split()))]
-        return any(a == b == c != "" for a, b, c in zip(stops, stops[1:], stops[2:]))
+        return _repeated(said, REPEAT_TIMES) or text.count(text[-1:]) >= REPEAT_TIMES and _repeated([s.strip() for s in re.split("[.!?…]", " ".join(text.split())) if s.strip()], REPEAT_TIMES)
+
+
+#: Words of an unescaped text with the backslash of commands; environments with their names.
+_RAW_WORD = re.compile(r"\\(?:begin|end)\{[^}\n]*\}|\\?[^\W_]+(?:['’][^\W_]+)?")
+#: Words whose terms a worker remembers.
+REMEMBERED = 500_000
 
 
-_RAW_WORD = re.compile(r"(?<![\\\w])(?<!begin\{)(?<!end\{)(?:[^\W\d_]+(?:['’][^\W_]+)?|[45]\d\d(?!\w))")
+class _Known(dict):
+    """Terms of raw words; None for words that aren't in a vocabulary, nothing for commands and numbers."""
+
+    def __init__(self, vocabulary: frozenset[str]) -> None:
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> str | None:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        name = word.rstrip("0123456789")
+        if word[0] == "\\" or word not in STATUS and any(map(str.isdigit, word)) and name not in concepts.meanings():
+            held = ""
+        else:
+            held = term(word if word in STATUS else name)
+            held = held if not held or held in self.vocabulary else None
+        self[word] = held
+        return held
 
 
 def raw_words(text: str) -> list[str]:
-    """The words of an unescaped text in lower case, without the names of commands."""
+    """The words of an unescaped text in lower case, commands with their backslash."""
     return _RAW_WORD.findall(text.lower().replace("’", "'"))
 
 
-def prose_terms(text: str, vocabulary: frozenset[str]) -> set[str]:
+def _repeated(items: list, times: int) -> bool:
+    """Whether an item (not empty), or two in turn, stand so many times in a row."""
+    once, twice = bytes(map(eq, items, items[1:])), bytes(map(eq, items, items[2:]))
+    return b"\1" * (times - 1) in once or b"\1" * (2 * times - 2) in twice
+
+
+def prose_terms(text: str, known: _Known) -> set[str]:
     """Which of the terms stand in prose of an unescaped text."""
-    found: set[str] = set()
+    found: set[str | None] = set()
     for line in text.split("\n"):
-        held = list(map(term, raw_words(line)))
-        if len(held) - sum(map(vocabulary.__contains__, held)) - held.count("") >= PROSE_WORDS:
+        held = [known[w] for w in raw_words(line)]
+        if held.count(None) >= PROSE_WORDS:
             found.update(held)
-    return found & vocabulary
+    return found - {None, ""}
 
 
 def document_frequencies(docs: DataFrame, text: str) -> tuple[dict[str, int], int]:
@@ -323,10 +351,11 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[dict[str, int], in
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        known = _Known(vocabulary)
         for batch in batches:
             for t in batch.column(0):
                 if t.is_valid:
-                    seen.update(prose_terms(latex.unescaped(t.as_py()), vocabulary))
+                    seen.update(prose_terms(latex.unescaped(t.as_py()), known))
                     seen[""] += 1
         yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 

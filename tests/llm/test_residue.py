@@ -152,8 +152,8 @@ def test_rows_without_a_key(spark):
 def of_documents(data):
     """Indexes with the frequencies of documents: of all exemplars, and of those that aren't from the given tables."""
     texts = [latex.unescaped(t) for t in pq.read_table(f"{data}/documents.parquet", columns=["text"])["text"].to_pylist() if t is not None]
-    vocabulary = frozenset(w for e in residue.bank() for w in e.bag)
-    frequency = Counter(w for t in texts for w in residue.prose_terms(t, vocabulary))
+    known = residue._Known(frozenset(w for e in residue.bank() for w in e.bag))
+    frequency = Counter(w for t in texts for w in residue.prose_terms(t, known))
     return texts, residue.Index(frequency, len(texts)), residue.Index(frequency, len(texts), residue.bank(exemplars.EXEMPLARS))
 
 
