@@ -224,6 +224,7 @@ class Matcher:
         self.edges: list[Entity] = []
         self.candidates: list[set[int]] = []
         self.paths = False
+        self.narrowed = False
         self.on: list[Column] = []
         self.later: list[Callable[[], Column]] = []
 
@@ -382,6 +383,10 @@ class Matcher:
             return
         # begin where something is bound already, so that each edge joins to what is there
         known = [self.is_bound(e) for e in ends]
+        if not any(known) and self.optional:
+            known = [self.outer(e) is not None for e in ends]
+            # what is joined before it meets the outer rows is cut down to their nodes first
+            self.narrowed = len(c.edges) > 1 or any(not f.complete for f in self.graph.edges)
         begin = known.index(True) if any(known) else 0
         order = [*range(begin, len(c.edges)), *range(begin - 1, -1, -1)]
         for i in order:
@@ -390,6 +395,20 @@ class Matcher:
             made = Path(Type("path"), start=self.entity_of(ends[0]), edge=self.edges[-1], end=self.entity_of(ends[1]))
             self.local[c.path] = made
 
+    def outer(self, e: _End) -> Entity | None:
+        """The node of the outer rows that an end of an optional pattern is."""
+        v = self.scope.get(e.pattern.variable) if e.pattern.variable else None
+        return v if self.optional and isinstance(v, Entity) and v.type.kind == "node" and e.pattern.variable not in self.local else None
+
+    def narrow(self, df: DataFrame, ends: Sequence[tuple[Column, int | None, _End]]) -> DataFrame:
+        """Edges of which an end is a node of the outer rows, one by one semi-joined with those."""
+        for side, place, e in ends:
+            if (v := self.outer(e)) is not None:
+                name = self.bindings.fresh()
+                nodes = self.bindings.table().where(v.id.isNotNull()).select(v.id.alias(name))
+                df = df.join(nodes, V.same_node(side, place, F.col(name), v.place), "left_semi")
+        return df
+
     def is_bound(self, e: _End) -> bool:
         return e.entity is not None or e.pattern.variable is not None and e.pattern.variable in self.local
 
@@ -410,6 +429,8 @@ class Matcher:
             for side, e in ((SOURCE, left), (TARGET, right)):
                 if self.entity_of(e) is None and side in owned:
                     df = self.with_properties(df, owned[side], e.pattern.properties)
+            if self.narrowed:
+                df = self.narrow(df, ((entity.source, entity.source_place, left), (entity.target, entity.target_place, right)))
             self.join(df, on)
         else:
             complete, reach = True, (left.frames, right.frames)

@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 
 from quiverlane.session import connect
+from quiverlane.sources.commerce import commerce_graph
 
 
 def graph(spark, *texts):
@@ -161,3 +162,20 @@ def test_unwind(values):
 
 def test_several_results(spark):
     assert graph(spark).execute_oc_query("RETURN 1 AS x; CREATE (); MATCH (n) RETURN count(*) AS n") == {"type": "results", "results": [[["x"], [1]], None, [["n"], [1]]]}
+
+
+def test_optional_patterns_of_several_edges(cycle):
+    assert bag(cycle, "MATCH (d:D) OPTIONAL MATCH (a)-[:CD]->(d)-[r]->(b)-->(c) RETURN a.name, b.name, c.name") == rows(["c", "a", "b"])
+    assert bag(cycle, "MATCH (a {index: 0}), (d {index: 3}) OPTIONAL MATCH (a)-->(b)-->(c)-->(d) RETURN b.name, c.name") == rows(["b", "c"])
+    assert bag(cycle, "MATCH (a), (d:B) OPTIONAL MATCH (a)-->(x)-->(d) RETURN a.name, x.name") == rows(["a", None], ["b", None], ["c", None], ["d", "a"])
+    assert bag(cycle, "OPTIONAL MATCH (n:Nobody) OPTIONAL MATCH (n)-->(x)-->(y) RETURN n, x, y") == rows([None, None, None])
+    assert bag(cycle, "MATCH (a:A) OPTIONAL MATCH (a)-->(x)-->(y), (y)-->(z) RETURN z.name") == rows(["d"])
+
+
+def test_optional_patterns_begin_with_the_outer_nodes(spark, data):
+    c = connect(spark, graphs={"default": commerce_graph(spark, data)})
+    df = c.execute("MATCH (c:Customer) WHERE c.c_name = 'x' OPTIONAL MATCH (c)-[:PLACED]->(o:Order)-[l:CONTAINS]->(p:Part) RETURN c.c_custkey AS k, o.o_orderkey AS o, p.p_name AS p")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    semi = plan.index("LeftSemi")
+    # orders meet the customers before order lines are joined
+    assert plan.index("Inner") < semi and plan[semi:].index("o_orderkey") < plan[semi:].index("l_orderkey")
