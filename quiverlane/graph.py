@@ -28,6 +28,13 @@ ID, LABELS, SOURCE, TARGET = "__id", "__labels", "__source", "__target"
 OWN = "__own_"
 
 
+@dataclass(frozen=True)
+class Change:
+    rows: DataFrame | None = None
+    gone: DataFrame | None = None
+    key: str = ""
+
+
 @dataclass(frozen=True)
 class Frame:
     """``labels``: those of every row, or None where the frame has a column of them."""
@@ -39,6 +46,12 @@ class Frame:
     layers: int = 0
     #: Whether created rows may be appended.
     open: bool = False
+    #: What was changed since the frame was read from a store, None if it wasn't read from one: rows that
+    #: came and their types, or values (``__of``) of a key column whose rows are gone.
+    log: tuple[Change, ...] | None = None
+
+    def logged(self, *changes: Change) -> tuple[Change, ...] | None:
+        return None if self.log is None else (*self.log, *changes)
 
     def label_column(self) -> Column:
         return F.col(LABELS) if self.labels is None else F.array(*[F.lit(x) for x in self.labels]).cast("array<string>")

@@ -128,14 +128,14 @@ class Expressions:
         for key in ("$" + n.name, n.name):
             if key in self.parameters:
                 return V.literal(self.parameters[key])
-        raise run_error("UnknownParameter", f"Unknown parameter '${n.name}'.")
+        raise run_error("UnknownParameter", f"no value was given for ${n.name}")
 
     def _Variable(self, n: Variable) -> Value:
         if n.name in self.scope:
             return self.scope[n.name]
         if n.name in self.lost:
             return V.literal(None)  # neither grouped nor aggregated
-        raise compile_error("UndefinedVariable", f"Unknown variable '{n.name}'.")
+        raise compile_error("UndefinedVariable", f"nothing is called {n.name} here")
 
     def _ListLiteral(self, n: ListLiteral) -> Value:
         return V.list_value([self.value(x) for x in n.items])
@@ -186,7 +186,7 @@ class Expressions:
 
     def _Call(self, n: Call) -> Value:
         if n.name in AGGREGATES:
-            raise compile_error("InvalidAggregation", "aggregation is not accepted in this expression.")
+            raise compile_error("InvalidAggregation", "aggregates have no place here")
         return scalar.call(n.name, [self.value(a) for a in n.args])
 
 
@@ -263,7 +263,7 @@ class Matcher:
         if v.type.kind == "null":
             v = Entity(Type(kind), id=F.lit(None).cast("bigint" if kind == "node" else "string"), labels=F.lit(None).cast("array<string>"), source=F.lit(None).cast("bigint"), target=F.lit(None).cast("bigint"))
         if v.type.kind != kind:
-            raise compile_error("VariableTypeConflict", f"Variable '{name}' is a {v.type}, not a {kind}.")
+            raise compile_error("VariableTypeConflict", f"{name} is a {v.type}, where a {kind} is needed")
         if not isinstance(v, Entity):
             labels = v.column["labels"]
             v = Entity(v.type, id=v.column["id"], labels=labels, properties={k: Value(t, v.column["properties"][k]) for k, t in v.type.fields}, frames=frozenset(range(len(self.graph.nodes if kind == "node" else self.graph.edges))))
@@ -286,7 +286,7 @@ class Matcher:
         if name and (name in self.local or outer is not None):
             first = self.declared.get(name)
             if (pattern.labels or pattern.properties) and (first is None or (first.labels, first.properties) != (pattern.labels, pattern.properties)):
-                raise compile_error("VariableAlreadyBound", f"Variable '{name}' is already bound.")
+                raise compile_error("VariableAlreadyBound", f"{name} stands for something already")
         elif name:
             self.declared[name] = pattern
         entity = self.bound(name, "node")
@@ -532,7 +532,7 @@ class Reader:
 
     def match(self, clause: Match) -> None:
         if clause.where is not None and has_aggregate(clause.where):
-            raise compile_error("InvalidAggregation", "aggregation is not accepted in this expression.")
+            raise compile_error("InvalidAggregation", "aggregates have no place here")
         b = self.bindings
         m = Matcher(b, self.graph, self.used, self.expressions, self.declared, clause.optional)
         m.expect(clause.patterns)
@@ -578,9 +578,9 @@ class Reader:
         names = [i.name for i in listed]
         for n in names:
             if names.count(n) > 1:
-                raise compile_error("ColumnNameConflict", f"Column '{n}' is duplicated.")
+                raise compile_error("ColumnNameConflict", f"two columns are called {n}")
         if where is not None and has_aggregate(where):
-            raise compile_error("InvalidAggregation", "aggregation is not accepted in this expression.")
+            raise compile_error("InvalidAggregation", "aggregates have no place here")
         outer = dict(b.scope)
         if any(has_aggregate(i.expression) for i in listed):
             made = self.aggregated(listed)
@@ -619,13 +619,13 @@ class Reader:
 
     def row_count(self, n: Node) -> int:
         if any(isinstance(c, (Variable, LabelTest)) for c in n.walk()):
-            raise compile_error("NonConstantExpression", "statement expect a constant expression.")
+            raise compile_error("NonConstantExpression", "a number of rows can't depend on what is matched")
         v = self.expressions({}).value(n)
         if v.type.kind != "int":
             raise compile_error("InvalidArgumentType", f"a number of rows can't be {v.type}")
         count = v.literal if v.constant and v.literal is not None else self.spark.range(1).select(v.column).head()[0]
         if count < 0:
-            raise run_error("NegativeIntegerArgument", "statement expect a positive integer.")
+            raise run_error("NegativeIntegerArgument", "a number of rows can't be negative")
         return count
 
     def aggregated(self, items: Sequence[Item]) -> dict[str, Value]:

@@ -14,7 +14,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiverlane.graph import ID, LABELS, OWN, SOURCE, TARGET, EdgeFrame, Frame, key_column, opened, typed_property
+from quiverlane.graph import ID, LABELS, OWN, SOURCE, TARGET, Change, EdgeFrame, Frame, key_column, opened, typed_property
 from quiverlane.lang import values as V
 from quiverlane.lang.errors import Internal, compile_error, run_error
 from quiverlane.lang.lowering import Reader
@@ -88,9 +88,9 @@ class Writer(Reader):
             if p.variable and p.variable in scope:
                 v = scope[p.variable]
                 if v.type.kind != "node":
-                    raise compile_error("VariableTypeConflict", f"Variable '{p.variable}' is a {v.type}, not a node.")
+                    raise compile_error("VariableTypeConflict", f"{p.variable} is a {v.type}, where a node is needed")
                 if p.labels or p.properties:
-                    raise compile_error("VariableAlreadyBound", f"Variable '{p.variable}' is already bound.")
+                    raise compile_error("VariableAlreadyBound", f"{p.variable} stands for something already")
                 return V.identity(v), v.frames if isinstance(v, Entity) and v.frames else frozenset(range(len(self.graph.nodes)))
             held, labels, id = properties(p.properties), _labels(p.labels), identity(n, False)
             made.append((p.variable, "node", labels, held, None))
@@ -102,7 +102,7 @@ class Writer(Reader):
         n = 0
         for c in clause.patterns:
             if not c.edges and c.nodes[0].variable in scope:
-                raise compile_error("VariableAlreadyBound", f"Variable '{c.nodes[0].variable}' is already bound.")
+                raise compile_error("VariableAlreadyBound", f"{c.nodes[0].variable} stands for something already")
             ends = []
             for p in c.nodes:
                 ends.append(node(p, n))
@@ -143,11 +143,11 @@ class Writer(Reader):
 
     def _check_edge(self, e: EdgePattern, scope: Mapping[str, Value]) -> None:
         if e.direction == "--":
-            raise compile_error("RequiresDirectedRelationship", "edges need to be directed in this context: 'creation'.")
+            raise compile_error("RequiresDirectedRelationship", "a created edge needs a direction, -> or <-")
         if len(_labels(e.labels)) != 1:
             raise compile_error("NoSingleRelationshipType")
         if e.variable and e.variable in scope:
-            raise compile_error("VariableAlreadyBound", f"Variable '{e.variable}' is already bound.")
+            raise compile_error("VariableAlreadyBound", f"{e.variable} stands for something already")
 
     # -- SET and REMOVE --
 
@@ -155,7 +155,7 @@ class Writer(Reader):
         for action in clause.actions:
             name = action.variable
             if name not in self.bindings.scope:
-                raise compile_error("UndefinedVariable", f"Unknown variable '{name}'.")
+                raise compile_error("UndefinedVariable", f"nothing is called {name} here")
             v = self.bindings.scope[name]
             if v.type.kind == "null":
                 continue
@@ -217,7 +217,8 @@ class Writer(Reader):
             held = [F.when(hit, F.col("__new")[LABELS]).otherwise(frame.label_column()).alias(LABELS)] if labels else [F.col(LABELS)] if frame.labels is None else []
             own = [F.col(f"`{c}`") for c in frame.df.columns if c.startswith(OWN)]
             df = frame.df.join(rows, key_column(frame, ID) == F.col("__of"), "left").select(*keys, *held, *[column(k, t) for k, t in types.items()], *own)
-            changed[i] = replace(frame, df=df, labels=None if labels else frame.labels, properties=types, layers=frame.layers + 1, **_heavy(frame))
+            log = frame.logged(Change(gone=rows.select("__of"), key=ID), Change(rows=df.join(rows.select("__of"), key_column(frame, ID) == F.col("__of"), "left_semi")))
+            changed[i] = replace(frame, df=df, labels=None if labels else frame.labels, properties=types, layers=frame.layers + 1, log=log, **_heavy(frame))
         self._replace(kind, changed)
 
     # -- DELETE --
@@ -229,7 +230,7 @@ class Writer(Reader):
             if v.type.kind == "null":
                 continue
             if v.type.kind not in ("node", "edge"):
-                raise compile_error("InvalidDelete", "invalid delete argument, expected node or edge.")
+                raise compile_error("InvalidDelete", "only nodes and edges can be deleted")
             kind = v.type.kind + "s"
             frames = v.frames if isinstance(v, Entity) and v.frames else frozenset(range(len(getattr(self.graph, kind))))
             ids = self.bindings.table().select(V.identity(v).alias("__of")).where("__of is not null").distinct()
@@ -244,7 +245,7 @@ class Writer(Reader):
                     if clause.detach:
                         self._without("edges", frozenset([i]), ids, [side])
                     elif not self.graph.edges[i].df.join(ids, key_column(self.graph.edges[i], side) == F.col("__of"), "left_semi").isEmpty():
-                        raise run_error("DeleteConnectedNode", "node is still connected and cannot be deleted.")
+                        raise run_error("DeleteConnectedNode", "a node has edges; DETACH DELETE deletes them with it")
         for ids, frames in gone["nodes"]:
             self._without("nodes", frames, ids, [ID])
 
@@ -255,7 +256,8 @@ class Writer(Reader):
             df = frame.df
             for k in keys:
                 df = df.join(ids, key_column(frame, k) == F.col("__of"), "left_anti")
-            changed[i] = replace(frame, df=df, layers=frame.layers + 1, **_heavy(frame))
+            log = frame.logged(*[Change(gone=ids, key=k) for k in keys])
+            changed[i] = replace(frame, df=df, layers=frame.layers + 1, log=log, **_heavy(frame))
         self._replace(kind, changed)
 
 
@@ -266,8 +268,9 @@ def _appended(frame: Frame, rows: DataFrame, types: Mapping[str, Type], keys: Se
     def part(df: DataFrame, held: Mapping[str, Type]) -> DataFrame:
         return df.select(*keys, LABELS, *[typed_property(held, k, t).alias(k) for k, t in united.items()])
 
-    df = part(frame.df, frame.properties).unionByName(part(rows, types))
-    return replace(frame, df=df, properties=united, layers=frame.layers + 1)
+    new = part(rows, types)
+    df = part(frame.df, frame.properties).unionByName(new)
+    return replace(frame, df=df, properties=united, layers=frame.layers + 1, log=frame.logged(Change(rows=new)))
 
 
 def _heavy(frame: Frame) -> dict[str, None]:

@@ -15,8 +15,9 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
-from quiverlane.graph import ID, LABELS, SOURCE, TARGET, EdgeFrame, Frame, NodeFrame, PropertyGraph, empty_graph
+from quiverlane.graph import ID, LABELS, SOURCE, TARGET, Change, EdgeFrame, Frame, NodeFrame, PropertyGraph, empty_graph, typed_property
 from quiverlane.lang import values as V
 from quiverlane.lang.errors import Internal, Store, run_error
 from quiverlane.lang.parser import parse
@@ -117,11 +118,11 @@ class Connection:
                 touched |= {name} if query.wrote else set()
                 if isinstance(s, CreateGraph):
                     if s.name in graphs:
-                        raise run_error("DuplicatedGraph", f"{s.name} already exists.")
+                        raise run_error("DuplicatedGraph", f"there is a graph {s.name} already")
                     graphs[s.name] = empty_graph(self.spark)
                     touched.add(s.name)
                 elif s.name not in graphs:
-                    raise run_error("UnknownGraph", f"{s.name} does not exists.")
+                    raise run_error("UnknownGraph", f"there is no graph {s.name}")
                 name = s.name
                 query.graph = graphs[name]
                 query.wrote = False
@@ -151,9 +152,9 @@ class Connection:
         for t in touched:
             graphs[t] = self._committed(t, graphs[t])
         if touched:
-            self.graphs = graphs
             if self.store:
-                self.store.commit(self.spark, {t: graphs[t] for t in touched}, list(graphs))
+                self.store.commit(self.spark, list(graphs))
+            self.graphs = graphs
         return result
 
     def _committed(self, name: str, graph: PropertyGraph) -> PropertyGraph:
@@ -173,12 +174,13 @@ class Connection:
 
     def delete_graph(self, name: str) -> None:
         if name not in self.graphs:
-            raise Store["UnknownGraph"](f"{name} is not known.")
-        self.graphs.pop(name)
-        if name == DEFAULT:
-            self.graphs[DEFAULT] = empty_graph(self.spark)
+            raise Store["UnknownGraph"](f"there is no graph {name}")
+        graphs = _Graphs({n: g for n, g in self.graphs.items() if n != name})
         if self.store:
-            self.store.commit(self.spark, {}, list(self.graphs))
+            self.store.manifest.pop(name, None)
+            self.store.commit(self.spark, sorted({*graphs, DEFAULT}))
+        graphs.setdefault(DEFAULT, empty_graph(self.spark))
+        self.graphs = graphs
 
 
 def _result_type(v: V.Value) -> Type:
@@ -219,57 +221,118 @@ def statistics(graph: PropertyGraph) -> Result:
 
 
 class ParquetStore:
-    """Graphs as Parquet in a folder: each commit writes the graphs it changed to new folders and
-    then replaces the manifest that names them, so a reader sees all of a commit or nothing of it."""
+    """Graphs as Parquet in a folder.
+
+    A graph is a list of segments for its nodes and one for its edges, each rows that came or keys
+    whose earlier rows are gone; a commit writes what changed as new segments. Which segments a graph
+    has is told by numbered manifests. A commit takes effect when the next number is written, and
+    fails if another session wrote it before; a reader takes the highest one that is complete. So
+    all of a commit is seen or nothing of it, wherever it is cut off.
+    """
+
+    #: Segments of a graph's nodes or edges; beyond, they are written together.
+    MOST_SEGMENTS = 16
+    #: Manifests that are left for readers of earlier states.
+    KEPT = 20
 
     def __init__(self, folder: str) -> None:
         self.folder = folder.rstrip("/")
         self.manifest: dict[str, dict[str, Any]] = {}
+        self.number = 0
+        #: As of the last commit.
+        self.committed: dict[str, dict[str, Any]] = {}
 
     def _files(self, spark: SparkSession):
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest.json")
-        return jvm, path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def load(self, spark: SparkSession) -> dict[str, PropertyGraph]:
-        _, path, fs = self._files(spark)
-        if not fs.exists(path):
-            return {}
-        text = "".join(r.value for r in spark.read.text(path.toString(), wholetext=True).collect())
-        self.manifest = json.loads(text)
-        return {n: self._read(spark, m) for n, m in self.manifest.items()}
+    def _numbers(self, spark: SparkSession) -> list[int]:
+        """The numbers of all manifests, the highest first."""
+        path, fs = self._files(spark)
+        names = [f.getPath().getName() for f in fs.listStatus(path(self.folder))] if fs.exists(path(self.folder)) else []
+        return sorted((int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")), reverse=True)
 
-    def _read(self, spark: SparkSession, m: Mapping[str, Any]) -> PropertyGraph:
-        nodes, edges = (spark.read.parquet(f"{self.folder}/{m[k]}") for k in ("nodes", "edges"))
+    def _path(self, number: int) -> str:
+        return f"{self.folder}/manifest-{number:012d}.json"
 
-        def types(df: DataFrame) -> dict[str, Type]:
-            return {f.name: V.type_of(f.dataType) for f in df.schema.fields if f.name not in (ID, LABELS, SOURCE, TARGET)}
+    def load(self, spark: SparkSession) -> dict[str, PropertyGraph]:
+        numbers = self._numbers(spark)
+        self.number = numbers[0] if numbers else 0
+        for n in numbers:
+            text = "".join(r.value for r in spark.read.text(self._path(n), wholetext=True).collect())
+            try:
+                self.manifest = json.loads(text)
+            except ValueError:
+                continue  # its commit was cut off
+            self.committed = self.manifest
+            return {name: self._read(spark, m) for name, m in self.manifest.items()}
+        return {}
 
+    def _read(self, spark: SparkSession, m: Mapping[str, Any]) -> PropertyGraph:
         one = frozenset([0])
-        return PropertyGraph((NodeFrame(nodes, None, types(nodes), open=True),), (EdgeFrame(edges, None, types(edges), open=True, sources=one, targets=one),), m["next_id"])
+        node = NodeFrame(*self._merged(spark, m["nodes"], [ID]), open=True, log=())
+        edge = EdgeFrame(*self._merged(spark, m["edges"], [ID, SOURCE, TARGET]), open=True, log=(), sources=one, targets=one)
+        return PropertyGraph((node,), (edge,), m["next_id"])
+
+    def _merged(self, spark: SparkSession, segments: Sequence[Mapping[str, str]], keys: Sequence[str]) -> tuple[DataFrame, None, dict[str, Type]]:
+        parts = [(s, spark.read.parquet(f"{self.folder}/{s['folder']}")) for s in segments]
+        types: dict[str, Type] = {}
+        held = [{f.name: V.type_of(f.dataType) for f in df.schema.fields if f.name not in (*keys, LABELS)} if s["key"] == "" else {} for s, df in parts]
+        for h in held:
+            for n, t in h.items():
+                types[n] = V.unify(types.get(n, V.NULL), t)
+        out: DataFrame | None = None
+        for (s, df), h in zip(parts, held):
+            if s["key"]:
+                out = out.join(df, F.col(s["key"]) == F.col("__of"), "left_anti")
+            else:
+                rows = df.select(*keys, LABELS, *[typed_property(h, n, t).alias(n) for n, t in types.items()])
+                out = rows if out is None else out.unionByName(rows)
+        return out, None, types
 
     def written(self, spark: SparkSession, name: str, graph: PropertyGraph) -> PropertyGraph:
+        """Writes what changed in a graph, or all of one that isn't from this store."""
+        before = self.manifest.get(name)
         entry: dict[str, Any] = {"next_id": graph.next_id}
         for kind, frame, keys in (("nodes", graph.nodes[0], [ID]), ("edges", graph.edges[0], [ID, SOURCE, TARGET])):
-            entry[kind] = f"{kind}-{uuid.uuid4().hex}"
-            # a property that is null everywhere has no type to be written with
-            kept = [F.col(f"`{k}`") for k, t in frame.properties.items() if t.kind != "null"]
-            frame.df.select(*keys, LABELS, *kept).write.parquet(f"{self.folder}/{entry[kind]}")
+            old = before[kind] if before else []
+            log = frame.log
+            if not old or log is None or len(old) + len(log) > self.MOST_SEGMENTS:
+                old, log = [], (Change(rows=frame.df),)
+            entry[kind] = [*old, *[self._segment(c, kind, keys) for c in log]]
         self.manifest = {**self.manifest, name: entry}
         return self._read(spark, entry)
 
-    def commit(self, spark: SparkSession, changed: Mapping[str, PropertyGraph], names: Sequence[str]) -> None:
+    def _segment(self, change: Change, kind: str, keys: Sequence[str]) -> dict[str, str]:
+        folder = f"{kind}-{uuid.uuid4().hex}"
+        if change.rows is None:
+            rows = change.gone.select("__of")
+        else:
+            # a property that is null everywhere has no type to be written with
+            names = [f.name for f in change.rows.schema.fields if f.name not in (*keys, LABELS) and not isinstance(f.dataType, NullType)]
+            rows = change.rows.select(*keys, LABELS, *[F.col(f"`{n}`") for n in names])
+        # few rows are one file, many are files of the usual size
+        rows.hint("rebalance").write.parquet(f"{self.folder}/{folder}")
+        return {"folder": folder, "key": change.key}
+
+    def commit(self, spark: SparkSession, names: Sequence[str]) -> None:
+        """Makes what was written the state of the graphs of these names; others are gone."""
         for n in names:
             if n not in self.manifest:
                 self.written(spark, n, empty_graph(spark))
         self.manifest = {n: m for n, m in self.manifest.items() if n in names}
-        jvm, path, fs = self._files(spark)
-        draft = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest-{uuid.uuid4().hex}")
-        out = fs.create(draft, True)
+        path, fs = self._files(spark)
+        number = self.number + 1
+        try:
+            out = fs.create(path(self._path(number)), False)
+        except Exception as e:
+            self.manifest = self.committed
+            raise Store["OpeningError"](f"another session committed number {number} to {self.folder}") from e
         out.write(bytearray(json.dumps(self.manifest).encode()))
         out.close()
-        fs.delete(path, False)
-        fs.rename(draft, path)
+        self.number, self.committed = number, self.manifest
+        for n in self._numbers(spark)[self.KEPT :]:
+            fs.delete(path(self._path(n)), False)
 
 
 #: What graphs can be kept in.
@@ -279,9 +342,9 @@ BACKENDS = ("parquet", "memory")
 def connect(spark: SparkSession, path: str | None = None, backend: str | None = None, graphs: Mapping[str, PropertyGraph] | None = None) -> Connection:
     """A connection to the graphs kept in the folder ``path``, or to graphs of this session only."""
     if backend is not None and backend not in BACKENDS:
-        raise Store["UnknownBackend"](f"backend '{backend}' is unknown.")
+        raise Store["UnknownBackend"](f"graphs can be kept in {' or '.join(BACKENDS)}, not in {backend}")
     if backend == "parquet" and path is None:
-        raise Store["OpeningError"]("a folder is needed to keep graphs in.")
+        raise Store["OpeningError"]("a folder is needed to keep graphs in")
     store = ParquetStore(path) if path is not None and backend != "memory" else None
     return Connection(spark, graphs, store)
 

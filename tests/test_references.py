@@ -84,3 +84,11 @@ def test_records_without_an_id(spark):
 def test_empty_tables(spark):
     assert run(spark, [], [], []) == []
     assert run(spark, [(1, 2, None, at(1), "", "")], [], []) == [("edges", 1, "left_id", "missing")]
+
+
+def test_many_deletions_of_one_key_in_a_day(spark):
+    hours = [at(i / 240) for i in range(480)]
+    records = [(i, 1, None, t + timedelta(minutes=1), "", "") for i, t in enumerate(hours)]
+    loads = [(1, t) for t in hours[::3]]
+    deaths = [(1, t) for t in hours[1::3]]
+    assert run(spark, records, loads, deaths) == brute(records, loads, deaths)

@@ -109,3 +109,69 @@ def test_parquet_store(spark, tmp_path):
     assert connect(spark, folder).graphs_list() == ["default"]
     with pytest.raises(QueryError, match="UnknownBackend"):
         connect(spark, folder, backend="other")
+
+
+def files(folder):
+    return sorted(p.name + "/" + f.name for p in folder.iterdir() if p.is_dir() for f in p.glob("*.parquet"))
+
+
+def test_a_commit_writes_what_changed(spark, tmp_path):
+    c = connect(spark, str(tmp_path))
+    c.execute_oc_query("UNWIND range(1, 100) AS i CREATE (:A {i: i})-[:R {w: i}]->(:B {i: i})")
+    before = set(files(tmp_path))
+    c.execute_oc_query("CREATE (:C {i: 0, text: 'new'})")
+    added = set(files(tmp_path)) - before
+    assert len(added) == 1 and next(iter(added)).startswith("nodes-")
+    c.execute_oc_query("MATCH (a:A {i: 7}) SET a.i = 'seven', a.x = 1.5")
+    c.execute_oc_query("MATCH (b:B {i: 9}) DETACH DELETE b")
+    c.execute_oc_query("MATCH ()-[r:R {w: 3}]->() DELETE r; MATCH (a:A {i: 5}) REMOVE a.i SET a:Five")
+    for connection in (c, connect(spark, str(tmp_path))):
+        assert counts(connection)[:2] == [200, 98]
+        assert bag(connection, "MATCH (a:A)-[r]->(b) WHERE a.x > 1 RETURN a.i, a.x, r.w, b.i") == rows(["seven", 1.5, 7, 7])
+        assert bag(connection, "MATCH (c:C) RETURN c.i, c.text") == rows([0, "new"])
+        assert bag(connection, "MATCH (a:Five) RETURN a.i, labels(a)") == rows([None, ["A", "Five"]])
+
+
+def test_segments_are_written_together(spark, tmp_path, monkeypatch):
+    from quiverlane.session import ParquetStore
+
+    monkeypatch.setattr(ParquetStore, "MOST_SEGMENTS", 3)
+    monkeypatch.setattr(ParquetStore, "KEPT", 2)
+    c = connect(spark, str(tmp_path))
+    for i in range(6):
+        c.execute_oc_query(f"CREATE (:A {{i: {i}}})")
+    assert len(c.store.manifest["default"]["nodes"]) <= 3
+    assert bag(connect(spark, str(tmp_path)), "MATCH (a:A) RETURN count(*), sum(a.i)") == rows([6, 15])
+    assert len(list(tmp_path.glob("manifest-*"))) == 2
+
+
+def test_a_commit_that_is_cut_off(spark, tmp_path, monkeypatch):
+    from quiverlane.session import ParquetStore
+
+    c = connect(spark, str(tmp_path))
+    c.execute_oc_query("CREATE (:A {i: 1})")
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    # after the rows were written and before they are named
+    with monkeypatch.context() as m:
+        m.setattr(ParquetStore, "commit", killed)
+        with pytest.raises(KeyboardInterrupt):
+            connect(spark, str(tmp_path)).execute_oc_query("CREATE (:A {i: 2})")
+    assert bag(connect(spark, str(tmp_path)), "MATCH (a:A) RETURN a.i") == rows([1])
+    # while the manifest was being written
+    (tmp_path / "manifest-000000000002.json").write_text('{"default": {"next_id"')
+    again = connect(spark, str(tmp_path))
+    assert bag(again, "MATCH (a:A) RETURN a.i") == rows([1])
+    again.execute_oc_query("CREATE (:A {i: 3})")
+    assert bag(connect(spark, str(tmp_path)), "MATCH (a:A) RETURN a.i") == rows([1], [3])
+
+
+def test_two_sessions(spark, tmp_path):
+    connect(spark, str(tmp_path)).execute_oc_query("CREATE (:A {i: 1})")
+    first, second = connect(spark, str(tmp_path)), connect(spark, str(tmp_path))
+    first.execute_oc_query("CREATE (:A {i: 2})")
+    with pytest.raises(QueryError, match="another session"):
+        second.execute_oc_query("CREATE (:A {i: 3})")
+    assert bag(connect(spark, str(tmp_path)), "MATCH (a:A) RETURN a.i") == rows([1], [2])
