@@ -22,11 +22,14 @@ def _rounded_sql(sql: str, rounded: Sequence[str]) -> str:
     return f"SELECT * REPLACE ({', '.join(f'round({c}, 2) AS {c}' for c in rounded)}) FROM ({sql})"
 
 
-def query(name: str, text: str, sql: str | None, rounded: Sequence[str] = (), parameters: Mapping[str, Any] | None = None) -> None:
-    """Registers a query. Sums of floats are rounded to cents, as their order isn't fixed."""
+def query(name: str, text: str, sql: str | None, rounded: Sequence[str] = (), parameters: Mapping[str, Any] | None = None, whole: str = "") -> None:
+    """Registers a query. Sums of floats are rounded to cents, as their order isn't fixed. ``whole``: a
+    column of nodes, whose labels and properties become columns that any engine can compare."""
 
     def run(spark: SparkSession, directory: str) -> DataFrame:
         df = connect(spark, graphs={"default": commerce_graph(spark, directory)}).execute(text, parameters)
+        if whole:
+            df = df.select(F.array_join(f"{whole}.labels", ":").alias("labels"), f"{whole}.properties.*")
         return df.withColumns({c: F.round(c, 2) for c in rounded}) if rounded else df
 
     QUERIES[name] = run
@@ -39,8 +42,9 @@ def query(name: str, text: str, sql: str | None, rounded: Sequence[str] = (), pa
 query("scan_label", "MATCH (c:Customer) WHERE c.c_acctbal > 1000 RETURN c.c_custkey AS c_custkey, c.c_name AS c_name", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 1000")
 query("scan_all_nodes", "MATCH (n) RETURN count(*) AS n", "SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + (SELECT count(DISTINCT user_id) FROM events) + (SELECT count(*) FROM events) AS n")
 query("pattern_property", "MATCH (o:Order {o_orderstatus: 'F', o_orderpriority: '1-URGENT'}) RETURN o.o_orderkey AS o_orderkey, o.o_totalprice AS o_totalprice", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
-query("single_vertex", "MATCH (c:Customer {c_custkey: $id}) RETURN c.c_name AS c_name, c.c_acctbal AS c_acctbal", "SELECT c_name, c_acctbal FROM customer WHERE c_custkey = 42", parameters={"$id": 42})
-query("single_vertex_where", "MATCH (c:Customer) WHERE c.c_custkey = $id RETURN c.c_name AS c_name, c.c_acctbal AS c_acctbal", "SELECT c_name, c_acctbal FROM customer WHERE c_custkey = 42", parameters={"id": 42})
+_CUSTOMER = "SELECT 'Customer' AS labels, c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey = 42"
+query("single_vertex", "MATCH (c:Customer {c_custkey: $id}) RETURN c", _CUSTOMER, parameters={"$id": 42}, whole="c")
+query("single_vertex_where", "MATCH (c:Customer) WHERE c.c_custkey = $id RETURN c", _CUSTOMER, parameters={"id": 42}, whole="c")
 query("where_compare", "MATCH (p:Part) WHERE p.p_size >= 10 AND p.p_size < 20 AND p.p_brand <> 'Brand#11' RETURN p.p_partkey AS p_partkey, p.p_size AS p_size", "SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND p_size < 20 AND p_brand <> 'Brand#11'")
 query("where_boolean_3vl", "MATCH (p:Part) WHERE (p.missing = 1 OR p.p_size > 25) AND NOT (p.p_size > 40 XOR p.p_size > 45) RETURN p.p_partkey AS p_partkey", "SELECT p_partkey FROM part WHERE (CAST(NULL AS BOOLEAN) OR p_size > 25) AND NOT ((p_size > 40) <> (p_size > 45))")
 query("where_in_list", "MATCH (c:Customer) WHERE c.c_mktsegment IN ['BUILDING', 'MACHINERY'] RETURN c.c_custkey AS c_custkey", "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
@@ -135,6 +139,16 @@ query("xor", "MATCH (p:Part) RETURN p.p_size > 10 XOR p.p_size > 30 AS x, count(
 query("type_mismatch", "MATCH (r:Region) RETURN r.r_name = 1 AS eq, r.r_name <> 1 AS ne, r.r_name < 1 AS lt, r.r_regionkey = 1.0 AS num", "SELECT false AS eq, true AS ne, CAST(NULL AS BOOLEAN) AS lt, r_regionkey = 1 AS num FROM region")
 query("not_binds_tighter", "MATCH (p:Part) WHERE NOT (p.p_size = 1) = false RETURN count(*) AS n", "SELECT count(*) AS n FROM part WHERE p_size = 1")
 
+query("column_names", "MATCH (r:Region) RETURN count(*), 1+2, max( r.r_regionkey ) AS most", "SELECT count(*) AS \"count(*)\", 3::BIGINT AS \"1+2\", max(r_regionkey)::BIGINT AS most FROM region")
+query("equal_maps", "MATCH (n:Nation) RETURN {a: n.n_regionkey, b: 'x'} = {b: 'x', a: 1} AS eq, {a: 1} = {b: 1} AS other, {a: n.n_regionkey} <> {a: 1} AS ne, count(*) AS n", "SELECT n_regionkey = 1 AS eq, false AS other, n_regionkey <> 1 AS ne, count(*) AS n FROM nation GROUP BY ALL")
+query("equal_nodes", "MATCH (a:Region), (b:Region) RETURN a = b AS same, a <> b AS other, count(*) AS n", "SELECT a.r_regionkey = b.r_regionkey AS same, a.r_regionkey <> b.r_regionkey AS other, count(*) AS n FROM region a, region b GROUP BY ALL")
+query("equal_edges", "MATCH ()-[e:IN_REGION]->(r) MATCH (n)-[f:IN_REGION]->(r) RETURN e = f AS same, count(*) AS n", "SELECT a.n_nationkey = b.n_nationkey AS same, count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey GROUP BY ALL")
+query("equal_paths", "MATCH p = (n:Nation)-[:IN_REGION]->(r:Region) MATCH q = (m:Nation)-[:IN_REGION]->(r) RETURN p = q AS same, count(*) AS n", "SELECT a.n_nationkey = b.n_nationkey AS same, count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey GROUP BY ALL")
+query("mixed_order", "MATCH (n:Nation) UNWIND [n.n_nationkey, n.n_name, n.n_regionkey = 1, n.n_regionkey * 1.5] AS x WITH x ORDER BY x SKIP 20 LIMIT 40 RETURN toString(x) AS x", "SELECT x FROM (SELECT 1 AS k, n_name AS x, NULL::DOUBLE AS d FROM nation UNION ALL SELECT 2, CASE WHEN n_regionkey = 1 THEN 'true' ELSE 'false' END, n_regionkey = 1 FROM nation UNION ALL SELECT 3, n_nationkey::VARCHAR, n_nationkey FROM nation UNION ALL SELECT 3, CASE WHEN n_regionkey % 2 = 0 THEN (n_regionkey * 3 // 2)::VARCHAR ELSE (n_regionkey * 1.5)::DOUBLE::VARCHAR END, n_regionkey * 1.5 FROM nation) ORDER BY k, d, x LIMIT 40 OFFSET 20")
+query("literals", "RETURN 0x1F AS hex, 0o17 AS oct, 'a\\tb\\'c' AS text, 1e3 AS large, .5 AS small, -7 AS minus, true AS yes, null AS nothing, size([1, [2], {a: 3}]) AS n", "SELECT 31::BIGINT AS hex, 15::BIGINT AS oct, 'a' || chr(9) || 'b''c' AS text, 1000::DOUBLE AS large, 0.5::DOUBLE AS small, -7::BIGINT AS minus, true AS yes, NULL AS nothing, 3::BIGINT AS n")
+query("several_queries", "MATCH (n:Nation) RETURN count(*) AS n; MATCH (r:Region) RETURN r.r_name AS r_name", "SELECT r_name FROM region")
+query("arith_mixed", "MATCH (p:Part) UNWIND [p.p_size, p.p_retailprice] AS x RETURN p.p_partkey AS k, avg(x + 1) AS s", "SELECT p_partkey AS k, (p_size + p_retailprice + 2) / 2 AS s FROM part", ["s"])
+
 # -- writing: on a copy held by the connection ----------------------------------------------------------
 
 
@@ -160,6 +174,7 @@ script("set_labels", ["MATCH (c:Customer) WHERE c.c_acctbal > 5000 SET c:Rich:Kn
 script("remove_property", ["MATCH (s:Supplier) WHERE s.s_nationkey = 3 REMOVE s.s_name", "MATCH (s:Supplier) RETURN s.s_name IS NULL AS gone, count(*) AS n"], "SELECT s_nationkey = 3 AS gone, count(*) AS n FROM supplier GROUP BY ALL")
 script("delete_edges", ["MATCH (c:Customer)-[p:PLACED]->(o:Order) WHERE o.o_orderstatus = 'F' DELETE p", "MATCH (c:Customer)-[p:PLACED]->(o:Order) RETURN count(*) AS n"], "SELECT count(*) AS n FROM orders WHERE o_orderstatus <> 'F'")
 script("detach_delete", ["MATCH (r:Region {r_name: 'ASIA'}) DETACH DELETE r", "MATCH (n:Nation) OPTIONAL MATCH (n)-[:IN_REGION]->(r:Region) RETURN r.r_name AS r_name, count(*) AS n"], "SELECT CASE WHEN r_name <> 'ASIA' THEN r_name END AS r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+script("create_delete_graph", ["MATCH (r:Region) CREATE (:Copy {name: r.r_name})-[:OF]->(r)", "MATCH (c:Copy)-[e:OF]->(r:Region {r_name: 'ASIA'}) DELETE e, c", "MATCH (c:Copy)-[:OF]->(r) RETURN c.name AS name, r.r_regionkey AS k"], "SELECT r_name AS name, r_regionkey::BIGINT AS k FROM region WHERE r_name <> 'ASIA'")
 script("multi_graph", ["CREATE GRAPH other UNWIND range(1, 5) AS i CREATE (:Thing {i: i})", "USE other MATCH (t:Thing) RETURN t.i AS i"], "SELECT i::BIGINT AS i FROM range(1, 6) t(i)")
 
 _COUNTED = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], "events": ["event_id", "ts", "event_type", "value", "props"]}

@@ -79,9 +79,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_objects(spark: SparkSession, d: str) -> DataFrame:
-    """The flat table of all objects in arrays with the texts of their scalar members."""
+    """The flat table of all objects in arrays with their scalar members, as lines of text that any engine can compare."""
     nodes = nested.latest_rows(read_table(spark, d, "nodes", "id", "properties", "loaded_at"), "id", ["properties"], "loaded_at")
-    return nested.flatten_objects(nodes, "id", "properties", members=True).withColumnRenamed("id", "node_id")
+    lines = F.array_sort(F.transform(F.map_entries("members"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return nested.flatten_objects(nodes, "id", "properties", members=True).withColumnRenamed("id", "node_id").withColumn("members", F.array_join(lines, "\n"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_orphan_counts, p3_found, p3_node_results, p4_found, p4_wide, p5_found, p5_objects)}
@@ -152,7 +153,23 @@ FROM ids LEFT JOIN singles ON ids.node_id = singles.node_id LEFT JOIN labels l O
     )
 
 
+#: Every object and array of each node's map, level by level.
+_WALK = """
+WITH RECURSIVE once AS (SELECT id AS node_id, max(properties) AS p FROM nodes WHERE id IS NOT NULL GROUP BY id),
+texts AS (SELECT node_id, CASE WHEN json_valid(p) AND json_type(p) = 'VARCHAR' THEN json_extract_string(p, '$') ELSE p END AS p FROM once),
+maps AS (SELECT node_id, p::JSON AS j FROM texts WHERE json_valid(p) AND json_type(p) = 'OBJECT'),
+walk(node_id, parent_path, path, j, t, listed, ordinal) AS (
+  SELECT node_id, '$', '$', j, 'OBJECT', false, 0 FROM maps
+  UNION ALL
+  SELECT w.node_id, CASE WHEN w.listed AND w.t = 'OBJECT' THEN w.path ELSE w.parent_path END, w.path || CASE WHEN w.t = 'ARRAY' THEN '[' || je.key || ']' ELSE '.' || je.key END,
+         je.value, je.type, w.t = 'ARRAY', CASE WHEN w.t = 'ARRAY' THEN CAST(je.key AS INT) END
+  FROM walk w, json_each(w.j) je WHERE w.t IN ('OBJECT', 'ARRAY') AND je.type IN ('OBJECT', 'ARRAY')),
+objects AS (SELECT node_id, parent_path, path AS child_path, ordinal, j FROM walk WHERE listed AND t = 'OBJECT')
+"""
+
 ORACLE = {
+    "p5_found": _WALK + "SELECT node_id, parent_path, child_path FROM objects",
+    "p5_objects": _WALK + "SELECT node_id, parent_path, child_path, ordinal, coalesce((SELECT string_agg(je.key || '=' || CAST(je.value AS VARCHAR), chr(10) ORDER BY je.key || '=' || CAST(je.value AS VARCHAR)) FROM json_each(j) je WHERE je.type NOT IN ('OBJECT', 'ARRAY')), '') AS members FROM objects",
     "p1_found": _REFERENCES + "SELECT ref_table, ref_id, ref_field, fate FROM fates WHERE fate IS NOT NULL",
     "p1_orphan_counts": _REFERENCES + "SELECT ref_table, ref_field, period, fate, count(*) AS n_references FROM fates WHERE fate IS NOT NULL GROUP BY ALL",
     "p3_found": _ENDS + "SELECT side, node_id FROM ends WHERE node_id IS NOT NULL GROUP BY side, node_id HAVING count(*) > 0.01 * (SELECT count(*) FROM edges)",

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that cut lineage goes to.
 
-    A cluster names it in ``spark.checkpoint.dir`` and that setting is left alone; only where
-    neither it nor a context directory is set (tests, notebooks) is a local folder chosen.
+    A cluster names it in ``spark.checkpoint.dir`` and that setting is left alone. Where neither it nor
+    a context directory is set, a local master (tests, notebooks) gets a local folder; any other
+    would lose what is cut with the machine, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -22,6 +23,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="checkpoint-")
     spark.sparkContext.setCheckpointDir(made)
     return made

@@ -8,11 +8,13 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NullType
@@ -41,7 +43,23 @@ class Result:
     def rows(self) -> list[list[Any]]:
         """A header and the rows: entities as dictionaries, missing properties left out."""
         kinds = list(self.types.values())
-        return [list(self.types), *[[to_python(x, t) for x, t in zip(row, kinds)] for row in self.df.collect()]]
+        try:
+            found = self.df.collect()
+        except PySparkException as e:
+            raise as_query_error(e) from e
+        return [list(self.types), *[[to_python(x, t) for x, t in zip(row, kinds)] for row in found]]
+
+
+#: Conditions of Spark that a query's values cause.
+VALUE_ERRORS = ("CAST_INVALID_INPUT", "CAST_OVERFLOW", "DIVIDE_BY_ZERO", "REMAINDER_BY_ZERO", "ARITHMETIC_OVERFLOW", "BINARY_ARITHMETIC_OVERFLOW")
+
+
+def as_query_error(e: Exception) -> Exception:
+    """The error of this package that an error of Spark stands for, if it is one of the query's values."""
+    if told := re.search(r"RunTime: (\w+)(?:: ([^\n]*?))?(?: SQLSTATE|\n|$)", str(e)):
+        return run_error(told[1], told[2] or "")
+    caused = next((c for c in VALUE_ERRORS if f"[{c}" in str(e)), None)
+    return run_error("InvalidArgument", caused.replace("_", " ").lower()) if caused else e
 
 
 def to_python(x: Any, t: Type) -> Any:

@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from quiverlane.lang.errors import QueryError
+from quiverlane.lang.errors import QueryError, RunTimeError
 from quiverlane.session import connect
 
 
@@ -94,3 +94,10 @@ def test_errors_at_run_time(connection):
 def test_rand(connection):
     _, *rows = connection.execute_oc_query("UNWIND range(1, 20) AS i RETURN rand() AS x")
     assert all(0 <= x < 1 for (x,) in rows)
+
+
+def test_errors_of_values(spark):
+    c = connect(spark)
+    for text, name in (("RETURN toInteger('zz')", "InvalidArgument"), ("UNWIND [0] AS x RETURN 1 / x", "InvalidArgument"), ("UNWIND [0] AS x RETURN 1 % x", "InvalidArgument"), ("UNWIND [9223372036854775807] AS x RETURN x + 1", "InvalidArgument"), ("UNWIND [5] AS i RETURN [1, 2][i]", "OutOfBound")):
+        with pytest.raises(RunTimeError, match=f"RunTime: {name}"):
+            c.execute_oc_query(text)

@@ -3,6 +3,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 from quiverlane import runtime
 
 SCRIPT = """
@@ -30,3 +32,23 @@ def test_spread_and_cut(spark):
     assert runtime.spread(many).rdd.getNumPartitions() == 9
     assert runtime.cut(few).count() == 10
     assert runtime.checkpoint_dir(spark)
+
+
+def test_no_local_folder_on_a_cluster():
+    class Cluster:
+        """A session of a cluster that names no shared folder."""
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+            class _jsc:
+                class sc:
+                    class getCheckpointDir:
+                        isDefined = staticmethod(lambda: False)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.checkpoint_dir(Cluster())
