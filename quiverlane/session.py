@@ -59,7 +59,7 @@ def as_query_error(e: Exception) -> Exception:
     if told := re.search(r"RunTime: (\w+)(?:: ([^\n]*?))?(?: SQLSTATE|\n|$)", str(e)):
         return run_error(told[1], told[2] or "")
     caused = next((c for c in VALUE_ERRORS if f"[{c}" in str(e)), None)
-    return run_error("InvalidArgument", caused.replace("_", " ").lower()) if caused else e
+    return run_error("InvalidArgument", f"[{caused}]") if caused else e
 
 
 def to_python(x: Any, t: Type) -> Any:
