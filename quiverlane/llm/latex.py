@@ -18,7 +18,11 @@ PLAIN = str.maketrans({"\ue000": "%", "\ue001": "{", "\ue002": "}", "\ue003": "$
 #: Words that stand for what isn't read.
 FORMULA, QUOTED, FILLER = "⟨formula⟩", "⟨quoted⟩", "⟨filler⟩"
 
-_ARG = r"\{(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*\}"
+#: Levels of braces within an argument.
+DEPTH = 32
+_ARG = r"\{[^{}]*+\}"
+for _ in range(DEPTH):
+    _ARG = rf"\{{(?:[^{{}}]++|{_ARG})*+\}}"
 _OPT = r"(?:\s*\[[^\]]*\])*"
 _VERB = re.compile(r"\\(?:verb\*?|lstinline)([^\sA-Za-z*\\{}\[\]])[^\n]*?\1")
 _COMMENT = re.compile(r"%[^\n]*")
