@@ -22,7 +22,7 @@ MEANINGS = {
     "verify": "verify verifying verification checking confirm challenge überprüfen überprüfung überprüft prüfen bestätigen bestätige* sicherheitsprüfung vérifier vérification vérifions confirmez confirmer comprobando comprobar verificar verificación verifique confirme security secure sicher sécurisée seguro bestätigen checks verified validate prüft bestätigung prouvez prouver demuestre compruebe valide validez",
     "error": "error errors failure warning fehler erreur erreurs fallo falla",
     "crash": "exception exceptions fatal fault panic traceback segmentation crash crashed serverfehler *error *exception *fault",
-    "failed": "failed fail fails unable cannot can't couldn't impossible unexpectedly abruptly aborted broken fehlgeschlagen gescheitert unmöglich konnte konnten échoué échec fallado falló wrong occurred happened encountered aufgetreten survenue survenu producido ocurrido pudo podido isn't doesn't don't invalid keine unsuccessful interrupted ungültig abgebrochen gescheitert interrompu invalide inválido inválida interrumpido snap inesperado inattendu inattendue unerwartet unerwarteter unerwartete",
+    "failed": "failed fail fails unable cannot can't couldn't impossible unexpectedly abruptly aborted broken fehlgeschlagen gescheitert unmöglich konnte konnten échoué échec fallado falló wrong occurred happened encountered aufgetreten survenue survenu producido ocurrido pudo podido isn't doesn't don't invalid keine unsuccessful interrupted ungültig abgebrochen gescheitert interrompu invalide inválido inválida interrumpido snap inesperado inattendu inattendue unerwartet unerwarteter unerwartete isn doesn couldn wasn",
     "gone": "found missing unavailable available gone moved removed exist exists existed nonexistent broken gefunden verfügbar existiert entfernt verschoben introuvable disponible indisponible existe encontrada encontrado movida eliminado trouvée trouvé indisponibles unreachable nichtverfügbar inexistent unreachable erreichbar auffindbar existierte existieren accessible inaccessible trouver encontrar existen hallado localizado localizar supprimé supprimée déplacé déplacée deleted gelöscht",
     "server": "server servers gateway proxy upstream http https timeout serveur serveurs servidor webserver backend origin webservers",
     "service": "service services database host connection connections connect request requests requested response link network datenbank dienst dienste verbindung anfrage angeforderte angefordert gewünschte requête demandé demandée cherchez connexion conexión solicitud solicitado solicitada servicio busca looking followed address answer responded antwortet reagiert répond responde",

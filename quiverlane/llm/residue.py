@@ -31,7 +31,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
-from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -289,17 +288,19 @@ class Index:
     def may_match(self, text: str, signs: Iterable[re.Pattern] = _SIGNS) -> bool:
         """False only for texts without any term, repetition or sign that retrieves an exemplar."""
         said = raw_words(text)
-        found = {self.known[w] for w in said}
-        if not self.anchors.isdisjoint(found) or LATIN in found and sum(self.known[w] == LATIN for w in said) >= FILLER_WORDS * CONTAINMENT or any(sign.search(text) for sign in signs):
+        terms_found = list(map(self.known.__getitem__, said))
+        found = set(terms_found)
+        if not self.anchors.isdisjoint(found) or LATIN in found and terms_found.count(LATIN) >= FILLER_WORDS * CONTAINMENT or any(sign.search(text) for sign in signs):
             return True
         # passages wholly in the terms of exemplars; in HTML there are the names of tags as well
         if None not in found or "<" in text:
             return True
-        return _repeated(said, REPEAT_TIMES) or text.count(text[-1:]) >= REPEAT_TIMES and _repeated([s.strip() for s in re.split("[.!?…]", " ".join(text.split())) if s.strip()], REPEAT_TIMES)
+        # what is said REPEAT_TIMES has no more distinct words than a part of all, but for commands around it
+        return 2 * len(set(said)) <= len(said)
 
 
-#: Words of an unescaped text with the backslash of commands; environments with their names.
-_RAW_WORD = re.compile(r"\\(?:begin|end)\{[^}\n]*\}|\\?[^\W_]+(?:['’][^\W_]+)?")
+#: Runs of letters, digits and the backslash of commands.
+_RAW_WORD = re.compile(r"[\\\w]+")
 #: Words whose terms a worker remembers.
 REMEMBERED = 500_000
 
@@ -314,32 +315,28 @@ class _Known(dict):
     def __missing__(self, word: str) -> str | None:
         if len(self) >= REMEMBERED:
             self.clear()
-        name = word.rstrip("0123456789")
-        if word[0] == "\\" or word not in STATUS and any(map(str.isdigit, word)) and name not in concepts.meanings():
+        # what stands before a command, or nothing
+        name = word.split("\\")[0].strip("_")
+        plain = name.rstrip("0123456789")
+        if not name or "_" in name or name not in STATUS and any(map(str.isdigit, name)) and plain not in concepts.meanings():
             held = ""
         else:
-            held = term(word if word in STATUS else name)
+            held = term(name if name in STATUS else plain)
             held = held if not held or held in self.vocabulary else None
         self[word] = held
         return held
 
 
 def raw_words(text: str) -> list[str]:
-    """The words of an unescaped text in lower case, commands with their backslash."""
-    return _RAW_WORD.findall(text.lower().replace("’", "'"))
-
-
-def _repeated(items: list, times: int) -> bool:
-    """Whether an item (not empty), or two in turn, stand so many times in a row."""
-    once, twice = bytes(map(eq, items, items[1:])), bytes(map(eq, items, items[2:]))
-    return b"\1" * (times - 1) in once or b"\1" * (2 * times - 2) in twice
+    """The words of an unescaped text in lower case, commands with their backslash; apostrophes part words."""
+    return _RAW_WORD.findall(text.lower())
 
 
 def prose_terms(text: str, known: _Known) -> set[str]:
     """Which of the terms stand in prose of an unescaped text."""
     found: set[str | None] = set()
     for line in text.split("\n"):
-        held = [known[w] for w in raw_words(line)]
+        held = list(map(known.__getitem__, raw_words(line)))
         if held.count(None) >= PROSE_WORDS:
             found.update(held)
     return found - {None, ""}
